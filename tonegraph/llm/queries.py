@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, sharding
+from . import exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash
 from .common import read_table
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op2_source_mixing(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark, sf_dir):
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -18,8 +30,15 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark, sf_dir):
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_best_fit_packing, op2_source_mixing, op5_language_id, op6_exact_dedup, op8_sharding, op9_secret_scan, op10_simhash]
+
+
 def queries():
-    return {"op6_exact_dedup": op6_exact_dedup, "op8_sharding": op8_sharding, "op9_secret_scan": op9_secret_scan}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql():

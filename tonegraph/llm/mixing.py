@@ -7,8 +7,9 @@ taken floor(r) times for sure (r: target over source size) and once more with pr
 Flight phase: at most three undecided documents of a source are held; moving their probabilities along
 the null space of the two constraints (sums of tokens and of documents stay as they are) decides at
 least one, and the next document takes its place.  Each (block, source) leaves two undecided ones; a
-second flight over those alone leaves two a source, and the landing phase decides them for the least
-error in tokens.  Documents come by falling size, so that those left to land are small.  The flight streams, so a source with any share of the rows needs no more memory, and
+second flight over those and about RESERVE documents of each source leaves two a source.  The landing
+phase rounds these and flips up to two of the last RESERVE decisions for the least error in tokens.  The
+flight streams, so a source with any share of the rows needs no more memory, and
 blocks are dealt by document, not by source.
 
 Defined edge cases: null text has no words and null source is a source of its own; documents without
@@ -18,7 +19,7 @@ are ignored.  Reruns agree: order, blocks and random numbers come from hashes of
 
 from __future__ import annotations
 
-import itertools
+import collections
 import math
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ MOST = 2.0
 ROWS_PER_BLOCK = 20_000
 #: Sources up to this number are broadcast with their targets; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Documents of a source, drawn by hash, that wait for the second flight; the landing may flip two of them.
+RESERVE = 256
 SEED = 7
 
 
@@ -45,11 +48,11 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per source: rank, source, source_size, target."""
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("unnamed", F.col("source").isNull())
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).withColumn("unnamed", F.col("source").isNull())
     ranked = prefix_positions(sums, ["unnamed", "source"], "source_size")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("global_row") % len(weights) + 1).cast("int"))
     table = materialize(
-        ranked.select(F.col("global_row").alias("rank"), "source", "source_size", weight.alias("weight")), "sources"
+        ranked.select(F.col("global_row").alias("rank"), "source", "source_size", "rows", weight.alias("weight")), "sources"
     )
     level, total = 0.0, None
     while True:
@@ -64,7 +67,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
             break
         level = again
     target = F.least(F.col("weight") * level, most * F.col("source_size"))
-    return table.select("rank", "source", "source_size", target.cast("double").alias("target"))
+    return table.select("rank", "source", "source_size", "rows", target.cast("double").alias("target"))
 
 
 class _Flight:
@@ -99,13 +102,23 @@ class _Flight:
                     left.append(h)
             self.held = left
 
-    def land(self, decided: list[tuple[int, float]]) -> None:
+    def land(self, decided: list[tuple[int, float]], recent: list[tuple[int, float, float]]) -> None:
+        """Decide what is held, then flip one or two of it and of recent (row position, size, decision) to
+        meet the tokens that the probabilities stood for."""
         want = sum(s * p for _, s, p in self.held)
-        count = sum(p for _, _, p in self.held)
-        choices = itertools.product((0.0, 1.0), repeat=len(self.held))
-        best = min(choices, key=lambda x: (abs(sum(s * v for (_, s, _), v in zip(self.held, x, strict=True)) - want), abs(sum(x) - count)))
-        decided += [(h[0], v) for h, v in zip(self.held, best, strict=True)]
+        rows = [(at, s, float(round(p))) for at, s, p in self.held] + recent
         self.held = []
+        size, took = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        error = sum(s * v for _, s, v in rows[: len(rows) - len(recent)]) - want
+        if len(rows) and error:
+            change = np.append(size * (1 - 2 * took), 0.0)  # of one flip; the last is none
+            after = np.abs(error + change[:, None] + change[None, :])
+            np.fill_diagonal(after, np.inf)
+            after[-1, -1] = abs(error)
+            for k in np.unravel_index(after.argmin(), after.shape):
+                if k < len(rows):
+                    took[k] = 1 - took[k]
+        decided += [(r[0], v) for r, v in zip(rows, took.tolist(), strict=True)]
 
 
 _ROW = "block long, rank long, doc_id long, size long, more double"
@@ -115,24 +128,21 @@ def _flight(rows: DataFrame, seed: int, landing: bool) -> DataFrame:
     """rows sorted by block and rank within partitions; more: the probability, 0 or 1 once decided."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flight, key, waiting = None, None, {}
-        n = 0
-        for batch in batches:
-            out, decided = [], []
+        flight, key, waiting, recent, out = None, None, {}, collections.deque(), []
 
-            def settle(waiting=waiting, out=out, decided=decided):
-                for at, p in decided:
-                    out.append((*waiting.pop(at), p))
-                decided.clear()
+        def emit(decided):
+            out.extend((*waiting.pop(at), p) for at, p in decided)
 
-            def leave():
-                if flight is not None:
-                    if landing:
-                        flight.land(decided)
-                        settle()
-                    for at, _, p in flight.held:
-                        out.append((*waiting.pop(at), p))
+        def leave():
+            decided: list[tuple[int, float]] = []
+            if flight is not None and landing:
+                flight.land(decided, [(at, waiting[at][3], p) for at, p in recent])
+                recent.clear()
+            emit(decided)
+            emit([(at, p) for at, _, p in flight.held] if flight is not None else [])
 
+        n = 0
+        for batch in batches:
             ids = [None if x is None or x != x else int(x) for x in batch["doc_id"].tolist()]
             columns = (batch["block"].tolist(), batch["rank"].tolist(), ids, batch["size"].tolist(), batch["more"].tolist())
             for block, rank, doc_id, size, p in zip(*columns, strict=True):
@@ -141,15 +151,16 @@ def _flight(rows: DataFrame, seed: int, landing: bool) -> DataFrame:
                     key, flight = (block, rank), _Flight([seed, block + 1, rank])
                 n += 1
                 waiting[n] = (block, rank, doc_id, size)
+                decided: list[tuple[int, float]] = []
                 flight.add(n, float(size), p, decided)
-                settle()
+                if landing:
+                    recent.extend(decided)
+                    decided = [recent.popleft() for _ in range(len(recent) - RESERVE)]
+                emit(decided)
             yield _frame(out)
-        out, decided = [], []
-        if flight is not None:
-            if landing:
-                flight.land(decided)
-            decided += [(at, p) for at, _, p in flight.held]
-            yield _frame([(*waiting.pop(at), p) for at, p in decided])
+            out.clear()
+        leave()
+        yield _frame(out)
 
     return rows.mapInPandas(run, _ROW)
 
@@ -168,15 +179,18 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sizes.join(t, F.col("source").eqNullSafe(F.col("__source"))).withColumn("rate", rate)
     sure = F.floor(F.col("rate") + 1e-12)
-    rated = rated.select("doc_id", "size", "rank", sure.alias("sure"), F.greatest(F.lit(0.0), F.col("rate") - sure).alias("more"))
+    rated = rated.select("doc_id", "size", "rank", "rows", sure.alias("sure"), F.greatest(F.lit(0.0), F.col("rate") - sure).alias("more"))
     blocks = max(1, math.ceil(sizes.count() / ROWS_PER_BLOCK))
     mark = F.xxhash64("doc_id", "size", F.lit(seed))
-    drawn = rated.where("more > 1e-9").select(F.pmod(mark, F.lit(blocks)).alias("block"), "rank", "doc_id", "size", "more")
-    dealt = drawn.repartition(blocks, "block").sortWithinPartitions("block", "rank", F.desc("size"), mark, "doc_id")
+    waits = F.pmod(F.shiftrightunsigned(mark, 20), F.lit(1 << 40)) < F.lit(float(RESERVE << 40)) / F.col("rows")
+    block = F.when(waits, F.lit(-1)).otherwise(F.pmod(mark, F.lit(blocks)))
+    drawn = rated.where("more > 1e-9").select(block.cast("long").alias("block"), "rank", "doc_id", "size", "more")
+    dealt = drawn.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block", "rank", F.desc("size"), mark, "doc_id")
     first = materialize(_flight(dealt, seed, landing=False), "flight")
     undecided = (F.col("more") > 0) & (F.col("more") < 1)
     left = first.where(undecided).withColumn("block", F.lit(-1).cast("long"))
-    again = left.repartition("rank").sortWithinPartitions("block", "rank", F.desc("size"), mark, "doc_id", "more")
+    left = left.union(drawn.where("block < 0"))
+    again = left.repartition("rank").sortWithinPartitions("block", "rank", mark, "doc_id", "size", "more")
     second = materialize(_flight(again, seed + 1, landing=True), "landing")
     decided = first.where(~undecided).union(second).select("rank", "doc_id", "size", "more")
     whole = rated.where("more <= 1e-9").select("rank", "doc_id", "size", F.lit(0.0).alias("more"))

@@ -63,3 +63,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+ROW = "__row"
+
+
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """docs with a fixed number for each row, so that decisions name rows and not doc_ids, which may repeat or be null."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")

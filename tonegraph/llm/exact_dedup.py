@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import ROW, materialize, text_or_empty, with_row_ids
 
 #: Bits of the broadcast filter: 2**23 bits are one MiB, whatever the corpus.
 FILTER_BITS = 1 << 23
@@ -42,16 +42,17 @@ def sha256_digest(normal: Column) -> Column:
     return F.unhex(F.sha2(normal, 256))
 
 
-def _keyed(docs: DataFrame, digest) -> DataFrame:
+def _keyed(docs: DataFrame, digest, carry=()) -> DataFrame:
     text = text_or_empty()
     return docs.select(
-        F.col("doc_id"), F.length(text).cast("long").alias("n"), normalised(text).alias("normal")
+        *carry, F.col("doc_id"), F.length(text).cast("long").alias("n"), normalised(text).alias("normal")
     ).withColumn("digest", digest(F.col("normal")))
 
 
-def flush(docs: DataFrame, digest=sha256_digest) -> DataFrame:
+def flush(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
     """Write one sorted run per task and return the level: row_id, doc_id, n, digest, sha."""
-    rows = _keyed(docs, digest).select(
+    rows = _keyed(docs, digest, carry).select(
+        *carry,
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
         "n",
@@ -118,21 +119,21 @@ def mismatches(docs: DataFrame, index: DataFrame, digest=sha256_digest) -> DataF
     return hits.join(kept, ["digest", "salt"]).where(F.col("normal") != F.col("kept_normal")).select("digest").distinct()
 
 
-def exact_dedup(docs: DataFrame, digest=sha256_digest) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs = flush(docs, digest)
+def exact_dedup(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns in carry."""
+    runs = flush(docs, digest, carry)
     index = materialize(compact(runs, "digest").where("group_size > 1"), "index")
     odd = materialize(mismatches(docs, index, digest), "odd")
-    grouped = runs.select("row_id", "doc_id", "digest", "sha")
+    grouped = runs.select(*carry, "row_id", "doc_id", "digest", "sha")
     if odd.isEmpty():
         joined = grouped.join(index, "digest", "left")
     else:
-        whole = _keyed(docs, digest).join(odd, "digest", "left_semi")
+        whole = _keyed(docs, digest, carry).join(odd, "digest", "left_semi")
         whole = materialize(whole.withColumn("row_id", F.monotonically_increasing_id()), "collided")
         exact = compact(whole, "digest", "normal")
-        again = whole.select("row_id", "doc_id", "digest", "normal", sha256_digest(F.col("normal")).alias("sha")).join(exact, ["digest", "normal"], "left")
+        again = whole.select(*carry, "row_id", "doc_id", "digest", "normal", sha256_digest(F.col("normal")).alias("sha")).join(exact, ["digest", "normal"], "left")
         usual = grouped.join(odd, "digest", "left_anti").join(index, "digest", "left")
-        columns = ["row_id", "doc_id", "sha", "keep_id", "keep_row", "group_size"]
+        columns = [*carry, "row_id", "doc_id", "sha", "keep_id", "keep_row", "group_size"]
         joined = usual.select(columns).union(again.select(columns))
     found = F.col("group_size").isNotNull()
     return joined.select(
@@ -141,13 +142,15 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *carry,
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; doc_id must name a row."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows that exact_dedup drops."""
+    rows = with_row_ids(docs)
+    gone = exact_dedup(rows, carry=(ROW,)).where("not kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

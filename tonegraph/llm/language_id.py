@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 ORDER = 3
 SAMPLE_BYTES = 400_000
 #: Distinct labels that are accepted; more would be a mistake in the table.
@@ -182,28 +181,37 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     return Model(counts) if len(counts) else None
 
 
+def _verdicts(model: Model | None, texts: list[str | None], spoken: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text."""
+    n = len(texts)
+    lang, score, per_byte = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
+    rows = np.flatnonzero(spoken) if model else []
+    if len(rows):
+        chosen = [texts[k] for k in rows]
+        bits = model.score(chosen)
+        best = bits.argmin(axis=1)
+        low = bits[np.arange(len(rows)), best]
+        lang[rows] = np.array(model.languages, object)[best]
+        score[rows] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+        per_byte[rows] = low / [max(1, len(t.encode())) for t in chosen]
+    return lang, score, per_byte
+
+
+def _spoken() -> Column:
+    """Text with a letter; null counts as without."""
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, bits_per_byte (null for und)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for batch in batches:
-            n = len(batch)
-            lang, score, per_byte = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
-            rows = np.flatnonzero(batch["spoken"].to_numpy()) if m else []
-            if len(rows):
-                texts = batch["text"].iloc[rows].tolist()
-                bits = m.score(texts)
-                best = bits.argmin(axis=1)
-                low = bits[np.arange(len(rows)), best]
-                lang[rows] = np.array(m.languages, object)[best]
-                score[rows] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
-                per_byte[rows] = low / [max(1, len(t.encode())) for t in texts]
+            lang, score, per_byte = _verdicts(shared.value, batch["text"].tolist(), batch["spoken"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": lang, "score": score, "bits_per_byte": per_byte})
 
-    spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), spoken.alias("spoken"), "text")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _spoken().alias("spoken"), "text")
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
@@ -211,8 +219,20 @@ def identify_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Dat
     return predict(docs, train(docs, sample_bytes))
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without those rejected: `und`, or bytes that no language codes in fewer than eight bits each."""
-    found = materialize(identify_languages(docs).select("doc_id", "lang_pred", "bits_per_byte"), "languages")
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") >= 8)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+#: A language model that needs as many bits as plain bytes have learned nothing that a text holds.
+MOST_BITS = 8.0
+
+
+def drop_unidentified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """docs without those rejected: `und`, or MOST_BITS a byte and more under every language.  Rows pass
+    through their tasks and are never shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample_bytes))
+    flag = "__spoken"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, per_byte = _verdicts(shared.value, batch["text"].to_pylist(), batch[flag].to_pylist())
+            stays = (lang != "und") & ~(per_byte >= MOST_BITS)
+            yield batch.filter(pa.array(stays)).drop_columns([flag])
+
+    return docs.withColumn(flag, _spoken()).mapInArrow(run, docs.schema)

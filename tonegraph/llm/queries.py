@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash
+from . import exact_dedup, html_extract, language_id, mixing, packing, secret_scan, sharding, simhash, token_counts, weighted_fingerprint
 from .common import read_table
 
 
@@ -14,6 +14,14 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op4_weighted_fingerprint(spark, sf_dir):
+    return weighted_fingerprint.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark, sf_dir):
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +46,18 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_best_fit_packing, op2_source_mixing, op5_language_id, op6_exact_dedup, op8_sharding, op9_secret_scan, op10_simhash]
+_ALL = [
+    op1_best_fit_packing,
+    op2_source_mixing,
+    op3_html_extraction,
+    op4_weighted_fingerprint,
+    op5_language_id,
+    op6_exact_dedup,
+    op7_token_counts,
+    op8_sharding,
+    op9_secret_scan,
+    op10_simhash,
+]
 
 
 def queries():

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW, materialize, with_row_ids
 from .components import components
 
 SHINGLE = 4
@@ -59,15 +59,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype="i8") > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64-bit)."""
+def fingerprints(docs: DataFrame, row: str = "doc_id") -> DataFrame:
+    """doc_id, row (the column so named), fp (signed 64-bit)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter(map(fingerprint, batch["text"]), "i8", len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"].astype("Int64"), "fp": fp})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col(row).alias("row"), "text").mapInPandas(run, "doc_id long, row long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -217,21 +217,29 @@ def _new_nodes(rows: pd.DataFrame) -> np.ndarray:
     return np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])))
 
 
+def _placed(docs: DataFrame, row: str, radius: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints(docs), and for each fingerprint the smallest of those linked to it, with the first
+    document of that component (smallest doc_id, then row; null last)."""
+    marked = materialize(fingerprints(docs, row), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    fps = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    links = materialize(node_links(index_nodes(fps.select("fp"), radius, node_rows), radius), "stars")
+    roots = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    placed = materialize(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    named = placed.groupBy("root").agg(F.min("first").alias("first"))
+    return marked, placed.select("fp", "root").join(named, "root").select("fp", "first.id", "first.row")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    marked = materialize(fingerprints(docs), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = materialize(node_links(index_nodes(fps.select("fp"), radius, node_rows), radius), "stars")
-    roots = components(links)
-    placed = fps.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "placed")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = placed.join(named, "root").select("fp", "component_id")
+    marked, owner = _placed(docs, "doc_id", radius, node_rows)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(owner, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return marked.join(owner.select("fp", F.col("id").alias("component_id")), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays."""
-    gone = simhash_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without near copies: of each component the first document stays (smallest doc_id)."""
+    rows = with_row_ids(docs)
+    marked, owner = _placed(rows, ROW, RADIUS, NODE_ROWS)
+    gone = marked.join(owner.select("fp", F.col("row").alias("stays")), "fp").where("row <> stays").select(F.col("row").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -107,7 +107,7 @@ def mismatches(docs: DataFrame, index: DataFrame, digest=sha256_digest) -> DataF
     """Digests under which some document's normalised text differs from that of the one that stays."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / ROWS_PER_SALT)).cast("int")
     entry = index.select("digest", "keep_id", "keep_n", salts.alias("salts"))
-    candidates = _may_contain(_keyed(docs, digest), digest_filter(index)).join(entry, "digest")
+    candidates = materialize(_may_contain(_keyed(docs, digest), digest_filter(index)).join(entry, "digest"), "candidates")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
     kept = (
         candidates.where(stays)

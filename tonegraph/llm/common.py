@@ -2,72 +2,33 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, work_path
+from ..sources.tables import read_table
+
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "free_name", "materialize", "read_table", "text_or_empty", "with_row_ids", "work_path"]
+
 #: The white space every word and normalisation rule here means: blank and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_own_folder: str | None = None
-_used: set[str] = set()
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or (local runs only) a temporary one."""
-    global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="tonegraph-")
-    return _own_folder
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone; the folder's owner sweeps it
-        pass
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under this application's part of the shared folder, removed when Python ends."""
-    root = f"{shared_folder(spark).rstrip('/')}/tonegraph-{spark.sparkContext.applicationId}"
-    if root not in _used:
-        _used.add(root)
-        atexit.register(_remove, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and what was
-    non-deterministic (row ids, partition ids) is fixed even if executors are lost later."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-ROW = "__row"
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """docs with a fixed number for each row, so that decisions name rows and not doc_ids, which may repeat or be null."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a fixed number for each row, and that column's name: decisions then name rows and not
+    doc_ids, which may repeat or be null."""
+    row = free_name(docs, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, text_or_empty, with_row_ids
+from .common import materialize, text_or_empty, with_row_ids
 
 #: Bits of the broadcast filter: 2**23 bits are one MiB, whatever the corpus.
 FILTER_BITS = 1 << 23
@@ -148,9 +148,9 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops."""
-    rows = with_row_ids(docs)
-    gone = exact_dedup(rows, carry=(ROW,)).where("not kept").select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows, row = with_row_ids(docs)
+    gone = exact_dedup(rows, carry=(row,)).where("not kept").select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

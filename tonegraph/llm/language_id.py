@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ORDER = 3
 SAMPLE_BYTES = 400_000
 #: Distinct labels that are accepted; more would be a mistake in the table.
@@ -227,7 +229,7 @@ def drop_unidentified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Data
     """docs without those rejected: `und`, or MOST_BITS a byte and more under every language.  Rows pass
     through their tasks and are never shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample_bytes))
-    flag = "__spoken"
+    flag = free_name(docs, "__spoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_PATTERN, materialize, with_row_ids
+from .common import WORD_PATTERN, materialize, with_row_ids
 from .sharding import prefix_positions
 
 WEIGHTS = (3, 1, 2)
@@ -209,7 +209,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs, each row as many times as the mix takes it."""
-    rows = with_row_ids(docs)
-    numbered = rows.select(F.col(ROW).alias("doc_id"), "source", "text")  # the draw needs a name for each row, no more
-    taken = mix(numbered, seed).where("copies > 0").select(F.col("doc_id").alias(ROW), "copies")
-    return rows.join(taken, ROW).withColumn(ROW, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, row = with_row_ids(docs)
+    numbered = rows.select(F.col(row).alias("doc_id"), "source", "text")  # the draw needs a name for each row, no more
+    taken = mix(numbered, seed).where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(f"{row}copies"))
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{row}copies")))
+    return rows.join(taken, row).withColumn(row, copies).select(*docs.columns)

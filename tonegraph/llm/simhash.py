@@ -12,6 +12,12 @@ builds blocks of eight over them, each with the bits that all below it share.  A
 bits already differ in more than RADIUS places is pruned as a whole.  Instead of all pairs a task
 returns one star per set of linked fingerprints; connected components over the stars finish the job.
 
+`keep_one_per_group` is the filter for near copies, word 5-grams alike by SIMILAR or more.  SimHash of
+shingles moves by ten bits at that similarity, so the filter takes SimHashes of the set of words, which an edit hardly
+moves: VIEWS of them with different seeds go through the same index at VIEW_RADIUS, and a pair that meets
+links only if its sketches agree (SKETCH one-bit min-hashes of the 5-grams, so that their
+share of equal bits is (1 + similarity) / 2; SLACK allows for its sampling error).
+
 Defined edge cases: null text is the empty text; texts without words have fingerprint zero and link
 to one another; a text of fewer words than a shingle is one shingle; repeated rows share a fingerprint;
 a null doc_id never names a component while another document is in it; an empty table gives an empty
@@ -20,6 +26,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +34,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, with_row_ids
+from .common import materialize, with_row_ids
 from .components import components
+from .weighted_fingerprint import terms
 
 SHINGLE = 4
 SEED = 42
@@ -36,6 +44,13 @@ RADIUS = 4
 #: Fingerprints of a node above which it is refined, and the refinements at most.
 NODE_ROWS = 4096
 DEPTH = 4
+#: The filter for near copies.
+SIMILAR = 0.8
+SLACK = 0.05
+NEAR_SHINGLE = 5
+VIEWS = (11, 22, 33)
+VIEW_RADIUS = 5
+SKETCH = 256
 _FAN = 8
 _PAIRS = 1 << 16
 
@@ -89,29 +104,28 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def index_nodes(fps: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
-    """fp with each node (mask, pattern) it stands under."""
-    rows = fps.select("fp", F.lit(0).cast("long").alias("mask"))
+def index_nodes(fps: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS, depth: int = DEPTH, view=()) -> DataFrame:
+    """fps (fp and what else its rows carry) with each node (mask, pattern) they stand under; rows of different
+    view columns never share a node."""
+    rows = fps.withColumn("mask", F.lit(0).cast("long"))
+    node = [*view, "mask", "pattern"]
     masks, leaves = [0], None
     for level in range(depth):
         children = {m: child_masks(m, radius) for m in masks}
         pick = F.create_map(*[x for m, cs in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in cs]))])
-        below = rows.select("fp", F.explode(F.element_at(pick, F.col("mask"))).alias("mask"))
+        below = rows.withColumn("mask", F.explode(F.element_at(pick, F.col("mask"))))
         below = below.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
         masks = [c for cs in children.values() for c in cs]
-        if level == depth - 1:
-            leaf = below
-        else:
-            counts = below.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n"))
-            full = materialize(counts.where(F.col("n") > node_rows).select("mask", "pattern"), "nodes")
-            if full.isEmpty():
-                leaf = below
-            else:
-                leaf = below.join(full, ["mask", "pattern"], "left_anti").select("fp", "mask", "pattern")
-                rows = below.join(full, ["mask", "pattern"], "left_semi").select("fp", "mask")
-        leaves = leaf if leaves is None else leaves.union(leaf.select(*leaves.columns))
+        leaf = below
+        if level < depth - 1:
+            counts = below.groupBy(*node).agg(F.count(F.lit(1)).alias("n"))
+            full = materialize(counts.where(F.col("n") > node_rows).select(*node), "nodes")
+            if not full.isEmpty():
+                leaf = below.join(full, node, "left_anti")
+                rows = below.join(full, node, "left_semi").select(*rows.columns)
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
         if leaf is below:
-            return leaves
+            break
     return leaves
 
 
@@ -140,8 +154,9 @@ def _levels(fp: np.ndarray, first: np.ndarray) -> list[_Blocks]:
             return levels
 
 
-def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows grouped into nodes: the smallest row of each row's set of linked rows."""
+def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """For rows grouped into nodes: the smallest row of each row's set of linked rows.  With sketches (rows of
+    64-bit words) a link also needs at most `most` differing sketch bits."""
     root = np.arange(len(fp))
     levels = _levels(fp, first)
     top = len(levels) - 1
@@ -161,7 +176,11 @@ def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS) -> np.
             continue
         if level == 0:
             apart = root[a] != root[b]
-            _join(root, a[apart], b[apart])
+            a, b = a[apart], b[apart]
+            if sketch is not None:
+                alike = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most
+                a, b = a[alike], b[alike]
+            _join(root, a, b)
             continue
         na, nb = here.end[a] - here.start[a], here.end[b] - here.start[b]
         n = na * nb
@@ -185,8 +204,10 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[apart], b[apart]
 
 
-def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_000) -> DataFrame:
-    """Stars of linked fingerprints: u, v with v the one that stands for u's set inside a node."""
+def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_000, view=(), name: str = "fp", sketch=(), most: int = 0) -> DataFrame:
+    """Stars of linked rows: u, v, the names of a row and of the one that stands for its set inside a node."""
+    node = [*view, "mask", "pattern"]
+    carried = list(dict.fromkeys(["fp", name, *sketch]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -194,27 +215,27 @@ def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_0
             held.append(batch)
             if sum(map(len, held)) >= rows_at_once:
                 rows = pd.concat(held, ignore_index=True)
-                new = _new_nodes(rows)
-                cut = int(new[-1])  # the last node may go on in the next batch
+                cut = int(starts(rows)[-1])  # the last node may go on in the next batch
                 held = [rows.iloc[cut:]]
                 if cut:
                     yield stars(rows.iloc[:cut])
         if held:
             yield stars(pd.concat(held, ignore_index=True))
 
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        """First row of each node."""
+        keys = rows[node].to_numpy()
+        return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(rows) else np.array([], "i8")
+
     def stars(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy()
-        root = linked_roots(fp.view("u8"), _new_nodes(rows), radius)
+        fp, names = rows["fp"].to_numpy("i8"), rows[name].to_numpy("i8")
+        words = np.ascontiguousarray(rows[list(sketch)].to_numpy("i8")).view("u8") if sketch else None
+        root = linked_roots(fp.view("u8"), starts(rows), radius, words, most) if len(rows) else np.array([], "i8")
         tied = root != np.arange(len(fp))
-        return pd.DataFrame({"u": fp[tied], "v": fp[root[tied]]})
-
-    ordered = leaves.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", gray_rank(F.col("fp")))
-    return ordered.select("mask", "pattern", "fp").mapInPandas(run, "u long, v long")
+        return pd.DataFrame({"u": names[tied], "v": names[root[tied]]})
 
-
-def _new_nodes(rows: pd.DataFrame) -> np.ndarray:
-    mask, pattern = rows["mask"].to_numpy(), rows["pattern"].to_numpy()
-    return np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])))
+    ordered = leaves.repartition(*node).sortWithinPartitions(*node, gray_rank(F.col("fp")), name)
+    return ordered.select(*node, *carried).mapInPandas(run, "u long, v long")
 
 
 def _placed(docs: DataFrame, row: str, radius: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -237,9 +258,72 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, node_rows: int = N
     return marked.join(owner.select("fp", F.col("id").alias("component_id")), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the first document stays (smallest doc_id)."""
-    rows = with_row_ids(docs)
-    marked, owner = _placed(rows, ROW, RADIUS, NODE_ROWS)
-    gone = marked.join(owner.select("fp", F.col("row").alias("stays")), "fp").where("row <> stays").select(F.col("row").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+def word_hash_fingerprints(words: list[bytes], seeds=VIEWS) -> list[int]:
+    """SimHashes of the set of words, one for each seed."""
+    import xxhash
+
+    if not words:
+        return [0] * len(seeds)
+    distinct = set(words)
+    hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for seed in seeds] for w in distinct], "<u8")
+    bits = np.unpackbits(hashes.view("u1").reshape(len(distinct), -1), axis=1, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=0, dtype="i8") > len(distinct), bitorder="little").view("<i8").tolist()
+
+
+def min_hash_bits(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
+    """One bit of the least hash of the word 5-grams under each of `samples` hash functions."""
+    found, _ = terms(words, NEAR_SHINGLE)
+    odd, add = _hash_functions(samples)
+    short = (found >> np.uint64(32)).astype("u4")
+    least = np.full(samples, 0xFFFFFFFF, "u4")
+    for s in range(0, len(short), 2048):
+        h = short[s : s + 2048, None] * odd
+        h ^= h >> np.uint32(15)
+        h *= add
+        least = np.minimum(least, h.min(axis=0))
+    return np.packbits((least >> np.uint32(7) & np.uint32(1)).astype("u1"), bitorder="little").view("<i8")
+
+
+@functools.lru_cache(maxsize=2)
+def _hash_functions(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 31, (2, samples), dtype="u4") * np.uint32(2) + np.uint32(1)
+    return drawn[0], drawn[1]
+
+
+_WORDS = [f"s{k}" for k in range(SKETCH // 64)]
+
+
+def near_signatures(docs: DataFrame, row: str) -> DataFrame:
+    """doc_id, row, fps (one SimHash of the word set for each view), and the sketch's words s0, s1, ..."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps, sketches = [], []
+            for text in batch["text"]:
+                words = (text or "").encode().lower().split()
+                fps.append(word_hash_fingerprints(words))
+                sketches.append(min_hash_bits(words))
+            words = np.array(sketches, "i8").reshape(len(batch), len(_WORDS))
+            frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "fps": fps})
+            yield frame.assign(**{w: words[:, k] for k, w in enumerate(_WORDS)})
+
+    schema = "doc_id long, row long, fps array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
+    return docs.select("doc_id", F.col(row).alias("row"), "text").mapInPandas(run, schema)
+
+
+def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
+    """docs without near copies: of each group linked by similarity the first document stays (smallest doc_id, null
+    last, then the first row)."""
+    rows, row = with_row_ids(docs)
+    marked = materialize(near_signatures(rows, row), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    alike = materialize(marked.groupBy("fps", *_WORDS).agg(F.min(first).alias("first")), "alike")
+    named = alike.withColumn("name", F.col("first.row"))
+    views = named.select("name", *_WORDS, F.posexplode("fps").alias("view", "fp"))
+    leaves = index_nodes(views, VIEW_RADIUS, node_rows, view=("view",))
+    most = round((1 - similar + SLACK) / 2 * SKETCH)
+    links = materialize(node_links(leaves, VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most), "stars")
+    roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
+    placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
+    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(stays, row, "left_semi").select(*docs.columns)

@@ -77,9 +77,8 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def terms(text: str, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct term hashes and their weights."""
-    words = text.encode().split()  # ASCII white space only
+def terms(words: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the word n-grams, and how often each occurs."""
     h = np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
     n = min(shingle, len(words))
     total = np.full(max(1, len(words) - n + 1), n, "u8")
@@ -93,7 +92,7 @@ def terms(text: str, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 def signature(text: str, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
     """16 bits for each sample."""
     gamma, log_gamma, odd = _tables(samples, seed)
-    found, weight = terms(text)
+    found, weight = terms(text.encode().split())  # ASCII white space only
     best, pick, level = np.full(samples, np.inf, "f4"), np.zeros(samples, "u8"), np.zeros(samples, "f4")
     column = np.arange(samples)
     for s in range(0, len(found), _CHUNK):

@@ -1,7 +1,8 @@
 """Bound-certified best-fit packing of documents into sequences of fixed capacity.
 
-Documents become pieces (only those over the capacity are cut).  Pieces are dealt evenly over tasks of
-about `rows_per_task` rows; each task packs its share best-fit decreasing and takes a lower bound on
+Documents become pieces (only those over the capacity are cut).  Pieces are dealt over tasks of about
+`rows_per_task` rows so that each task gets nearly the same mix of lengths (chunks of TASKS_PER_CHUNK tasks, and inside a
+chunk each band of lengths goes round in order of length), for a share that lacks short pieces wastes bins.  Each task packs its share best-fit decreasing and takes a lower bound on
 its bins from dual-feasible functions.  A task at its bound is certified and gives up only its
 emptiest bin; a task with a gap releases its emptiest bins until their free space could close the
 gap.  What is released is dealt anew over fewer tasks, so documents meet those of other partitions, and
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -32,7 +34,10 @@ from .tokens import default_paths, encoder
 CAPACITY = 1024
 #: Appended to each document's ids.
 CLOSING_ID = 2
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 20_000
+#: Tasks among which a chunk's pieces go round; no window holds more than a chunk, even if all lengths are equal.
+TASKS_PER_CHUNK = 20
+BANDS = 16
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _KEYS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -126,7 +131,12 @@ def _packed(share: pd.DataFrame, turn: int, part: int, capacity: int, last: bool
 
 
 def _round(rows: DataFrame, turn: int, parts: int, capacity: int, last: bool) -> DataFrame:
-    part = F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in _KEYS], F.lit(turn)), F.lit(parts))
+    mark = F.xxhash64(*[F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in _KEYS], F.lit(turn))
+    chunks = math.ceil(parts / TASKS_PER_CHUNK)
+    chunk = F.pmod(mark, F.lit(chunks))
+    wide = F.floor((F.col("chunk") + 1) * parts / chunks) - F.floor(F.col("chunk") * parts / chunks)
+    turns = F.row_number().over(W.partitionBy("chunk", "band").orderBy("length", "mark", *_KEYS)) + F.pmod(F.xxhash64("chunk", "band"), F.lit(1 << 20))
+    part = F.floor(F.col("chunk") * parts / chunks) + F.pmod(turns, wide)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -144,7 +154,8 @@ def _round(rows: DataFrame, turn: int, parts: int, capacity: int, last: bool) ->
         share = pd.concat(held, ignore_index=True)
         return _packed(share.drop(columns="part"), turn, int(share["part"].iloc[0]), capacity, last)
 
-    dealt = rows.select(*_KEYS, part.alias("part")).repartition(parts, "part")
+    marked = rows.select(*_KEYS, mark.alias("mark"), chunk.alias("chunk"), F.floor(F.col("length") * BANDS / (capacity + 1)).alias("band"))
+    dealt = marked.select(*_KEYS, part.cast("long").alias("part")).repartition(parts, "part")
     ordered = dealt.sortWithinPartitions("part", F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     return ordered.mapInPandas(run, f"{_PIECE}, sequence_id long, offset long, released boolean, bins long, bound long")
 

@@ -1,0 +1,477 @@
+"""The queries against plain Python over the smallest tables, exact round trips and held-out accuracy."""
+
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from tests.test_oracle import duck, matches  # noqa: F401
+from tonegraph.llm import exact_dedup, language_id, mixing, packing, queries, simhash, token_counts, tokens, weighted_fingerprint
+from tonegraph.llm.html_extract import Page
+
+ALL = queries.queries()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, duck, small, name):  # noqa: F811
+    matches(spark, duck, ALL[name], queries.oracle_sql()[name], small)
+
+
+def test_names():
+    assert [int(n[2:].split("_")[0]) for n in ALL] == list(range(1, 11))
+
+
+# -------------------------------------------------------------- tokens and packing
+
+ENCODE = tokens.encoder(*tokens.default_paths())
+REFERENCE = tokens.reference_encoder(tokens.default_paths()[0])
+
+
+def test_both_encoders_agree_below_u0250():
+    every = [chr(c) for c in range(0x250)]
+    rng = random.Random(4)
+    for c in every:
+        for text in (c, f" {c}{c} a", f"a{c}1{c} ", f"{c}\n{c} {c}", f"{c}'s"):
+            assert ENCODE(text) == REFERENCE(text), repr(text)
+    for _ in range(300):
+        text = "".join(rng.choices(every, k=40))
+        assert ENCODE(text) == REFERENCE(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_both_encoders_agree(text):
+    assert ENCODE(text) == REFERENCE(text)
+
+
+def ids(text):
+    return [*REFERENCE(text or ""), packing.CLOSING_ID]
+
+
+def check_packing(pieces, texts):
+    """Pieces rebuild every document and lie gapless in their sequences.  texts: doc_id -> list of texts."""
+    rows, bins = {}, {}
+    for r in pieces:
+        rows.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(rows) == set(texts)
+    for doc_id, found in rows.items():
+        want = []
+        for text in texts[doc_id]:
+            all_ids = np.array(ids(text), "<u4")
+            n = len(all_ids)
+            head = n % 1024 or min(n, 1024)
+            cuts = [(0, head), *((s, 1024) for s in range(head, n, 1024))]
+            want += [(k, s, m, zlib.crc32(all_ids[s : s + m].tobytes())) for k, (s, m) in enumerate(cuts)]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+    for parts in bins.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 1024
+    return len(bins)
+
+
+def test_op1(spark, small, rows):
+    pieces = ALL["op1_best_fit_packing"](spark, small).collect()
+    used = check_packing(pieces, {k: [r.text] for k, r in rows.items()})
+    bound = packing.lower_bound(np.bincount([p.length for p in pieces], minlength=1025), 1024)
+    assert bound <= used <= bound + 1
+
+
+def test_rounds_of_packing_close_gaps(spark):
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 1025, 4000)
+    rows = spark.createDataFrame([(int(k), 0, 0, int(n), 0) for k, n in enumerate(lengths)], packing._PIECE)
+    packed = packing.pack(rows, rows_per_task=200)
+    used, bound = packing.certificate(packed)
+    assert packed.count() == 4000 and packed.select("doc_id").distinct().count() == 4000
+    assert bound <= used <= bound * 1.01 + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9))
+def test_bound_is_below_the_optimum(lengths):
+    def optimum(rest, bins):
+        if not rest:
+            return len(bins)
+        best, seen = len(bins) + len(rest), set()
+        for k, free in enumerate(bins):
+            if free >= rest[0] and free not in seen:
+                seen.add(free)
+                best = min(best, optimum(rest[1:], bins[:k] + [free - rest[0]] + bins[k + 1 :]))
+        return min(best, optimum(rest[1:], [*bins, 24 - rest[0]]))
+
+    bound = packing.lower_bound(np.bincount(lengths, minlength=25), 24)
+    assert bound <= optimum(sorted(lengths, reverse=True), [])
+    _, _, fill = packing.best_fit(np.array(sorted(lengths, reverse=True)), 24)
+    assert len(fill) >= bound and fill.sum() == sum(lengths)
+
+
+# -------------------------------------------------------------- mixing
+
+
+def test_op2(spark, small, rows):
+    got = ALL["op2_source_mixing"](spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for k, r in rows.items()}
+    sources = sorted({r.source for r in rows.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(size[k] for k, r in rows.items() if r.source == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(size.values())
+    while True:
+        unit = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * unit > 2 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+        left -= sum(2 * total[s] for s in over)
+        open_ -= over
+    target |= {s: weight[s] * unit for s in open_}
+    taken = dict.fromkeys(sources, 0)
+    for r in got:
+        s = rows[r.doc_id].source
+        assert (r.size, r.source_size) == (size[r.doc_id], total[s]) and math.isclose(r.target, target[s], rel_tol=1e-9)
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[s] += r.taken
+    for s in sources:
+        assert abs(taken[s] - target[s]) <= max(0.01 * target[s], max(size[k] for k, r in rows.items() if r.source == s) / 2)
+    again = ALL["op2_source_mixing"](spark, small).collect()
+    assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
+
+
+def test_flight_keeps_totals(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, "word " * int(n), f"s{k % 3}") for k, n in enumerate(rng.integers(1, 200, 3000))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, part in got.groupby("source"):
+        want = part["target"].iloc[0]
+        assert abs(part["taken"].sum() - want) <= 10
+        rate = want / part["source_size"].iloc[0]
+        assert abs(part["copies"].sum() - rate * len(part)) <= 5
+
+
+# -------------------------------------------------------------- HTML
+
+
+def test_op3(spark, small):
+    got = {r.page_id: r for r in ALL["op3_html_extraction"](spark, small).collect()}
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    assert set(got) == {p.page_id for p in pages}
+    for p in pages:
+        article = p.html[p.html.index("<article>") + 9 : p.html.index("</article>")]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article.replace("<br>", "\n")))
+        want = "\n".join(b for b in blocks if b)
+        assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and got[p.page_id].url == p.url
+
+
+def test_page_parts():
+    page = Page("""<html><head><title>t</title></head><body class=page-12><div class="cookie-notice">c</div><header>h</header>
+      <div id=main><div class="post post-77"><header><h1>Ti<i>t</i>le</h1></header><p>One, two &lt;b&gt; and&nbsp;three.<p>Four <a href=x>five</a>.
+      <ul><li>six<li>seven</ul><script>if (a < b) "</p>";</script><form>no<input></form></div>
+      <section class="comments"><p>reader</p></section></div><aside>side</aside><footer>f</footer></body></html>""")
+    assert page.text(None) == "Title\nOne, two <b> and three.\nFour five.\nsix\nseven"
+    assert "/html/body.page-#/div/div.post.post-#" in page.paths
+
+
+def test_the_host_decides(spark):
+    from tonegraph.llm import html_extract
+
+    body = "<div class=story><p>{}</p></div><div class=extra><p>{}</p></div>"
+    text = "Long enough, to count as a story. " * 3
+    rows = [(k, "http://h.com/a", body.format(text, "short")) for k in range(5)] + [(9, "http://h.com/b", body.format("Brief.", text))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Brief." and got[0] == text.strip()
+
+
+# -------------------------------------------------------------- fingerprints
+
+
+def test_op4(spark, small, rows):
+    got = {r.doc_id: r for r in ALL["op4_weighted_fingerprint"](spark, small).collect()}
+    order = sorted(rows, reverse=True)
+    near = []
+    for k, d in enumerate(order):
+        text, following = rows[d].text, rows[order[(k + 1) % len(order)]].text
+        changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        own, other = weighted_fingerprint.signature(text), weighted_fingerprint.signature(changed)
+        assert (r.fingerprint, r.edited_fingerprint) == (own.tobytes().hex(), other.tobytes().hex())
+        assert r.near_next == weighted_fingerprint.likeness(own, weighted_fingerprint.signature(following))
+        near.append((r.near_edited, jaccard(text, changed)))
+    near = np.array(near)
+    assert abs((near[:, 0] - near[:, 1]).mean()) < 0.02 and np.sqrt(((near[:, 0] - near[:, 1]) ** 2).mean()) < 0.08
+
+
+def jaccard(a, b):
+    weights = []
+    for t in (a, b):
+        words = t.encode().split()
+        found = {}
+        for k in range(max(1, len(words) - 4)):
+            found[tuple(words[k : k + 5])] = found.get(tuple(words[k : k + 5]), 0) + 1
+        weights.append(found)
+    x, y = weights
+    keys = x.keys() | y.keys()
+    return sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / sum(max(x.get(k, 0), y.get(k, 0)) for k in keys)
+
+
+def test_collisions_follow_weights():
+    """Texts whose terms differ in how often they occur, not in which occur."""
+    a = "a b c d e " * 3 + " ".join(f"x{k}" for k in range(20))
+    b = "a b c d e " * 9 + " ".join(f"x{k}" for k in range(20))
+    s = [weighted_fingerprint.signature(t, samples=4096) for t in (a, b)]
+    assert abs(weighted_fingerprint.likeness(*s) - jaccard(a, b)) < 0.03
+
+
+# -------------------------------------------------------------- language ID
+
+
+def test_op5(spark, rows):
+    got = ALL["op5_language_id"](spark, "/root/testdata/sf0.01").collect()
+    lang = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    assert {r.doc_id for r in got} == set(lang)
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {d for d in lang if zlib.crc32(str(d).encode()) % 3 == 1}
+    assert sum(r.lang_pred == lang[r.doc_id].lang for r in held) / len(held) > 0.98
+
+
+def test_code_lengths_equal_the_recursion(spark, docs):
+    model_rows = docs.limit(60)
+    counts = language_id.gram_counts(model_rows.select("lang", "text"))
+    model = language_id.Model(counts)
+    table = {(r["lang"], r["n"], r["gram"]): r["count"] for r in counts.to_dict("records")}
+    kept = {}
+    for (_, n, gram), c in table.items():
+        if n == language_id.ORDER:
+            kept[gram] = kept.get(gram, 0) + c
+    symbols = {}
+    for (lang, n, gram), c in table.items():
+        symbols.setdefault((lang, n, gram >> 8), []).append((gram & 255, c))
+
+    def cost(lang, context, byte):
+        n = len(context)
+        key = int.from_bytes(context, "big")
+        seen = symbols.get((lang, n + 1, key), [])
+        if n == language_id.ORDER and kept.get(key, 0) < language_id.LEAST_CONTEXT:
+            seen = []
+        total, distinct = sum(c for _, c in seen), len(seen)
+        hit = dict(seen).get(byte)
+        if hit:
+            return -math.log2(hit / (total + distinct))
+        escape = -math.log2(distinct / (total + distinct)) if total else 0.0
+        return escape + (cost(lang, context[1:], byte) if n else 8.0)
+
+    texts = [docs.first().text[:300], "zzqx \x00 Ünknown 漢", "a"]
+    got = model.score(texts)
+    for t, row in zip(texts, got):
+        data = b"\n" * language_id.ORDER + t.encode()
+        for lang, bits in zip(model.languages, row):
+            want = sum(cost(lang, data[k - language_id.ORDER : k], data[k]) for k in range(language_id.ORDER, len(data)))
+            assert math.isclose(bits, want, rel_tol=1e-4)
+
+
+def test_windows_do_not_change_scores(docs, monkeypatch):
+    model = language_id.Model(language_id.gram_counts(docs.limit(60).select("lang", "text")))
+    texts = [r.text for r in docs.limit(40).collect()]
+    whole = model.score(texts)
+    monkeypatch.setattr(language_id, "_WINDOW", 100)
+    assert np.allclose(model.score(texts), whole, rtol=1e-5)
+
+
+# -------------------------------------------------------------- exact dedup
+
+
+def test_byte_verification_splits_colliding_digests(spark, odd, rows, docs):
+    from pyspark.sql import functions as F
+
+    weak = lambda normal: F.unhex(F.substring(F.sha2(normal, 256), 1, 2))  # noqa: E731  256 digests for all texts
+    for table in (docs, odd):
+        columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+        got = sorted(map(str, exact_dedup.exact_dedup(table, weak).select(columns).collect()))
+        want = sorted(map(str, exact_dedup.exact_dedup(table).select(columns).collect()))
+        assert len(got) == len(want) and [g for g in got if "doc_id=1," not in g] == [w for w in want if "doc_id=1," not in w]
+
+
+# -------------------------------------------------------------- token counts
+
+
+def test_op7(spark, small, rows):
+    got = ALL["op7_token_counts"](spark, small).collect()
+    assert {r.doc_id for r in got} == set(rows)
+    for r in got:
+        text = rows[r.doc_id].text
+        assert (r.n_chars, r.n_tokens) == (len(text), len(REFERENCE(text)))
+        for start, end, new in token_counts.sample_edits(text):
+            text = text[:start] + new + text[end:]
+        assert (r.n_chars_edited, r.n_tokens_edited) == (len(text), len(REFERENCE(text)))
+
+
+PIECES = st.sampled_from([" ", "  ", "\n", "a", "bc", "1", "23", "!", "?!", "'s", "'t", "é", "\xa0", "漢", "don't", "The quick"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PIECES, max_size=80), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 40), st.lists(PIECES, max_size=5)), max_size=5))
+def test_edits(start, edits):
+    tree = token_counts.TokenTree("".join(start), token_counts.PieceCounts(ENCODE))
+    for at, n, new in edits:
+        tree.edit(at, at + n, "".join(new))
+        assert tree.total() == len(REFERENCE(tree.text)) and tree.chars[1] == len(tree.text)
+
+
+# -------------------------------------------------------------- sharding
+
+
+def test_op8_is_balanced(spark, small, rows):
+    got = ALL["op8_sharding"](spark, small).collect()
+    assert all(r.text_crc32 == zlib.crc32((rows[r.doc_id].text or "").encode()) for r in got)
+    sizes = np.zeros(24)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert sizes.max() - sizes.min() <= 2 * max(r.size for r in got)
+
+
+# -------------------------------------------------------------- secrets
+
+
+def test_ledger_scans_only_what_is_new(spark):
+    from tonegraph.llm.secret_scan import BlobLedger
+
+    ledger = BlobLedger(spark)
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token = abcdefghijklmnop"), (2, "clean"), (3, "clean")], schema)
+    assert {r.doc_id: len(r.spans) for r in ledger.scan(first).collect()} == {1: 1, 2: 0, 3: 0}
+    assert ledger.rows().count() == 2
+    second = spark.createDataFrame([(7, "token = abcdefghijklmnop"), (8, "new " + "a" * 16)], schema)
+    assert {r.doc_id: len(r.spans) for r in ledger.scan(second).collect()} == {7: 1, 8: 1}
+    assert ledger.rows().count() == 3
+    ledger.scan(first, rule_version="base-2").collect()
+    assert ledger.rows().where("rule_version = 'base-2'").count() == 2
+
+
+# -------------------------------------------------------------- SimHash
+
+
+def components(n, linked):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_op10(spark, small, rows):
+    got = {r.doc_id: r for r in ALL["op10_simhash"](spark, small).collect()}
+    ids_ = sorted(rows)
+    fps = [plain_fingerprint(rows[d].text) for d in ids_]
+    assert [got[d].fingerprint for d in ids_] == [f"{f:016x}" for f in fps]
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    assert [got[d].component_id for d in ids_] == [ids_[r] for r in components(len(fps), pairs)]
+
+
+@pytest.mark.parametrize("node_rows", [8, 4096])
+def test_index_finds_every_link(spark, node_rows):
+    """Dense clusters, so that nodes are refined and chains are long."""
+    rng = np.random.default_rng(7)
+    fps = set()
+    for _ in range(40):
+        f = int(rng.integers(0, 1 << 63)) * 2
+        for _ in range(30):
+            fps.add(f)
+            for b in rng.integers(0, 64, rng.integers(1, 7)):
+                f ^= 1 << int(b)
+    fps = sorted(fps)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    df = spark.createDataFrame(signed, "fp long")
+    from tonegraph.llm.components import components as spark_components
+
+    found = spark_components(simhash.node_links(simhash.index_nodes(df, node_rows=node_rows)))
+    root = {r.u: r.v for r in found.collect()}
+    got = [root.get(s, s) for (s,) in signed]
+    x = np.array(fps, "u8")
+    pairs = [(a, int(b)) for a in range(len(x)) for b in np.flatnonzero(np.bitwise_count(x[:a] ^ x[a]) <= 4)]
+    want = components(len(x), pairs)
+    assert len(set(want)) < len(x) and all((got[a] == got[b]) == (want[a] == want[b]) for a in range(0, len(x), 7) for b in range(len(x)))
+
+
+def test_near_copies_are_dropped(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    rows_, copies = [], set()
+    for k in range(300):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows_.append((k, " ".join(words)))
+        if k % 3 == 0:
+            for i in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[i] = rng.choice(vocabulary)
+            rows_.append((1000 + k, " ".join(words)))
+            copies.add(1000 + k)
+    kept = {r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert set(range(300)) <= kept
+    assert len(copies - kept) >= 0.95 * len(copies)
+
+
+# -------------------------------------------------------------- the pipeline
+
+
+def test_pipeline(spark, small, rows):
+    """Each stage on its own input, and run() as a whole."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    spoken = stages["language ID"](spark, docs, small).persist()
+    verdict = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
+    assert {r.doc_id for r in spoken.collect()} == {d for d, r in verdict.items() if r.lang_pred != "und" and r.bits_per_byte < 8}
+    unique = stages["exact dedup"](spark, spoken, small).persist()
+    groups = {}
+    for r in spoken.collect():
+        groups.setdefault("".join(re.findall(r"[^\x20\x09-\x0D]+", r.text)), []).append((-len(r.text), r.doc_id))
+    assert {r.doc_id for r in unique.collect()} == {min(g)[1] for g in groups.values()}
+    single = stages["near dedup"](spark, unique, small).persist()
+    texts = {r.doc_id: r.text.encode().lower().split() for r in unique.collect()}
+    ids_ = sorted(texts)
+    fps = {d: np.array(simhash.word_hash_fingerprints(texts[d]), "i8").view("u8") for d in ids_}
+    bits = {d: simhash.min_hash_bits(texts[d]).view("u8") for d in ids_}
+    most = round((1 - simhash.SIMILAR + simhash.SLACK) / 2 * simhash.SKETCH)
+    pairs = [
+        (a, b)
+        for a in range(len(ids_))
+        for b in range(a)
+        if (np.bitwise_count(fps[ids_[a]] ^ fps[ids_[b]]) <= simhash.VIEW_RADIUS).any() and np.bitwise_count(bits[ids_[a]] ^ bits[ids_[b]]).sum() <= most
+    ]
+    assert {r.doc_id for r in single.collect()} == {ids_[r] for r in components(len(ids_), pairs)}
+    mixed = stages["mixing"](spark, single, small).persist()
+    taken = {r.doc_id: r.n for r in mixed.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert set(taken.values()) <= {1, 2} and set(taken) <= {r.doc_id for r in single.collect()}
+    words = {d: len(t) for d, t in texts.items()}
+    want = 1.5 * sum(words[r.doc_id] for r in single.select("doc_id").collect())
+    assert abs(sum(words[d] * n for d, n in taken.items()) - want) < 0.03 * want
+    pieces = stages["packing"](spark, mixed, small).collect()
+    check_packing(pieces, {d: [rows[d].text] * n for d, n in taken.items()})
+    whole = corpus_pipeline.run(spark, small).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, whole)) == sorted(map(key, pieces))

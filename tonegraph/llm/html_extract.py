@@ -47,7 +47,7 @@ SKIP = frozenset("head nav aside footer form button select input option label me
 #: Words in class, id or role that mark a subtree as no main text.
 SKIP_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer "
-    "disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
+    "disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -64,12 +64,13 @@ class Page:
         self.paths: list[str] = []  # of the containers
         self.parents: list[int] = []  # of the containers
         self.skipped: list[bool] = []
-        self.blocks: list[tuple[int, bool, str, int]] = []  # container, skipped, text, characters in links
+        self.blocks: list[tuple[int, bool, str, int, int]] = []  # container, skipped, text, characters in links, headed
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, str]] = []  # tag, container, skipped, path
+        stack: list[tuple[str, int, bool, str, int]] = []  # tag, container, skipped, path, headed
         container, skipped, path = -1, False, ""
+        headed = -1  # the container that holds the header that the text is in; -1: none
         words: list[str] = []
         links = linked = 0
 
@@ -78,14 +79,14 @@ class Page:
             if words:
                 text = " ".join(html.unescape("".join(words)).split())
                 if text:
-                    self.blocks.append((container, skipped, text, linked))
+                    self.blocks.append((container, skipped, text, linked, headed))
             words, linked = [], 0
 
         def leave(k):
-            nonlocal container, skipped, path, links
+            nonlocal container, skipped, path, headed, links
             for tag, *_ in stack[k:]:
                 links -= tag == "a"
-            _, container, skipped, path = stack[k][0], *stack[k][1:]
+            _, container, skipped, path, headed = stack[k]
             del stack[k:]
 
         at, end = 0, len(source)
@@ -140,15 +141,15 @@ class Page:
             if tag in VOID:
                 continue
             named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m[3])}
-            stack.append((tag, container, skipped, path))
+            stack.append((tag, container, skipped, path, headed))
             links += tag == "a"
             if tag in BLOCK:
                 classes = sorted(set(re.sub(r"\d+", "#", named.get("class", "").lower()).split()))
                 path = f"{path}/{'.'.join([tag, *classes])}"
                 marks = {w for v in named.values() for w in _WORD.findall(v.lower())}
-                inside = any(t in ("article", "main") for t, *_ in stack[:-1])
-                marks -= {"header"} if inside else set()  # a header inside an article holds its title
-                skipped = skipped or tag in SKIP or (tag == "header" and not inside) or (tag != "body" and bool(marks & SKIP_WORDS) and tag not in ("article", "main"))
+                if headed < 0 and (tag == "header" or "header" in marks) and tag not in ("body", "article", "main"):
+                    headed = container
+                skipped = skipped or tag in SKIP or (tag != "body" and bool(marks & SKIP_WORDS) and tag not in ("article", "main"))
                 if tag in CONTAINER:
                     self.paths.append(path)
                     self.parents.append(container)
@@ -163,8 +164,8 @@ class Page:
         """Score of each container: its own blocks count whole, a nested container's count by two thirds a level;
         semantic elements count more."""
         out: dict[int, float] = {}
-        for container, skipped, text, linked in self.blocks:
-            if skipped or container < 0:
+        for container, skipped, text, linked, headed in self.blocks:
+            if skipped or container < 0 or headed >= 0:
                 continue
             value = max(0.0, len(text) - 1.5 * linked) ** 0.9 + 8 * (text.count(",") + text.count("."))
             while container >= 0:
@@ -176,14 +177,17 @@ class Page:
         return out
 
     def text(self, path: str | None) -> str:
-        """Blocks under the containers on path, or under the best container, or all that is no boilerplate."""
+        """Blocks under the containers on path, or under the best container, or all that is no boilerplate.
+
+        A header counts where it stands inside such a container (it then holds the title), unless that is the body."""
         inside = {c for c, p in enumerate(self.paths) if p == path and not self.skipped[c]}
         if not inside and (scores := self.scores()):
             inside = {max(scores, key=lambda c: (scores[c], -c))}
         for c, parent in enumerate(self.parents):  # parents come first
             if parent in inside:
                 inside.add(c)
-        return "\n".join(t for c, skipped, t, _ in self.blocks if not skipped and (c in inside or not inside))
+        heads = {c for c in inside if self.paths[c].rsplit("/", 1)[-1].split(".")[0] != "body"}
+        return "\n".join(t for c, skipped, t, _, h in self.blocks if not skipped and (h < 0 or h in heads) and (c in inside or not inside))
 
 
 def _host(url: str | None) -> str:

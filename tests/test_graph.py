@@ -107,7 +107,7 @@ def test_group_dots_equal_the_cosine_of_joined_vectors(spark):
         assert math.isclose(r.c, a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs_tol=1e-12)
 
 
-def test_trials(spark):
+def test_trials(spark, monkeypatch):
     rows, df = grouped(spark)
     triplets = spark.createDataFrame([(k, k, k + 1, k + 2) for k in range(20)], "triplet long, root long, closer long, further long")
     dots = evaluation.triplet_dots(triplets, df)
@@ -121,6 +121,9 @@ def test_trials(spark):
     r = got[777]
     assert math.isclose(r.accuracy, (margins > 0).mean()) and math.isclose(r.median_margin, np.median(margins), abs_tol=1e-12)
     assert math.isclose(r.std_margin, margins.std(), abs_tol=1e-12)
+    monkeypatch.setattr(evaluation, "BROADCAST_TRIPLETS", 7)
+    again = {r.trial: r for r in evaluation.score_trials(grid, dots).collect()}
+    assert again.keys() == got.keys() and math.isclose(again[777].mean_margin, r.mean_margin, abs_tol=1e-12)
 
 
 def test_weights(spark):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def folded(text: Column) -> Column:
     """Text for comparison: null is empty, outer white space goes, case is folded.  Upper forms are compared, in
@@ -36,7 +38,7 @@ def reindex(tracks: DataFrame, features: DataFrame) -> DataFrame:
     no task sees the whole table."""
     kept = tracks.join(features.select("track_id"), "track_id", "left_semi")
     ranged = kept.repartitionByRange("file_order").sortWithinPartitions("file_order")
-    ranged = ranged.withColumn("part", F.spark_partition_id()).persist()
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", before.alias("before"))

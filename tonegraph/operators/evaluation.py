@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..schemas import GROUPS
 from .knn import group_dots, weighted_cosine
 
 LEVELS = (0.0, 2.5, 5.0)
+BROADCAST_TRIPLETS = 50_000
 
 
 def build_triplets(numbered: DataFrame, choices: DataFrame) -> DataFrame:
@@ -71,11 +74,18 @@ def triplet_dots(triplets: DataFrame, grouped: DataFrame) -> DataFrame:
 def score_trials(trials: DataFrame, dots: DataFrame) -> DataFrame:
     """trials with accuracy, mean, median and population deviation of the margin over all triplets.
 
-    Triplets are hand-made judgements, a few hundred rows; their products are sent to every task, and each trial is
-    a row of arithmetic for each of them."""
+    Triplets are hand-made judgements, a few hundred rows; up to BROADCAST_TRIPLETS their products are sent to every
+    task, and each trial is a row of arithmetic for each of them.  More are dealt into cells that trials are copied to."""
     weight = lambda g: F.col(f"weight_{g}")
     margin = weighted_cosine(weight, prefix="c_") - weighted_cosine(weight, prefix="f_")
-    pairs = trials.repartition("trial").join(F.broadcast(dots)).select(*trials.columns, margin.alias("margin"))
+    n = dots.count()
+    if n <= BROADCAST_TRIPLETS:
+        pairs = trials.repartition("trial").join(F.broadcast(dots))
+    else:
+        cells = math.ceil(n / BROADCAST_TRIPLETS)
+        dealt = dots.withColumn("cell", F.pmod(F.xxhash64("triplet"), F.lit(cells)).cast("int"))
+        pairs = trials.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(dealt, "cell")
+    pairs = pairs.select(*trials.columns, margin.alias("margin"))
     return pairs.groupBy(*trials.columns).agg(
         F.avg((F.col("margin") > 0).cast("double")).alias("accuracy"),
         F.avg("margin").alias("mean_margin"),

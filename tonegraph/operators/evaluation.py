@@ -14,6 +14,20 @@ LEVELS = (0.0, 2.5, 5.0)
 BROADCAST_TRIPLETS = 50_000
 
 
+def page(numbered: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
+    """Rows skip, skip + 1, ... of the numbered tracks, at most limit, numbered anew from 0.  The range is one of
+    numbers, so no rows are counted off."""
+    kept = numbered.where(F.col("faiss_id") >= skip)
+    if limit is not None:
+        kept = kept.where(F.col("faiss_id") < skip + limit)
+    return kept.withColumn("faiss_id", F.col("faiss_id") - skip)
+
+
+def track_mapping(numbered: DataFrame, vectors: int | None = None) -> DataFrame:
+    """track_id, faiss_id of the tracks that have a vector: all, or the first `vectors`."""
+    return page(numbered, vectors).select("track_id", "faiss_id")
+
+
 def build_triplets(numbered: DataFrame, choices: DataFrame) -> DataFrame:
     """Triplets from rows of three.  numbered: faiss_id, track_id, title, artist_name; rows 3c, 3c + 1 and 3c + 2
     are root, a and b of comparison c.  choices: comparison, choice: a (a is closer), b, c (a and b are

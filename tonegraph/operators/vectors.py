@@ -101,3 +101,9 @@ def embed(grouped: DataFrame, weights: dict[str, float], groups=GROUPS) -> DataF
     parts = [scaled(g) for g in groups]
     rest = [c for c in grouped.columns if c not in groups]
     return grouped.select(*rest, unit(F.concat(*parts)).alias("embedding"))
+
+
+def index_weights(best: DataFrame | None = None) -> dict[str, float]:
+    """The weights an index is built with: those of a saved best weighting (its first row), else 1 for each group."""
+    row = best.limit(1).first() if best is not None else None
+    return {g: float(row[f"weight_{g}"]) if row else 1.0 for g in GROUPS}

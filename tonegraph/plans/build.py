@@ -11,7 +11,7 @@ from ..operators import cleaning
 from ..operators import notes as N
 from ..operators.features import song_features
 from ..operators.knn import nearest
-from ..operators.vectors import embed, feature_groups, resolve_weights, standardise, vocabulary
+from ..operators.vectors import embed, feature_groups, index_weights, standardise, vocabulary
 from ..sources.scratch import materialize
 from ..sources.tables import cached_stage
 
@@ -22,13 +22,15 @@ def build(
     tracks: DataFrame,
     folder: str,
     weights: dict[str, float] | None = None,
+    best_weighting: DataFrame | None = None,
     k: int = 10,
     force: bool = False,
     extract: Callable[[DataFrame], DataFrame] = song_features,
 ) -> dict[str, DataFrame]:
     """Write and return features, metadata, groups, embeddings and knn_edges below folder.
 
-    A stage whose table exists is read instead of built, unless force is set.  extract: any function from song
+    A stage whose table exists is read instead of built, unless force is set.  The vectors are weighted by weights,
+    else by a saved best weighting, else evenly.  extract: any function from song
     notes to one row a track.  tracks: track_id, title, artist_name, file_order."""
     stage = lambda name, make: cached_stage(spark, f"{folder}/{name}", make, force)
     song = materialize(N.song_notes(notes), "song")
@@ -36,7 +38,7 @@ def build(
     metadata = stage("metadata", lambda: cleaning.reindex(tracks, features).withColumn("id", F.col("faiss_id")))
     counts = N.ngram_counts(N.ngrams(N.intervals(N.streams(song.join(features.select("track_id"), "track_id", "left_semi")))))
     groups = stage("groups", lambda: _numbered(standardise(feature_groups(features, counts, vocabulary(counts))), metadata))
-    embeddings = stage("embeddings", lambda: embed(groups, resolve_weights(weights)).select("id", "track_id", "embedding"))
+    embeddings = stage("embeddings", lambda: embed(groups, weights or index_weights(best_weighting)).select("id", "track_id", "embedding"))
     edges = stage("knn_edges", lambda: nearest(embeddings, embeddings, k))
     return {"features": features, "metadata": metadata, "groups": groups, "embeddings": embeddings, "knn_edges": edges}
 

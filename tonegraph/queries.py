@@ -453,6 +453,26 @@ def triplet_build(spark, sf):
     return evaluation.build_triplets(numbered, choices)
 
 
+@query(f"WITH {_NUMBERED_SQL} SELECT track_id, label, i - 40 AS place FROM nu WHERE i >= 40 AND i < 70")
+def metadata_page(spark, sf):
+    named = tracks(spark, sf)
+    rows = evaluation.page(cleaning.reindex(named, named), 30, 40)
+    return rows.select("track_id", F.concat_ws(" - ", "artist_name", "title").alias("label"), F.col("faiss_id").alias("place"))
+
+
+@query(f"""WITH {_NUMBERED_SQL},
+tr AS (SELECT i // 3 AS comparison, max(track_id) FILTER (i % 3 = 0) AS t0, max(track_id) FILTER (i % 3 = 1) AS t1, max(track_id) FILTER (i % 3 = 2) AS t2 FROM nu GROUP BY 1 HAVING count(*) = 3),
+ju AS (SELECT *, {_CHOICE} AS choice FROM tr), ro AS (SELECT comparison, {_roles("t")} FROM ju WHERE choice <> '')
+SELECT comparison, a.i AS root_embedding_index, b.i AS closer_embedding_index, c.i AS further_embedding_index
+FROM ro JOIN nu a ON a.track_id = root_track_id JOIN nu b ON b.track_id = closer_track_id JOIN nu c ON c.track_id = further_track_id WHERE greatest(a.i, b.i, c.i) < 150""")
+def triplet_index(spark, sf):
+    named = tracks(spark, sf)
+    numbered = cleaning.reindex(named, named)
+    choices = numbered.select(F.floor(F.col("faiss_id") / 3).alias("comparison")).distinct().withColumn("choice", F.expr(_CHOICE))
+    found = evaluation.index_triplets(evaluation.build_triplets(numbered, choices), evaluation.track_mapping(numbered, 150))
+    return found.select("comparison", "root_embedding_index", "closer_embedding_index", "further_embedding_index")
+
+
 #: Triplets over the vectors: rows of three, judged in turn a, b, c.
 _TRIPLET_SQL = f"""{_GROUPS_SQL},
 tp AS (SELECT id // 3 AS triplet, id + CASE WHEN id // 3 % 3 = 2 THEN 1 ELSE 0 END AS root, id + CASE WHEN id // 3 % 3 = 0 THEN 1 ELSE 2 END AS closer,
@@ -548,6 +568,15 @@ def metric_hist(spark, sf):
     return A.histograms(_trials(spark, sf))
 
 
+@query(f"""WITH {_STRATEGY_SQL}, u AS (SELECT * FROM sy ORDER BY accuracy DESC, trial LIMIT {A.TOP}), ml AS ({" UNION ALL ".join(f"SELECT sampling_strategy, '{w}' AS metric, {w} AS v FROM u" for w in _WEIGHTS)}),
+sp AS (SELECT *, min(v) OVER (PARTITION BY sampling_strategy, metric) AS lo0, max(v) OVER (PARTITION BY sampling_strategy, metric) AS hi0 FROM ml),
+sq AS (SELECT *, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM sp)
+SELECT sampling_strategy, metric, least(2, len(list_filter(range(1, 4), lambda i: v >= CASE WHEN i = 3 THEN hi ELSE lo + i * ((hi - lo) / 3) END)))::INT AS bin, count(*) AS n
+FROM sq GROUP BY 1, 2, 3""")
+def top100_weight_hist(spark, sf):
+    return A.histograms(A.top_trials(_trials(spark, sf)), _WEIGHTS, bins=3)
+
+
 _FIVE = [("low", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1)]
 _FIVE_SQL = ", ".join(f"round(quantile_cont(v, {q}), 6) AS {n}" for n, q in _FIVE)
 

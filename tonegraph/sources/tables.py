@@ -20,6 +20,32 @@ def read_metadata_csv(spark: SparkSession, path: str, schema: str = METADATA) ->
     return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
+def read_h5_metadata(spark: SparkSession, folder: str, midi_folder: str) -> DataFrame:
+    """Metadata rows of all *.h5 files below folder (first entry of metadata/songs); needs h5py on the executors.
+    A track is named after its file, and its MIDI files lie at the same place below midi_folder."""
+
+    def run(batches):
+        import io
+
+        import h5py
+        import pandas as pd
+
+        text = lambda v: v.decode("utf-8") if isinstance(v, bytes) else str(v)
+        for batch in batches:
+            rows = []
+            for path, place, data in zip(batch["path"], batch["place"], batch["content"], strict=True):
+                with h5py.File(io.BytesIO(data), "r") as file:
+                    entry = file["metadata/songs"][0]
+                names = ("artist_name", "artist_id", "title", "song_id", "release", "genre")
+                rows.append((path.rsplit("/", 1)[-1].removesuffix(".h5"), *[text(entry[n]) for n in names], f"{midi_folder}/{place}"))
+            columns = ["track_id", *names, "midi_path"]
+            yield pd.DataFrame(rows, columns=columns)[[c.split()[0] for c in METADATA.split(", ")]]
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.h5").load(folder)
+    below = F.regexp_replace(F.substring_index("path", folder.rstrip("/") + "/", -1), r"\.h5$", "")
+    return files.select("path", below.alias("place"), "content").mapInPandas(run, METADATA)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 

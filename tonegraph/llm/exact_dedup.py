@@ -42,11 +42,15 @@ def sha256_digest(normal: Column) -> Column:
     return F.unhex(F.sha2(normal, 256))
 
 
+def _once(expression: Column, name: str) -> Column:
+    """expression as a generated column: a projection above can't repeat it, whose uses would each work it out anew."""
+    return F.explode(F.array(expression)).alias(name)
+
+
 def _keyed(docs: DataFrame, digest, carry=()) -> DataFrame:
     text = text_or_empty()
-    return docs.select(
-        *carry, F.col("doc_id"), F.length(text).cast("long").alias("n"), normalised(text).alias("normal")
-    ).withColumn("digest", digest(F.col("normal")))
+    rows = docs.select(*carry, "doc_id", F.length(text).cast("long").alias("n"), _once(normalised(text), "normal"))
+    return rows.select("*", _once(digest(F.col("normal")), "digest"))
 
 
 def flush(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
@@ -57,7 +61,7 @@ def flush(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
         "doc_id",
         "n",
         "digest",
-        sha256_digest(F.col("normal")).alias("sha"),
+        (F.col("digest") if digest is sha256_digest else sha256_digest(F.col("normal"))).alias("sha"),
     )
     return materialize(
         rows.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
@@ -90,7 +94,8 @@ def digest_filter(index: DataFrame) -> DataFrame:
 
 def _may_contain(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs whose digest may be in the filter; false positives pass and are harmless."""
-    slot = _slot(F.col("digest"))
+    docs = docs.select("*", _once(_slot(F.col("digest")), "__slot"))
+    slot = F.col("__slot")
     inside = (slot % _BUCKET_BITS).cast("int")
     byte = "cast(conv(hex(substring(bits, __byte, 1)), 16, 10) as int)"
     return (
@@ -99,7 +104,7 @@ def _may_contain(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         .withColumn("__bit", inside % 8)
         .join(F.broadcast(bitmaps), "bucket")
         .where(F.expr(f"(shiftright({byte}, __bit) & 1) = 1"))
-        .drop("bucket", "bits", "__byte", "__bit")
+        .drop("bucket", "bits", "__slot", "__byte", "__bit")
     )
 
 

@@ -7,8 +7,8 @@
   (longest original first, then smallest doc_id).  Map-side combine keeps one entry a digest and
   task, so a digest with a third of all rows costs no more than any other.
 * **Byte verification.**  A hit counts only after its normalised text is compared byte for byte with
-  that of the row that stays.  A bitmap over the digests that occur more than once (fixed size, so
-  it can be broadcast) keeps the texts of all other documents out of that shuffle; texts of rows
+  that of the row that stays.  A bitmap over the digests that occur more than once (of bounded
+  size, so it can be broadcast) keeps the texts of all other documents out of that shuffle; texts of rows
   that stay are dealt over salts in proportion to their group, so a large group spreads over many
   tasks.  Digests with a mismatch are regrouped by whole normalised text.
 
@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty, with_row_ids
+from .membership import marked, once, without
 
-#: Bits of the broadcast filter: 2**23 bits are one MiB, whatever the corpus.
-FILTER_BITS = 1 << 23
 #: Rows of a group that are verified against one copy of the text that stays.
 ROWS_PER_SALT = 256
-_BUCKET_BITS = 32768  # of one bitmap that bitmap_construct_agg makes
 
 
 def normalised(text: Column) -> Column:
@@ -42,15 +40,10 @@ def sha256_digest(normal: Column) -> Column:
     return F.unhex(F.sha2(normal, 256))
 
 
-def _once(expression: Column, name: str) -> Column:
-    """expression as a generated column: a projection above can't repeat it, whose uses would each work it out anew."""
-    return F.explode(F.array(expression)).alias(name)
-
-
 def _keyed(docs: DataFrame, digest, carry=()) -> DataFrame:
     text = text_or_empty()
-    rows = docs.select(*carry, "doc_id", F.length(text).cast("long").alias("n"), _once(normalised(text), "normal"))
-    return rows.select("*", _once(digest(F.col("normal")), "digest"))
+    rows = docs.select(*carry, "doc_id", F.length(text).cast("long").alias("n"), once(normalised(text), "normal"))
+    return rows.select("*", once(digest(F.col("normal")), "digest"))
 
 
 def flush(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
@@ -80,39 +73,11 @@ def compact(runs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def digest_filter(index: DataFrame) -> DataFrame:
-    """Bitmaps of the digests in index: at most FILTER_BITS / 32768 rows of 4 KiB."""
-    slot = index.select(_slot(F.col("digest")).alias("slot"))
-    return slot.groupBy((F.col("slot") / _BUCKET_BITS).cast("int").alias("bucket")).agg(
-        F.bitmap_construct_agg((F.col("slot") % _BUCKET_BITS)).alias("bits")
-    )
-
-
-def _may_contain(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs whose digest may be in the filter; false positives pass and are harmless."""
-    docs = docs.select("*", _once(_slot(F.col("digest")), "__slot"))
-    slot = F.col("__slot")
-    inside = (slot % _BUCKET_BITS).cast("int")
-    byte = "cast(conv(hex(substring(bits, __byte, 1)), 16, 10) as int)"
-    return (
-        docs.withColumn("bucket", (slot / _BUCKET_BITS).cast("int"))
-        .withColumn("__byte", (inside / 8).cast("int") + 1)
-        .withColumn("__bit", inside % 8)
-        .join(F.broadcast(bitmaps), "bucket")
-        .where(F.expr(f"(shiftright({byte}, __bit) & 1) = 1"))
-        .drop("bucket", "bits", "__slot", "__byte", "__bit")
-    )
-
-
 def mismatches(docs: DataFrame, index: DataFrame, digest=sha256_digest) -> DataFrame:
     """Digests under which some document's normalised text differs from that of the one that stays."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / ROWS_PER_SALT)).cast("int")
     entry = index.select("digest", "keep_id", "keep_n", salts.alias("salts"))
-    candidates = materialize(_may_contain(_keyed(docs, digest), digest_filter(index)).join(entry, "digest"), "candidates")
+    candidates = materialize(marked(_keyed(docs, digest), index, "digest", "maybe").where("maybe").drop("maybe").join(entry, "digest"), "candidates")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
     kept = (
         candidates.where(stays)
@@ -154,8 +119,8 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, carry=()) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops."""
     rows, row = with_row_ids(docs)
-    gone = exact_dedup(rows, carry=(row,)).where("not kept").select(row)
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    gone = materialize(exact_dedup(rows, carry=(row,)).where("not kept").select(row), "gone")
+    return without(rows, gone, row).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

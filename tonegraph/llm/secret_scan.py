@@ -3,8 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its content.  The ledger holds, for each
 (blob, rule version) pair scanned so far, the spans found.  A scan picks one carrier for each blob
 that the ledger lacks under the present rule version, scans those texts alone, appends them to the
-ledger and joins the findings back to every path that holds the blob.  Blob and path rows are small;
-texts move once, dealt evenly by the carrier's identifier, and never by blob.
+ledger and joins the findings back to every path that holds the blob.  Texts whose blob a bitmap clears (held by one
+path, and not in the ledger) are scanned where they lie; only the others move, dealt by the carrier's identifier.
 
 Positions of regular-expression matches: split() gives the text between matches and
 regexp_extract_all() the matches, so a running sum of their lengths is each match's start in code
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty, work_path
+from .membership import marked, once
 
 # The base rules (kind, pattern, group whose length counts, least length).
 RULES = [
@@ -76,15 +77,20 @@ class BlobLedger:
 
     def scan(self, versions: DataFrame, rule_version: str = RULE_VERSION, rules=RULES) -> DataFrame:
         """versions: doc_id, text.  Returns doc_id, blob, spans for each of its rows."""
-        paths = versions.select("doc_id", text_or_empty().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+        paths = versions.select("doc_id", text_or_empty().alias("text")).select("*", once(F.unhex(F.sha2("text", 256)), "blob"))
         heads = materialize(paths.select("doc_id", "blob"), "heads")
-        carriers = heads.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+        copies = heads.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).withColumn("new", F.lit(True))
         if self.started:
-            seen = self.rows().where(F.col("rule_version") == rule_version)
-            carriers = carriers.join(seen, "blob", "left_anti")
-        carriers = carriers.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")).hint("shuffle_hash")
-        carried = paths.join(carriers, paths.doc_id.eqNullSafe(F.col("__id")) & (paths.blob == F.col("__blob")), "left_semi")
-        found = carried.select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
+            seen = self.rows().where(F.col("rule_version") == rule_version).select("blob", F.lit(True).alias("seen")).dropDuplicates(["blob"])
+            copies = copies.join(seen, "blob", "left").withColumn("new", F.col("seen").isNull())
+        copies = materialize(copies.select("blob", "doc_id", "new", (F.col("n") > 1).alias("copied")), "copies")
+        known = materialize(copies.where("copied or not new").select("blob"), "known")
+        flagged = marked(paths, known, "blob", "maybe")
+        carriers = marked(copies.where("new"), known, "blob", "maybe").where("maybe").select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"))
+        one = flagged.doc_id.eqNullSafe(F.col("__id")) & (flagged.blob == F.col("__blob"))
+        carried = flagged.where("maybe").join(carriers.hint("shuffle_hash"), one, "left_semi")
+        fresh = flagged.where("not maybe").select("blob", "text").union(carried.select("blob", "text"))
+        found = fresh.select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
         found.write.mode("append").option("compression", "zstd").parquet(self.path)
         self.started = True
         hits = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, with_row_ids
 from .components import components
+from .membership import without
 from .weighted_fingerprint import terms
 
 SHINGLE = 4
@@ -325,5 +326,7 @@ def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int
     links = materialize(node_links(leaves, VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most), "stars")
     roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
     placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
-    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(stays, row, "left_semi").select(*docs.columns)
+    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("stays"))
+    owner = placed.join(stays, "root").select("fps", *_WORDS, "stays")
+    gone = marked.join(owner, ["fps", *_WORDS]).where("row <> stays").select(F.col("row").alias(row))
+    return without(rows, materialize(gone, "gone"), row).select(*docs.columns)

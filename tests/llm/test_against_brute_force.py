@@ -339,6 +339,29 @@ def test_op8_is_balanced(spark, small, rows):
     assert sizes.max() - sizes.min() <= 2 * max(r.size for r in got)
 
 
+def test_small_groups_of_equal_texts_stand_whole(spark):
+    from tonegraph.llm.sharding import shard_documents
+
+    texts = [f"text {k // 7:05d}" for k in range(4000)]  # groups of seven, which equal cuts would part
+    docs = spark.createDataFrame([(k * 37 % 4000, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    shards, rows = {}, {}
+    for r in shard_documents(docs).collect():
+        rows[r.shard] = rows.get(r.shard, 0) + 1
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+    assert len(rows) == 24 and max(rows.values()) - min(rows.values()) <= 7
+
+
+def test_a_large_group_of_equal_texts_is_parted(spark):
+    from tonegraph.llm.sharding import shard_documents
+
+    docs = spark.createDataFrame([(k, "copy" if k % 3 else f"own {k:04d}") for k in range(2400)], "doc_id long, text string")
+    sizes = {}
+    for r in shard_documents(docs).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 40
+
+
 # -------------------------------------------------------------- secrets
 
 

@@ -4,10 +4,12 @@ Order: the smallest doc_id among documents of equal text, then doc_id; copies th
 and mostly share a shard.  The rows are range-partitioned in that order; each partition reports one
 total; the running sum over those totals plus the running sum inside a partition is a row's global
 byte position, and the cuts lie at equal multiples of total / shards.  A row goes to the shard that
-holds its middle byte, so a shard is off its target by at most one document.
+holds its middle byte, so a shard is off its target by at most one document.  Where a cut would part a
+group of equal texts that is small (1 / GROUP_SHARE of a target at most), the whole group goes by its middle
+byte; a larger group is parted, for sizes stay near equal.
 
 Only (doc_id, size, hashes) rows move; texts are read once and stay where they are.  What is
-broadcast is one row per range partition and one per shard.
+broadcast is one row per range partition, one per shard and one per cut that falls into a group.
 
 Defined edge cases: null text has size 8 and the CRC of the empty text; a null doc_id sorts first;
 repeated rows are placed one by one; a document larger than a target fills a shard alone and may
@@ -25,6 +27,8 @@ from .common import materialize, text_or_empty
 SHARDS = 24
 #: Added to the bytes of each text, for its length prefix.
 RECORD_BYTES = 8
+#: Groups of equal texts of up to this fraction of a shard's target are never parted.
+GROUP_SHARE = 50
 
 
 def prefix_positions(rows: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -66,12 +70,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "sizes",
     )
-    groups = rows.groupBy("copy", "text_crc32").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    copies = groups.where("n > 1").select("copy", "text_crc32", "first_id")
-    ordered = rows.join(copies, ["copy", "text_crc32"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
+    group = ["copy", "text_crc32"]
+    groups = rows.groupBy(*group).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("group_size"))
+    copies = groups.where("n > 1").select(*group, "first_id", "group_size")
+    ordered = rows.join(copies, group, "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
     placed = prefix_positions(ordered, ["first_id", "copy", "doc_id", "text_crc32", "size"], "size")
     middle = F.expr(f"((2 * global_start + size) * {shards}) div (2 * global_total)")
-    placed = placed.withColumn("shard", F.least(middle, F.lit(shards - 1)).cast("int"))
+    placed = materialize(placed.withColumn("shard", F.least(middle, F.lit(shards - 1)).cast("int")), "placed")
+    small = placed.where(F.expr(f"group_size * {GROUP_SHARE * shards} <= global_total"))
+    parted = small.groupBy(*group, "group_size", "global_total").agg(F.min("global_start").alias("at"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    whole = F.expr(f"((2 * at + group_size) * {shards}) div (2 * global_total)").cast("int")
+    moved = parted.where("low < high").select(*group, whole.alias("whole"))  # a cut parts one group at most
+    placed = placed.join(F.broadcast(moved), group, "left").withColumn("shard", F.coalesce("whole", "shard"))
     first = placed.groupBy("shard").agg(F.min("global_row").alias("first_row"))  # one row per shard
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id",
@@ -87,11 +97,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT + {RECORD_BYTES} AS size FROM documents),
-o AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+o AS (SELECT *, min(doc_id) OVER g AS first_id, count(*) OVER g AS n, (sum(size) OVER g)::BIGINT AS group_size FROM d WINDOW g AS (PARTITION BY t)),
 p AS (
   SELECT *, (sum(size) OVER w - size)::BIGINT AS start_at, (sum(size) OVER ())::BIGINT AS total
   FROM o WINDOW w AS (ORDER BY first_id, doc_id ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT *, least(((2 * start_at + size) * {SHARDS}) // (2 * total), {SHARDS} - 1)::INT AS shard FROM p),
+q AS (SELECT *, min(start_at) OVER (PARTITION BY t) AS group_at, n > 1 AND group_size * {GROUP_SHARE * SHARDS} <= total AS whole FROM p),
+s AS (
+  SELECT *, least((CASE WHEN whole THEN (2 * group_at + group_size) * {SHARDS} ELSE (2 * start_at + size) * {SHARDS} END) // (2 * total), {SHARDS} - 1)::INT AS shard
+  FROM q),
 k AS (SELECT list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT) AS c, b
       FROM range(0, 256) r(b)),
 crc AS (SELECT list(c ORDER BY b) AS tab FROM k)

@@ -327,6 +327,6 @@ def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int
     roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
     placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("stays"))
-    owner = placed.join(stays, "root").select("fps", *_WORDS, "stays")
+    owner = placed.join(materialize(stays, "stays"), "root").select("fps", *_WORDS, "stays")
     gone = marked.join(owner, ["fps", *_WORDS]).where("row <> stays").select(F.col("row").alias(row))
     return without(rows, materialize(gone, "gone"), row).select(*docs.columns)

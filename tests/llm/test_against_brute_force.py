@@ -342,14 +342,14 @@ def test_op8_is_balanced(spark, small, rows):
 def test_small_groups_of_equal_texts_stand_whole(spark):
     from tonegraph.llm.sharding import shard_documents
 
-    texts = [f"text {k // 7:05d}" for k in range(4000)]  # groups of seven, which equal cuts would part
+    texts = [f"text {k // 3:05d}" for k in range(4000)]  # groups of three, which equal cuts would part
     docs = spark.createDataFrame([(k * 37 % 4000, t) for k, t in enumerate(texts)], "doc_id long, text string")
     shards, rows = {}, {}
     for r in shard_documents(docs).collect():
         rows[r.shard] = rows.get(r.shard, 0) + 1
         shards.setdefault(r.text_crc32, set()).add(r.shard)
     assert all(len(s) == 1 for s in shards.values())
-    assert len(rows) == 24 and max(rows.values()) - min(rows.values()) <= 7
+    assert len(rows) == 24 and max(rows.values()) - min(rows.values()) <= 3
 
 
 def test_a_large_group_of_equal_texts_is_parted(spark):

@@ -72,7 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     group = ["copy", "text_crc32"]
     groups = rows.groupBy(*group).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("group_size"))
-    copies = groups.where("n > 1").select(*group, "first_id", "group_size")
+    copies = materialize(groups.where("n > 1").select(*group, "first_id", "group_size"), "groups")
     ordered = rows.join(copies, group, "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
     placed = prefix_positions(ordered, ["first_id", "copy", "doc_id", "text_crc32", "size"], "size")
     middle = F.expr(f"((2 * global_start + size) * {shards}) div (2 * global_total)")

@@ -94,6 +94,7 @@ class BlobLedger:
         found.write.mode("append").option("compression", "zstd").parquet(self.path)
         self.started = True
         hits = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+        hits = materialize(hits, "hits")  # else the join lies on the grouping's partitions, which can't be split
         return heads.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)")).alias("spans"))
 
 

@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step sends every node one minimum (summed map-side), so a component with a third of all nodes is
-no special case; the joins are plain equi-joins whose skew adaptive execution splits.  Every step's links
-are fixed in a written table."""
+no special case; the minima are read from a written table, for a join that lies on their grouping's partitions
+can't be split where one node has most links.  Every step's links are fixed in a written table."""
 
 from __future__ import annotations
 
@@ -15,11 +15,13 @@ from .common import materialize
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    links = materialize(links, "stars")  # used twice
+    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

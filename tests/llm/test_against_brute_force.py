@@ -459,6 +459,54 @@ def test_near_copies_are_dropped(spark):
     assert len(copies - kept) >= 0.95 * len(copies)
 
 
+def five_grams(words):
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_of_every_kind_are_dropped(spark):
+    """Truncated, extended and edited copies whose 5-gram Jaccard, by brute force, is 0.8 or more."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+
+    def edited(words):
+        words = list(words)
+        for i in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[i] = rng.choice(vocabulary)
+        return words
+
+    kinds = {
+        "cut to 82 %": lambda w: w[: math.ceil(0.82 * len(w))],
+        "cut to 90 %": lambda w: w[: math.ceil(0.9 * len(w))],
+        "10 % longer": lambda w: w + rng.choices(vocabulary, k=len(w) // 10),
+        "20 % longer": lambda w: w + rng.choices(vocabulary, k=len(w) // 5),
+        "edited": edited,
+    }
+    rows_, copies = [], {kind: set() for kind in kinds}
+    for k in range(500):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        kind = list(kinds)[k % len(kinds)]
+        copy = kinds[kind](words)
+        rows_ += [(k, " ".join(words)), (1000 + k, " ".join(copy))]
+        a, b = five_grams(words), five_grams(copy)
+        if len(a & b) >= 0.8 * len(a | b):
+            copies[kind].add(1000 + k)
+    kept = {r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert set(range(500)) <= kept
+    shares = {kind: len(made - kept) / len(made) for kind, made in copies.items()}
+    assert all(len(made) >= 50 for made in copies.values()) and min(shares.values()) >= 0.9, shares
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 40))
+def test_nodes_of_equal_fingerprints(seed, most):
+    rng = np.random.default_rng(seed)
+    sketch = rng.integers(0, 1 << 20, (40, 2), dtype="u8")
+    first = np.array([0, 1, 9, 30])
+    node = np.searchsorted(first, np.arange(40), "right")
+    alike = [(a, b) for a in range(40) for b in range(a) if node[a] == node[b] and np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= most]
+    assert simhash.alike_roots(first, sketch, most).tolist() == components(40, alike)
+
+
 # -------------------------------------------------------------- the pipeline
 
 

@@ -14,7 +14,9 @@ returns one star per set of linked fingerprints; connected components over the s
 
 `keep_one_per_group` is the filter for near copies, word 5-grams alike by SIMILAR or more.  SimHash of
 shingles moves by ten bits at that similarity, so the filter takes SimHashes of the set of words, which an edit hardly
-moves: VIEWS of them with different seeds go through the same index at VIEW_RADIUS, and a pair that meets
+moves: VIEWS of them with different seeds go through the same index at VIEW_RADIUS.  Copies that were cut off or
+extended change many distinct words, so a text also stands under BANDS patterns with every bit fixed, each of BAND_ROWS
+min-hashes of its 5-grams: two texts alike by 0.8 share one of them but for 2 pairs in 10,000.  A pair that meets
 links only if its sketches agree (SKETCH one-bit min-hashes of the 5-grams, so that their
 share of equal bits is (1 + similarity) / 2; SLACK allows for its sampling error).
 
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, with_row_ids
@@ -52,6 +55,7 @@ NEAR_SHINGLE = 5
 VIEWS = (11, 22, 33)
 VIEW_RADIUS = 5
 SKETCH = 256
+BANDS, BAND_ROWS = 16, 4
 _FAN = 8
 _PAIRS = 1 << 16
 
@@ -193,6 +197,23 @@ def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch
     return root
 
 
+def alike_roots(first: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """linked_roots for nodes whose fingerprints are all equal, so that sketches alone decide.  A row that was reached
+    is never compared again: a node of near copies costs its rows, not its pairs."""
+    root = np.arange(len(sketch))
+    for start, end in zip(first, np.append(first[1:], len(sketch)), strict=True):
+        left = np.arange(start, end)
+        while len(left) > 1:
+            seed, left = left[0], left[1:]
+            reached = [seed]
+            while reached and len(left):
+                near = np.bitwise_count(sketch[left] ^ sketch[reached.pop()]).sum(axis=1) <= most
+                root[left[near]] = seed
+                reached.extend(left[near])
+                left = left[~near]
+    return root
+
+
 def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the sets of a[i] and b[i]; root stays each set's smallest row."""
     while len(a):
@@ -231,7 +252,10 @@ def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_0
     def stars(rows: pd.DataFrame) -> pd.DataFrame:
         fp, names = rows["fp"].to_numpy("i8"), rows[name].to_numpy("i8")
         words = np.ascontiguousarray(rows[list(sketch)].to_numpy("i8")).view("u8") if sketch else None
-        root = linked_roots(fp.view("u8"), starts(rows), radius, words, most) if len(rows) else np.array([], "i8")
+        if radius == 0:
+            root = alike_roots(starts(rows), words, most)
+        else:
+            root = linked_roots(fp.view("u8"), starts(rows), radius, words, most) if len(rows) else np.array([], "i8")
         tied = root != np.arange(len(fp))
         return pd.DataFrame({"u": names[tied], "v": names[root[tied]]})
 
@@ -271,8 +295,8 @@ def word_hash_fingerprints(words: list[bytes], seeds=VIEWS) -> list[int]:
     return np.packbits(2 * bits.sum(axis=0, dtype="i8") > len(distinct), bitorder="little").view("<i8").tolist()
 
 
-def min_hash_bits(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
-    """One bit of the least hash of the word 5-grams under each of `samples` hash functions."""
+def min_hashes(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
+    """The least hash of the word 5-grams under each of `samples` hash functions."""
     found, _ = terms(words, NEAR_SHINGLE)
     odd, add = _hash_functions(samples)
     short = (found >> np.uint64(32)).astype("u4")
@@ -282,9 +306,27 @@ def min_hash_bits(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= add
         least = np.minimum(least, h.min(axis=0))
+    return least
+
+
+def min_hash_bits(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
+    """One bit of each min-hash."""
+    return _bits(min_hashes(words, samples))
+
+
+def _bits(least: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint32(7) & np.uint32(1)).astype("u1"), bitorder="little").view("<i8")
 
 
+def _bands(least: np.ndarray) -> np.ndarray:
+    """A hash of each run of BAND_ROWS min-hashes, for BANDS runs."""
+    mixed = np.zeros(BANDS, "u8")
+    for part in least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+        mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed >> np.uint64(32)).astype("u4").view("i4")
+
+
 @functools.lru_cache(maxsize=2)
 def _hash_functions(samples: int) -> tuple[np.ndarray, np.ndarray]:
     drawn = np.random.default_rng(SEED).integers(0, 1 << 31, (2, samples), dtype="u4") * np.uint32(2) + np.uint32(1)
@@ -295,35 +337,48 @@ _WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 def near_signatures(docs: DataFrame, row: str) -> DataFrame:
-    """doc_id, row, fps (one SimHash of the word set for each view), and the sketch's words s0, s1, ..."""
+    """doc_id, row, fps (one SimHash of the word set for each view), bands, and the sketch's words s0, s1, ..."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, sketches = [], []
+            fps, bands, sketches = [], [], []
             for text in batch["text"]:
                 words = (text or "").encode().lower().split()
                 fps.append(word_hash_fingerprints(words))
-                sketches.append(min_hash_bits(words))
+                least = min_hashes(words)
+                bands.append(_bands(least))
+                sketches.append(_bits(least))
             words = np.array(sketches, "i8").reshape(len(batch), len(_WORDS))
-            frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "fps": fps})
+            frame = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "fps": fps, "bands": bands})
             yield frame.assign(**{w: words[:, k] for k, w in enumerate(_WORDS)})
 
-    schema = "doc_id long, row long, fps array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
+    schema = "doc_id long, row long, fps array<long>, bands array<int>, " + ", ".join(f"{w} long" for w in _WORDS)
     return docs.select("doc_id", F.col(row).alias("row"), "text").mapInPandas(run, schema)
 
 
+def _band_nodes(named: DataFrame) -> DataFrame:
+    """named under each of its bands' patterns, where another row stands there as well; sketches are added to those
+    rows only."""
+    rows = named.select("name", F.posexplode("bands").alias("view", "band")).select("name", "view", F.col("band").cast("long").alias("fp"))
+    many = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("view", "fp"))).where("n > 1").drop("n")
+    nodes = materialize(many, "bands").join(named.select("name", *_WORDS), "name")
+    return nodes.withColumns({"mask": F.lit(-1).cast("long"), "pattern": F.col("fp")})
+
+
 def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
     """docs without near copies: of each group linked by similarity the first document stays (smallest doc_id, null
     last, then the first row)."""
     rows, row = with_row_ids(docs)
     marked = materialize(near_signatures(rows, row), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    alike = materialize(marked.groupBy("fps", *_WORDS).agg(F.min(first).alias("first")), "alike")
+    alike = materialize(marked.groupBy("fps", *_WORDS).agg(F.min(first).alias("first"), F.min("bands").alias("bands")), "alike")
     named = alike.withColumn("name", F.col("first.row"))
     views = named.select("name", *_WORDS, F.posexplode("fps").alias("view", "fp"))
     leaves = index_nodes(views, VIEW_RADIUS, node_rows, view=("view",))
     most = round((1 - similar + SLACK) / 2 * SKETCH)
-    links = materialize(node_links(leaves, VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most), "stars")
+    met = node_links(leaves, VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most)
+    met = met.union(node_links(_band_nodes(named), 0, view=("view",), name="name", sketch=_WORDS, most=most))
+    links = materialize(met, "stars")
     roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
     placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("stays"))

@@ -181,6 +181,21 @@ def test_page_parts():
     assert "/html/body.page-#/div/div.post.post-#" in page.paths
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main></div>",
+        "<div class='layout no-sidebar'><article>{}</article></div>",
+        "<div class='layout no-sidebar'><div>{}</div></div>",
+        "<div class='sidebar-left'><article>{}<div class=related><article>Other.</article></div></article></div>",
+        "<div class='post widget-area'>{}</div>",
+        "<a href=x>Home</a><form action=x><div>{}</div><footer>f</footer></form>",
+    ],
+)
+def test_a_skipped_wrapper_does_not_empty_the_page(source):
+    assert Page("<html><body>" + source.format("<p>One, two, three.</p><p>Four.</p>") + "</body></html>").text(None) == "One, two, three.\nFour."
+
+
 def test_the_host_decides(spark):
     from tonegraph.llm import html_extract
 

@@ -50,6 +50,8 @@ SKIP_WORDS = frozenset(
     "disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A class that starts so tells of the layout: no-sidebar, content-sidebar-wrap.
+LAYOUT_WORDS = frozenset("no not without has with content".split())
 _CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,13 +65,16 @@ class Page:
     def __init__(self, source: str):
         self.paths: list[str] = []  # of the containers
         self.parents: list[int] = []  # of the containers
-        self.skipped: list[bool] = []
-        self.blocks: list[tuple[int, bool, str, int, int]] = []  # container, skipped, text, characters in links, headed
+        self.skipped: list[int] = []  # 0: no, 1: for a class word or a form, 2: for another element
+        self.blocks: list[tuple[int, int, str, int, int]] = []  # container, skipped, text, characters in links, headed
         self._parse(source)
+        if not any(not skipped and len(text) > 1.5 * linked for _, skipped, text, linked, _ in self.blocks):
+            self.skipped = [max(0, k - 1) for k in self.skipped]  # no text otherwise
+            self.blocks = [(c, max(0, k - 1), *rest) for c, k, *rest in self.blocks]
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, str, int]] = []  # tag, container, skipped, path, headed
-        container, skipped, path = -1, False, ""
+        stack: list[tuple[str, int, int, str, int]] = []  # tag, container, skipped, path, headed
+        container, skipped, path = -1, 0, ""
         headed = -1  # the container that holds the header that the text is in; -1: none
         words: list[str] = []
         links = linked = 0
@@ -149,7 +154,14 @@ class Page:
                 marks = {w for v in named.values() for w in _WORD.findall(v.lower())}
                 if headed < 0 and (tag == "header" or "header" in marks) and tag not in ("body", "article", "main"):
                     headed = container
-                skipped = skipped or tag in SKIP or (tag != "body" and bool(marks & SKIP_WORDS) and tag not in ("article", "main"))
+                if tag in ("article", "main"):
+                    if skipped == 1 and not any(t in ("article", "main") for t, *_ in stack[:-1]):
+                        skipped = 0
+                elif tag in SKIP and tag != "form":
+                    skipped = 2
+                elif not skipped and tag != "body":
+                    runs = [_WORD.findall(token) for v in named.values() for token in v.lower().split()]
+                    skipped = int(tag == "form" or any(r and r[0] not in LAYOUT_WORDS and SKIP_WORDS & set(r) for r in runs))
                 if tag in CONTAINER:
                     self.paths.append(path)
                     self.parents.append(container)
@@ -157,7 +169,7 @@ class Page:
                     container = len(self.paths) - 1
             elif tag in SKIP:
                 flush()
-                skipped = True
+                skipped = 2
         flush()
 
     def scores(self) -> dict[int, float]:

@@ -196,6 +196,22 @@ def test_a_skipped_wrapper_does_not_empty_the_page(source):
     assert Page("<html><body>" + source.format("<p>One, two, three.</p><p>Four.</p>") + "</body></html>").text(None) == "One, two, three.\nFour."
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div class=post><h1>Title</h1><div class=entry>{}</div></div>",
+        "<main><h1>Title</h1><div class=content>{}</div></main>",
+        "<div class=content><div class=lead>Title</div><div class=body>{}</div></div>",
+        "<div class=top><a href=x>Home</a><div class=post><h1>Title</h1><div><div class=entry>{}</div></div></div></div>",
+    ],
+)
+def test_titles_and_leads_above_the_text_stay(source):
+    text = ["One, two, three and so on, as a paragraph goes. " * 8] * 5
+    page = Page("<html><body>" + source.format("".join(f"<p>{t}</p>" for t in text)) + "</body></html>")
+    path = page.paths[-1]
+    assert page.text(path) == page.text(None) == "\n".join(["Title", *(t.strip() for t in text)])
+
+
 def test_the_host_decides(spark):
     from tonegraph.llm import html_extract
 

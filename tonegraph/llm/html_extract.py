@@ -6,7 +6,8 @@
 2. Spark sums the scores for each (host, path); the path with the most votes wins its host.  Each page sends its best
    few containers, summed map-side, so a host with a third of all pages costs one row a task.
 3. Every page is extracted again from the containers on its host's winning path, or from its own best container
-   where the page has none of them.
+   where the page has none of them; each is widened to its parent while that adds text rather than links, so that
+   titles, leads and sibling sections stay.
 
 White space inside a block becomes one space; blocks are joined by a newline in page order.  Character
 references are decoded once.  Broken markup is taken as it comes: an open paragraph ends at the next
@@ -188,6 +189,29 @@ class Page:
             out[c] *= {"article": 1.5, "main": 1.3}.get(tag, 1.0)
         return out
 
+    def _tag(self, c: int) -> str:
+        return self.paths[c].rsplit("/", 1)[-1].split(".")[0]
+
+    def _climbed(self, c: int) -> int:
+        """c, or the highest container around it that is reached while what each parent adds is text or headings
+        rather than links.  An article or main is whole, and the body is not climbed to."""
+        best = c
+        while self._tag(c) not in ("article", "main") and (parent := self.parents[c]) >= 0 and self._tag(parent) != "body":
+            size = links = 0
+            for at, skipped, text, linked, _ in self.blocks:
+                if not skipped and self._under(at, parent) and not self._under(at, c):
+                    size, links = size + len(text), links + linked
+            if size and size <= 1.5 * links:
+                break
+            c = parent
+            best = c if size else best
+        return best
+
+    def _under(self, c: int, above: int) -> bool:
+        while c > above:  # parents come first
+            c = self.parents[c]
+        return c == above
+
     def text(self, path: str | None) -> str:
         """Blocks under the containers on path, or under the best container, or all that is no boilerplate.
 
@@ -195,6 +219,7 @@ class Page:
         inside = {c for c, p in enumerate(self.paths) if p == path and not self.skipped[c]}
         if not inside and (scores := self.scores()):
             inside = {max(scores, key=lambda c: (scores[c], -c))}
+        inside = {self._climbed(c) for c in inside}
         for c, parent in enumerate(self.parents):  # parents come first
             if parent in inside:
                 inside.add(c)

@@ -60,6 +60,14 @@ def dijkstra(x, start, end, k):
     return None
 
 
+def test_an_unsettled_path_is_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1, 0.5) for k in range(4)], "src long, dst long, score double")
+    named = spark.createDataFrame([(k, "t", "a") for k in range(5)], "id long, title string, artist_name string")
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(chain, 0, 4, named, rounds=2)
+    assert graph.shortest_path(chain, 0, 4, named)[2] == 2.0
+
+
 def test_shortest_path(spark):
     x, df = vectors(spark)
     edges = {k: knn.nearest(df, df, k).persist() for k in (2, 4)}

@@ -61,7 +61,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, metadata: DataFrame, r
     A frontier of improved nodes is relaxed by joins until no open node could still shorten the way to end.
     Each node keeps its least (cost, hops, predecessor), so zero-cost edges can't make a cycle.  Only
     single numbers and the path itself, one row a step, reach the driver; each round's distances are fixed in
-    a written table.  Returns nodes, edges and the total (None if unreachable)."""
+    a written table.  Returns nodes, edges and the total (None if unreachable); raises if `rounds` do not settle it."""
     spark = edges.sparkSession
     steps = "id long, cost double, hops int, previous long"
     node = lambda i, t, p: (i, t, p)
@@ -86,6 +86,8 @@ def shortest_path(edges: DataFrame, start: int, end: int, metadata: DataFrame, r
             break
         frontier = known.where("open").select("id", "cost", "hops", "previous")
         known = known.select("id", "cost", "hops", "previous")
+    else:
+        raise RuntimeError(f"the path is not settled after {rounds} rounds")
     if total is None:
         return None, None, None
     path, at = [end], end

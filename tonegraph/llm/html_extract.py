@@ -1,25 +1,29 @@
 """Main text of web pages by consensus on host paths.
 
-1. Every page's containers are scored inside a task: the text in block elements weighs for its length,
-   links and short items weigh against, and boilerplate subtrees do not count.  A container is named
-   by its generalised path: tag and classes from the body down, digits taken out of class names.
+1. Every page's containers are scored inside a task: the text in block elements weighs for its length, links weigh
+   against, and what stands in a marked subtree (a class, id or role that names a boilerplate part) does not count for
+   the containers around it.  A container that is marked itself, or stands in a marked one, only loses most of its
+   score.  A container is named by its generalised path: tag and classes from the body down, digits taken out.
 2. Spark sums the scores for each (host, path); the path with the most votes wins its host.  Each page sends its best
-   few containers, summed map-side, so a host with a third of all pages costs one row a task.
+   few containers, summed map-side, so a host with a third of all pages costs one row a task.  Hosts vote on
+   boilerplate as well: a path below which a host's pages hold the same text again and again, while their winning
+   containers differ, is a notice and no part of an article.
 3. Every page is extracted again from the containers on its host's winning path, or from its own best container
    where the page has none of them; each is widened to its parent while that adds text rather than links, so that
-   titles, leads and sibling sections stay.
+   titles, leads and sibling sections stay.  Marks around the chosen container don't count; marked subtrees in it go.
 
 White space inside a block becomes one space; blocks are joined by a newline in page order.  Character
-references are decoded once.  Broken markup is taken as it comes: an open paragraph ends at the next
-block, unclosed elements end with the page, and raw text elements end only at their own end tag.
+references are decoded once.  Broken markup is taken as it comes: quotes count in attribute values only, an open
+paragraph ends at the next block, unclosed elements end with the page, and raw text elements end only at their own end tag.
 
-Defined edge cases: null html is the empty page, whose text is empty; a page whose url is null or has no host
-votes under the empty host; repeated rows are extracted one by one; an empty table gives an empty result;
-other columns are ignored.
+Defined edge cases: null html is the empty page, whose text is empty; a page whose text is all in marked subtrees keeps
+it; a page whose url is null or has no host votes under the empty host; repeated rows are extracted one by one; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -32,8 +36,14 @@ from .common import materialize
 
 #: Containers that a page votes for.
 VOTES = 3
-#: Hosts up to this number are broadcast with their paths; more are joined by shuffle.
-BROADCAST_HOSTS = 5_000
+#: Bytes of hosts and paths up to which they are broadcast; more are joined by host, where adaptive execution splits a
+#: host's pages over tasks.
+BROADCAST_BYTES = 32 << 20
+#: A path's text is a notice if it occurs on so many pages of a host, with at most this share of different texts, while
+#: the winning containers' texts differ by at least that share.
+NOTICE_PAGES, NOTICE_SHARE, DIFFER_SHARE = 10, 0.1, 0.5
+#: What a marked container keeps of its score.
+MARKED = 0.2
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,41 +52,73 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article body div main section td".split())
+CONTAINER = frozenset("article body div form main section td".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose subtree is never main text.
-SKIP = frozenset("head nav aside footer form button select input option label menu dialog svg canvas object audio video".split()) | RAW
-#: Words in class, id or role that mark a subtree as no main text.
-SKIP_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer "
-    "disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
-    "promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+SKIP = frozenset("head nav aside footer button select input option label menu dialog svg canvas object audio video".split()) | RAW
+#: Words that mark a subtree as no main text where they are the noun of a class, id or role: cookie-notice, comment-list.
+MARKERS = frozenset(
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs colophon comment comments complementary consent "
+    "contentinfo cookie cookies copyright disclaimer disqus footer login masthead menu modal nav navbar navigation newsletter "
+    "notice notices pager pagination popup promo promoted promotion recommended related replies respond responses share sharing sidebar signup "
+    "social sponsor sponsored subscribe subscription toolbar".split()
+)
+#: The markers that count on elements inside a line as well.
+ADVERTS = frozenset("ad ads advert advertisement adverts advertising promo promoted sponsor sponsored".split())
+#: Words before any noun that say the same: related-posts.
+BESIDE = frozenset("promoted recommended related sponsored".split())
+#: Words behind the noun.
+PARTS = frozenset(
+    "area bar block body bottom box button buttons container content entry form group holder inner item items left link links list "
+    "main module outer panel right row section slot text thread title top unit wrap wrapper".split()
 )
 #: A class that starts so tells of the layout: no-sidebar, content-sidebar-wrap.
-LAYOUT_WORDS = frozenset("no not without has with content".split())
+LAYOUT = frozenset("no not without has with is content".split())
 _CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_VALUE = r"""(?>"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SAME_LIST = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_END = {tag: re.compile(f"</{tag}[\\s/>]", re.I) for tag in RAW}
+
+
+def _named(attributes: str) -> dict[str, str]:
+    """class, id and role of a tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    if "=" in attributes:
+        for name, value in _ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name in ("class", "id", "role") and name not in out:
+                out[name] = value[1:-1] if value[:1] in "\"'" and len(value) > 1 and value[0] == value[-1] else value
+    return out
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def nouns(names: str) -> frozenset[str]:
+    """The noun of each name: its last word, but for words that only tell which part of the thing it is."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        if words and (len(words) == 1 or words[0] not in LAYOUT):
+            found.add(words[0] if words[0] in BESIDE else words[-1])
+    return frozenset(found)
 
 
 class Page:
-    """Blocks of a page in order, each with the containers it stands in."""
+    """Blocks of a page in order, each with the containers it stands in; container 0 is the page."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = []  # of the containers
-        self.parents: list[int] = []  # of the containers
-        self.skipped: list[int] = []  # 0: no, 1: for a class word or a form, 2: for another element
-        self.blocks: list[tuple[int, int, str, int, int]] = []  # container, skipped, text, characters in links, headed
+        self.paths, self.parents, self.marked = [""], [-1], [False]  # of the containers
+        self.headers: list[list] = []  # container, whether a heading is in it
+        self.blocks: list[tuple[int, bool, str, int, int, str]] = []  # container, marked below it, text, characters in links, header, path
         self._parse(source)
-        if not any(not skipped and len(text) > 1.5 * linked for _, skipped, text, linked, _ in self.blocks):
-            self.skipped = [max(0, k - 1) for k in self.skipped]  # no text otherwise
-            self.blocks = [(c, max(0, k - 1), *rest) for c, k, *rest in self.blocks]
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, int, str, int]] = []  # tag, container, skipped, path, headed
-        container, skipped, path = -1, 0, ""
-        headed = -1  # the container that holds the header that the text is in; -1: none
+        stack: list[tuple] = []  # tag and the state outside it
+        container, hard, marked, muted, path, header = 0, False, False, False, "", -1
         words: list[str] = []
         links = linked = 0
 
@@ -84,22 +126,22 @@ class Page:
             nonlocal words, linked
             if words:
                 text = " ".join(html.unescape("".join(words)).split())
-                if text:
-                    self.blocks.append((container, skipped, text, linked, headed))
+                if text and not hard:
+                    self.blocks.append((container, marked, text, linked, header, path))
             words, linked = [], 0
 
         def leave(k):
-            nonlocal container, skipped, path, headed, links
+            nonlocal container, hard, marked, muted, path, header, links
             for tag, *_ in stack[k:]:
                 links -= tag == "a"
-            _, container, skipped, path, headed = stack[k]
+            _, container, hard, marked, muted, path, header = stack[k]
             del stack[k:]
 
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
             piece = source[at : m.start() if m else end]
-            if piece:
+            if piece and not muted:
                 words.append(piece)
                 linked += len(piece) if links else 0
             if not m:
@@ -137,7 +179,7 @@ class Page:
                     if stack[k][0] in ("ul", "ol", "dl", "table"):
                         break
             if tag in RAW:
-                close = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
+                close = _END[tag].search(source, at)
                 if close:
                     gt = source.find(">", close.start())
                     at = gt + 1 if gt >= 0 else end
@@ -146,85 +188,142 @@ class Page:
                 continue
             if tag in VOID:
                 continue
-            named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m[3])}
-            stack.append((tag, container, skipped, path, headed))
+            named = _named(m[3])
+            stack.append((tag, container, hard, marked, muted, path, header))
             links += tag == "a"
-            if tag in BLOCK:
-                classes = sorted(set(re.sub(r"\d+", "#", named.get("class", "").lower()).split()))
-                path = f"{path}/{'.'.join([tag, *classes])}"
-                marks = {w for v in named.values() for w in _WORD.findall(v.lower())}
-                if headed < 0 and (tag == "header" or "header" in marks) and tag not in ("body", "article", "main"):
-                    headed = container
-                if tag in ("article", "main"):
-                    if skipped == 1 and not any(t in ("article", "main") for t, *_ in stack[:-1]):
-                        skipped = 0
-                elif tag in SKIP and tag != "form":
-                    skipped = 2
-                elif not skipped and tag != "body":
-                    runs = [_WORD.findall(token) for v in named.values() for token in v.lower().split()]
-                    skipped = int(tag == "form" or any(r and r[0] not in LAYOUT_WORDS and SKIP_WORDS & set(r) for r in runs))
-                if tag in CONTAINER:
-                    self.paths.append(path)
-                    self.parents.append(container)
-                    self.skipped.append(skipped)
-                    container = len(self.paths) - 1
-            elif tag in SKIP:
-                flush()
-                skipped = 2
+            if tag not in BLOCK:
+                muted = muted or tag in SKIP or any(ADVERTS & nouns(v) for v in named.values())
+                continue
+            classes = sorted(set(re.sub(r"\d+", "#", named.get("class", "").lower()).split()))
+            path = f"{path}/{'.'.join([tag, *classes])}"
+            if tag in ("html", "body"):  # their classes and ids tell of the layout
+                hard = False
+            else:
+                named_for = frozenset().union(*map(nouns, named.values()))
+                hard = hard or tag in SKIP
+                mark = tag == "form" or bool(MARKERS & named_for)
+                if header < 0 and tag not in ("article", "main") and (tag == "header" or "header" in named_for):
+                    self.headers.append([container, False])
+                    header = len(self.headers) - 1
+                if header >= 0 and tag in HEADING:
+                    self.headers[header][1] = True
+                marked = marked or mark
+            if tag in CONTAINER:
+                self.paths.append(path)
+                self.parents.append(container)
+                self.marked.append(marked)
+                container, marked = len(self.paths) - 1, False
         flush()
 
+    def _tag(self, c: int) -> str:
+        return self.paths[c].rsplit("/", 1)[-1].split(".")[0]
+
+    def _whole(self, c: int) -> bool:
+        return self._tag(c) in ("", "html", "body")
+
     def scores(self) -> dict[int, float]:
-        """Score of each container: its own blocks count whole, a nested container's count by two thirds a level;
-        semantic elements count more."""
+        """Score of each container: its own blocks count whole, a nested container's count by two thirds a level, and
+        not where a mark is between; semantic elements count more."""
         out: dict[int, float] = {}
-        for container, skipped, text, linked, headed in self.blocks:
-            if skipped or container < 0 or headed >= 0:
+        for c, marked, text, linked, header, _ in self.blocks:
+            if marked or header >= 0:
                 continue
             value = max(0.0, len(text) - 1.5 * linked) ** 0.9 + 8 * (text.count(",") + text.count("."))
-            while container >= 0:
-                out[container] = out.get(container, 0.0) + value
-                container, value = self.parents[container], value * 2 / 3
+            while c >= 0:
+                out[c] = out.get(c, 0.0) + value
+                if self.marked[c]:
+                    break
+                c, value = self.parents[c], value * 2 / 3
         for c in out:
-            tag = self.paths[c].rsplit("/", 1)[-1].split(".")[0]
+            tag = self._tag(c)
             out[c] *= {"article": 1.5, "main": 1.3}.get(tag, 1.0)
+            if self.marked[c] or (tag not in ("article", "main") and self._below_mark(c)):
+                out[c] *= MARKED
         return out
 
-    def _tag(self, c: int) -> str:
-        return self.paths[c].rsplit("/", 1)[-1].split(".")[0]
+    def _below_mark(self, c: int) -> bool:
+        while (c := self.parents[c]) >= 0:
+            if self.marked[c]:
+                return True
+        return False
 
-    def _climbed(self, c: int) -> int:
-        """c, or the highest container around it that is reached while what each parent adds is text or headings
-        rather than links.  An article or main is whole, and the body is not climbed to."""
-        best = c
-        while self._tag(c) not in ("article", "main") and (parent := self.parents[c]) >= 0 and self._tag(parent) != "body":
-            size = links = 0
-            for at, skipped, text, linked, _ in self.blocks:
-                if not skipped and self._under(at, parent) and not self._under(at, c):
+    def _inside(self, roots: set[int]) -> list[bool]:
+        """Of each container, whether it is in roots or stands in one with no mark between."""
+        out: list[bool] = []
+        for c, parent in enumerate(self.parents):  # parents come first
+            out.append(c in roots or (parent >= 0 and out[parent] and not self.marked[c]))
+        return out
+
+    def _climbed(self, c: int) -> tuple[int, set[int]]:
+        """c, or the highest container around it that is reached while what each parent adds is no more than is there,
+        and text or headings rather than links; and the headers that came with it: of those with a heading the nearest, if
+        there was no heading before.  An article or main is whole, and the body is not climbed to."""
+        best, headers, new = c, set(), set()
+        while not self.marked[c] and self._tag(c) not in ("article", "main") and (parent := self.parents[c]) >= 0 and not self._whole(parent):
+            inner, outer = self._inside({c}), self._inside({parent})
+            here = [row for row in self.blocks if outer[row[0]] and not row[1]]
+            titled = new or any(inner[at] and (header < 0 or inner[self.headers[header][0]]) and self._heading(path) for at, _, _, _, header, path in here)
+            new = set() if titled else {h for at, _, _, _, h, _ in here if h >= 0 and not inner[at] and self.headers[h][1]}
+            size = links = there = 0
+            for at, _, text, linked, header, _ in here:
+                if inner[at]:
+                    there += len(text)
+                elif header < 0 or header in new:
                     size, links = size + len(text), links + linked
-            if size and size <= 1.5 * links:
+            if size and (size <= 1.5 * links or size > there):
                 break
             c = parent
-            best = c if size else best
-        return best
+            if size:
+                best, headers = c, headers | new
+        return best, headers
+
+    @staticmethod
+    def _heading(path: str) -> bool:
+        return path.rsplit("/", 1)[-1].split(".")[0] in HEADING
+
+    def roots(self, path: str | None) -> set[int]:
+        """Containers on path that hold more than links, those outside of marks if there are any; else the best container."""
+        found = {c for c, p in enumerate(self.paths) if p == path}
+        found = {c for c in found if not self._below_mark(c)} or found
+        scores = self.scores() if len(found) != 1 else {}
+        if len(found) > 1:
+            found = {c for c in found if scores.get(c, 0.0) > 0} or found
+        held = self._inside(found)
+        if not any(held[c] and not marked for c, marked, *_ in self.blocks):
+            scores = scores or self.scores()
+            found = {max(scores, key=lambda c: (scores[c], -c))} if scores else set()
+        return found
+
+    def text(self, path: str | None, notices: frozenset[int] = frozenset()) -> str:
+        """Blocks under the containers on path, or under the best container.
 
-    def _under(self, c: int, above: int) -> bool:
-        while c > above:  # parents come first
-            c = self.parents[c]
-        return c == above
+        A header counts where it stands inside such a container (it then holds the title), unless that is the body."""
+        roots = self.roots(path)
+        climbed = [self._climbed(c) for c in roots]
+        first, wide = self._inside(roots), self._inside({c for c, _ in climbed})
+        titles = set().union(*(headers for _, headers in climbed))
 
-    def text(self, path: str | None) -> str:
-        """Blocks under the containers on path, or under the best container, or all that is no boilerplate.
+        def stays(header: int) -> bool:
+            return header < 0 or header in titles or (first[self.headers[header][0]] and not self._whole(self.headers[header][0]))
+
+        kept = [t for c, marked, t, _, h, at in self.blocks if wide[c] and not marked and stays(h) and not (notices and notice_key(at, h) in notices)]
+        return "\n".join(kept or [t for c, _, t, *_ in self.blocks if wide[c] or not roots])
 
-        A header counts where it stands inside such a container (it then holds the title), unless that is the body."""
-        inside = {c for c, p in enumerate(self.paths) if p == path and not self.skipped[c]}
-        if not inside and (scores := self.scores()):
-            inside = {max(scores, key=lambda c: (scores[c], -c))}
-        inside = {self._climbed(c) for c in inside}
-        for c, parent in enumerate(self.parents):  # parents come first
-            if parent in inside:
-                inside.add(c)
-        heads = {c for c in inside if self.paths[c].rsplit("/", 1)[-1].split(".")[0] != "body"}
-        return "\n".join(t for c, skipped, t, _, h in self.blocks if not skipped and (h < 0 or h in heads) and (c in inside or not inside))
+
+def notice_key(path: str, header: int) -> int:
+    """A number for a block's path up to its last container or element with a class; 0 for headings of an article."""
+    parts = path.split("/")
+    if header < 0 and Page._heading(path):
+        return 0
+    while len(parts) > 1 and "." not in parts[-1] and parts[-1] not in CONTAINER:
+        parts.pop()
+    return _number("/".join(parts))
+
+
+def _number(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def _host(url: str | None) -> str:
@@ -232,41 +331,68 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score: each page's best containers."""
+def page_facts(pages: DataFrame) -> DataFrame:
+    """host, path, score of each page's best containers; and host, key, text, pages: how often a path (its number)
+    holds a text (its number).  Key 0 counts the texts of the best containers by path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
+            votes: dict[tuple, float] = {}
+            texts: dict[tuple, int] = {}
             for url, source in zip(batch["url"], batch["html"], strict=True):
-                page = Page(source or "")
-                found = page.scores()
+                page, host = Page(source or ""), _host(url)
+                found: dict[str, float] = {}
+                best: dict[str, int] = {}
+                for c, score in page.scores().items():
+                    if score > found.get(page.paths[c], 0.0):
+                        found[page.paths[c]], best[page.paths[c]] = score, c
                 most = max(found.values(), default=0.0)
-                for c in sorted(found, key=lambda c: (-found[c], c))[:VOTES]:
-                    key = (_host(url), page.paths[c])
-                    sums[key] = sums.get(key, 0.0) + (found[c] / most if most else 0.0)
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["host", "path", "score"])
-
-    return pages.select("url", "html").mapInPandas(run, "host string, path string, score double")
-
-
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with the most votes on each host; ties go to the longer, then the smaller path."""
-    sums = votes(pages).groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
+                for path in sorted(found, key=lambda p: (-found[p], p))[:VOTES]:
+                    votes[host, path] = votes.get((host, path), 0.0) + found[path] / most
+                    inside = page._inside({best[path]})
+                    key = (host, path, 0, _number("\n".join(t for c, marked, t, *_ in page.blocks if inside[c] and not marked)))
+                    texts[key] = texts.get(key, 0) + 1
+                parts: dict[int, list[str]] = {}
+                for _, marked, text, _, header, path in page.blocks:
+                    if not marked:
+                        parts.setdefault(notice_key(path, header), []).append(text)
+                for at, held in parts.items():
+                    if at:
+                        key = (host, None, at, _number("\n".join(held)))
+                        texts[key] = texts.get(key, 0) + 1
+            rows = [(*k, v, None, None, None) for k, v in votes.items()] + [(h, p, None, k, t, n) for (h, p, k, t), n in texts.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "score", "key", "text", "pages"], dtype=object).astype({"score": "f8", "key": "Int64", "text": "Int64", "pages": "Int64"})
+
+    return pages.select("url", "html").mapInPandas(run, "host string, path string, score double, key long, text long, pages long")
+
+
+def consensus(facts: DataFrame) -> DataFrame:
+    """host, path, notices: the path with the most votes on each host (ties go to the longer, then the smaller path), and
+    the numbers of the paths that hold notices there.  facts: a written table."""
+    sums = facts.where("score is not null").groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
     order = F.struct("score", F.length("path").alias("n"), F.col("path").alias("path"))
-    return sums.groupBy("host").agg(F.max(order).alias("best")).select("host", F.col("best.path").alias("path"))
+    winners = materialize(sums.groupBy("host").agg(F.max(order).alias("best")).select("host", F.col("best.path").alias("path")), "winners")
+    counted = facts.where("score is null").groupBy("host", "path", "key", "text").agg(F.sum("pages").alias("pages"))
+    spread = counted.groupBy("host", "path", "key").agg(F.count(F.lit(1)).alias("texts"), F.sum("pages").alias("pages"))
+    spread = materialize(spread, "spread")
+    differ = spread.where("key = 0").where(F.col("texts") >= DIFFER_SHARE * F.col("pages")).join(winners, ["host", "path"]).select("host")
+    often = spread.where("key <> 0").where((F.col("pages") >= NOTICE_PAGES) & (F.col("texts") <= NOTICE_SHARE * F.col("pages")))
+    notices = often.join(differ, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("notices"))
+    return winners.join(notices, "host", "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    paths = materialize(winning_paths(pages), "paths")
-    small = paths.count() <= BROADCAST_HOSTS
+    found = materialize(consensus(materialize(page_facts(pages), "facts")), "consensus")
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 8 * F.coalesce(F.size("notices"), F.lit(0)) + 32)).first()[0] or 0
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(paths) if small else paths, "host", "left")
+    rows = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [Page(source or "").text(path) for source, path in zip(batch["html"], batch["path"], strict=True)]
+            texts = []
+            for source, path, notices in zip(batch["html"], batch["path"], batch["notices"], strict=True):
+                texts.append(Page(source or "").text(path, frozenset() if notices is None else frozenset(map(int, notices))))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select("page_id", "url", "html", "path").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "path", "notices").mapInPandas(run, "page_id long, url string, text string, n_chars long")

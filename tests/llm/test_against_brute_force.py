@@ -535,7 +535,131 @@ def test_nodes_of_equal_fingerprints(seed, most):
     first = np.array([0, 1, 9, 30])
     node = np.searchsorted(first, np.arange(40), "right")
     alike = [(a, b) for a in range(40) for b in range(a) if node[a] == node[b] and np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= most]
-    assert simhash.alike_roots(first, sketch, most).tolist() == components(40, alike)
+    root, reached_from = simhash.alike_roots(first, sketch, most)
+    assert root.tolist() == components(40, alike)
+    links = [(a, int(b)) for a, b in enumerate(reached_from) if a != b]
+    assert all((max(x), min(x)) in alike for x in links) and components(40, links) == root.tolist()
+    _, below = simhash.alike_roots(first, sketch, most, backwards=True)
+    links = [(max(a, int(b)), min(a, int(b))) for a, b in enumerate(below) if a != b]
+    assert set(links) <= set(alike) and components(40, links) == root.tolist()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 12))
+def test_links_of_a_node_are_a_forest_of_true_links(seed, most):
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 1 << 12, 200, dtype="u8")
+    sketch = rng.integers(0, 1 << 16, (200, 2), dtype="u8")
+    first = np.array([0, 7, 120])
+    node = np.searchsorted(first, np.arange(200), "right")
+    linked = [
+        (a, b) for a in range(200) for b in range(a)
+        if node[a] == node[b] and int(fp[a] ^ fp[b]).bit_count() <= 4 and np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= most
+    ]
+    edges = []
+    root = simhash.linked_roots(fp, first, 4, sketch, most, edges)
+    found = [(max(x, y), min(x, y)) for a, b in edges for x, y in zip(a.tolist(), b.tolist())]
+    assert root.tolist() == components(200, linked) == components(200, found)
+    assert set(found) <= set(linked) and len(found) == 200 - len(set(root.tolist()))
+
+
+def near_components(spark, rows_, **options):
+    """Component of each row by its place, as near_copies finds it."""
+    frame = spark.createDataFrame([(k, k, t) for k, t in enumerate(rows_)], "row long, doc_id long, text string")
+    stays = {r.row: r.stays for r in simhash.near_copies(frame, "row", **options).collect()}
+    return [stays.get(k, k) for k in range(len(rows_))]
+
+
+def alike_pairs(texts):
+    """Pairs of 5-gram sets with a common member, and their Jaccard similarity, by an inverted index."""
+    sets, where = [five_grams(t.lower().split()) for t in texts], {}
+    for k, found in enumerate(sets):
+        for g in found:
+            where.setdefault(g, []).append(k)
+    common = {}
+    for held in where.values():
+        for a in held:
+            for b in held:
+                if b < a:
+                    common[a, b] = common.get((a, b), 0) + 1
+    return {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in common.items()}
+
+
+def test_near_copies_by_kind_and_band(spark):
+    """Texts of sf0.01, each edited in six ways: recall of pairs by band of exact likeness, and no row goes that has no other
+    alike by 0.8."""
+    rng = random.Random(12)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = [t for t in texts if t and 40 <= len(t.split()) <= 600][:250]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+
+    def some(words, share):
+        return rng.sample(range(len(words)), max(1, round(share * len(words))))
+
+    def replaced(words, share):
+        words = list(words)
+        for k in some(words, share / 5):
+            words[k] = rng.choice(vocabulary)
+        return words
+
+    def deleted(words, share):
+        gone = set(some(words, share / 5))
+        return [w for k, w in enumerate(words) if k not in gone]
+
+    kinds = {
+        "replaced": replaced,
+        "deleted": deleted,
+        "marked": lambda w, s: [x + "," if k in set(some(w, s / 5)) else x for k, x in enumerate(w)],
+        "appended": lambda w, s: w + rng.choices(vocabulary, k=max(1, round(s * len(w)))),
+        "prepended": lambda w, s: rng.choices(vocabulary, k=max(1, round(s * len(w)))) + w,
+        "cut": lambda w, s: w[: max(5, round((1 - s) * len(w)))],
+    }
+    rows_, kind_of = list(texts), {}
+    for t in texts:
+        for kind, edit in kinds.items():
+            rows_.append(" ".join(edit(t.split(), rng.uniform(0.02, 0.25))))
+            kind_of[len(rows_) - 1] = kind
+    pairs = alike_pairs(rows_)
+    got = near_components(spark, rows_)
+    counts = {}
+    for (a, b), likeness in pairs.items():
+        if likeness >= 0.8:
+            key = (kind_of.get(a, "original") if b < len(texts) else "two edits", "0.8-0.9" if likeness < 0.9 else "0.9-1")
+            n, hit = counts.get(key, (0, 0))
+            counts[key] = (n + 1, hit + (got[a] == got[b]))
+    shares = {key: (n, round(hit / n, 3)) for key, (n, hit) in sorted(counts.items())}
+    print(shares)
+    assert all(share >= 0.95 for n, share in shares.values() if n >= 20), shares
+    near = {k for pair, likeness in pairs.items() if likeness >= 0.8 for k in pair}
+    assert all(k in near for k, v in enumerate(got) if v != k)
+    want = components(len(rows_), [p for p, likeness in pairs.items() if likeness >= 0.8])
+    assert sum(g == w for g, w in zip(got, want)) >= 0.97 * len(rows_)
+
+
+def test_a_node_dealt_over_chunks_is_one_group(spark):
+    """A group of near copies far larger than a node may be, among texts of their own."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(120)]
+    rows_ = []
+    for k in range(900):
+        w = list(words)
+        w[rng.randrange(120)] = f"x{k}"
+        rows_.append(" ".join(w))
+    rows_ += [" ".join(f"y{k}-{j}" for j in range(80)) for k in range(300)]
+    got = near_components(spark, rows_, node_rows=64)
+    assert got[:900] == [0] * 900 and got[900:] == list(range(900, 1200))
+
+
+def test_wide_nodes_of_a_stream_stay_whole():
+    import pandas as pd
+
+    rows_ = pd.DataFrame({"a": sorted([1] * 7 + [2] * 50 + [3] + [4] * 3), "b": range(61)})
+    for size in (1, 3, 10, 61):
+        batches = [rows_.iloc[s : s + size] for s in range(0, 61, size)]
+        for at_once in (1, 5, 30, 100):
+            parts = list(simhash._held_nodes(iter(batches), ["a"], at_once))
+            assert pd.concat([p for p, _ in parts])["b"].tolist() == list(range(61))
+            assert sum(p["a"].nunique() for p, _ in parts) == 4 and sum(len(f) for _, f in parts) == 4
 
 
 # -------------------------------------------------------------- the pipeline
@@ -556,15 +680,8 @@ def test_pipeline(spark, small, rows):
     single = stages["near dedup"](spark, unique, small).persist()
     texts = {r.doc_id: r.text.encode().lower().split() for r in unique.collect()}
     ids_ = sorted(texts)
-    fps = {d: np.array(simhash.word_hash_fingerprints(texts[d]), "i8").view("u8") for d in ids_}
-    bits = {d: simhash.min_hash_bits(texts[d]).view("u8") for d in ids_}
-    most = round((1 - simhash.SIMILAR + simhash.SLACK) / 2 * simhash.SKETCH)
-    pairs = [
-        (a, b)
-        for a in range(len(ids_))
-        for b in range(a)
-        if (np.bitwise_count(fps[ids_[a]] ^ fps[ids_[b]]) <= simhash.VIEW_RADIUS).any() and np.bitwise_count(bits[ids_[a]] ^ bits[ids_[b]]).sum() <= most
-    ]
+    grams = [five_grams(texts[d]) for d in ids_]
+    pairs = [(a, b) for a in range(len(ids_)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
     assert {r.doc_id for r in single.collect()} == {ids_[r] for r in components(len(ids_), pairs)}
     mixed = stages["mixing"](spark, single, small).persist()
     taken = {r.doc_id: r.n for r in mixed.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}

@@ -26,15 +26,15 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: u, v of one orderable type.  Returns u, v: each linked node but the smallest of its
-    component, with that smallest.  Nodes without links are not listed."""
+    component, with that smallest.  Nodes without links are not listed.  Each round moves links to smaller nodes, so the
+    rounds end; their number grows with the logarithm of the longest chain."""
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, mark = materialize(now, "links"), None
-    for _ in range(rounds):
+    while True:
         now = materialize(_small_star(_large_star(now)), "links")
         row = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if tuple(row) == mark:
             return now
         mark = tuple(row)
-    raise RuntimeError("links did not settle")

@@ -12,16 +12,19 @@ builds blocks of eight over them, each with the bits that all below it share.  A
 bits already differ in more than RADIUS places is pruned as a whole.  Instead of all pairs a task
 returns one star per set of linked fingerprints; connected components over the stars finish the job.
 
-`keep_one_per_group` is the filter for near copies, word 5-grams alike by SIMILAR or more.  SimHash of
+`keep_one_per_group` is the filter for near copies: word 5-grams (as sets) alike by SIMILAR or more.  SimHash of
 shingles moves by ten bits at that similarity, so the filter takes SimHashes of the set of words, which an edit hardly
-moves: VIEWS of them with different seeds go through the same index at VIEW_RADIUS.  Copies that were cut off or
-extended change many distinct words, so a text also stands under BANDS patterns with every bit fixed, each of BAND_ROWS
-min-hashes of its 5-grams: two texts alike by 0.8 share one of them but for 2 pairs in 10,000.  A pair that meets
-links only if its sketches agree (SKETCH one-bit min-hashes of the 5-grams, so that their
-share of equal bits is (1 + similarity) / 2; SLACK allows for its sampling error).
+moves: VIEWS of them with different seeds go through the same index at VIEW_RADIUS, each distinct fingerprint once.  Copies
+that were cut off or extended change many distinct words, so a text also stands under BANDS patterns with every bit fixed,
+each of BAND_ROWS min-hashes of its 5-grams (two texts alike by 0.8 share one of them but for 2 pairs in 10,000), and under each
+view's whole fingerprint.  Rows that meet become a candidate pair if their sketches agree (SKETCH one-bit min-hashes of the
+5-grams, whose share of equal bits is (1 + similarity) / 2; SLACK allows for its sampling error); of a set of rows that meet
+the edges of two spanning forests are candidates, never all pairs.  A candidate links only if the 5-gram sets of both whole
+texts are compared and alike by SIMILAR.  A node of more than NODE_ROWS rows is dealt over tasks; the rows that stand for
+the sets found meet again, dealt anew, until one task holds them or PASSES have gone by (what never met so meets in other bands).
 
 Defined edge cases: null text is the empty text; texts without words have fingerprint zero and link
-to one another; a text of fewer words than a shingle is one shingle; repeated rows share a fingerprint;
+to one another; texts with the same words are near copies of one another; a text of fewer words than a shingle is one shingle; repeated rows share a fingerprint;
 a null doc_id never names a component while another document is in it; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -34,28 +37,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, with_row_ids
 from .components import components
-from .membership import without
+from .membership import marked, without
 from .weighted_fingerprint import terms
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Fingerprints of a node above which it is refined, and the refinements at most.
+#: Fingerprints of a node above which it is refined, and the refinements at most: after six at most 18 bits are free, so
+#: that no node holds more than 2**18 distinct fingerprints.
 NODE_ROWS = 4096
-DEPTH = 4
+DEPTH = 6
 #: The filter for near copies.
 SIMILAR = 0.8
-SLACK = 0.05
+SLACK = 0.09
 NEAR_SHINGLE = 5
 VIEWS = (11, 22, 33)
 VIEW_RADIUS = 5
 SKETCH = 256
 BANDS, BAND_ROWS = 16, 4
+PASSES = 4
+#: Pairs of one text that are verified against one copy of it.
+PAIRS_PER_SALT = 256
 _FAN = 8
 _PAIRS = 1 << 16
 
@@ -159,9 +165,11 @@ def _levels(fp: np.ndarray, first: np.ndarray) -> list[_Blocks]:
             return levels
 
 
-def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+def linked_roots(
+    fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch: np.ndarray | None = None, most: int = 0, edges: list | None = None
+) -> np.ndarray:
     """For rows grouped into nodes: the smallest row of each row's set of linked rows.  With sketches (rows of
-    64-bit words) a link also needs at most `most` differing sketch bits."""
+    64-bit words) a link also needs at most `most` differing sketch bits.  edges is given the links that joined the sets."""
     root = np.arange(len(fp))
     levels = _levels(fp, first)
     top = len(levels) - 1
@@ -185,7 +193,9 @@ def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch
             if sketch is not None:
                 alike = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most
                 a, b = a[alike], b[alike]
-            _join(root, a, b)
+            joined = _join(root, a, b)
+            if edges is not None:
+                edges.extend(joined)
             continue
         na, nb = here.end[a] - here.start[a], here.end[b] - here.start[b]
         n = na * nb
@@ -197,67 +207,88 @@ def linked_roots(fp: np.ndarray, first: np.ndarray, radius: int = RADIUS, sketch
     return root
 
 
-def alike_roots(first: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
-    """linked_roots for nodes whose fingerprints are all equal, so that sketches alone decide.  A row that was reached
-    is never compared again: a node of near copies costs its rows, not its pairs."""
+def alike_roots(first: np.ndarray, sketch: np.ndarray, most: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """linked_roots for nodes whose fingerprints are all equal, so that sketches alone decide, and the row that each row
+    was reached from.  A row that was reached is never compared again: a node of near copies costs its rows, not
+    its pairs.  The first row (backwards: the last) of a set stands for it."""
     root = np.arange(len(sketch))
+    reached_from = root.copy()
     for start, end in zip(first, np.append(first[1:], len(sketch)), strict=True):
-        left = np.arange(start, end)
+        left = np.arange(end - 1, start - 1, -1) if backwards else np.arange(start, end)
         while len(left) > 1:
             seed, left = left[0], left[1:]
             reached = [seed]
             while reached and len(left):
-                near = np.bitwise_count(sketch[left] ^ sketch[reached.pop()]).sum(axis=1) <= most
-                root[left[near]] = seed
+                at = reached.pop()
+                near = np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1) <= most
+                root[left[near]], reached_from[left[near]] = seed, at
                 reached.extend(left[near])
                 left = left[~near]
-    return root
+    return root, reached_from
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the sets of a[i] and b[i]; root stays each set's smallest row."""
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Merge the sets of a[i] and b[i]; root stays each set's smallest row.  Returns the links used, one for each merger."""
+    used = []
     while len(a):
         ra, rb = root[a], root[b]
         low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        np.minimum.at(root, high, low)
+        order = np.lexsort((low, high))
+        pick = order[np.append(True, high[order][1:] != high[order][:-1])]  # one link for each set that is merged
+        root[high[pick]] = low[pick]
+        used.append((a[pick], b[pick]))
         while (root != (up := root[root])).any():
             root[:] = up
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
+    return used
 
 
-def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_000, view=(), name: str = "fp", sketch=(), most: int = 0) -> DataFrame:
-    """Stars of linked rows: u, v, the names of a row and of the one that stands for its set inside a node."""
-    node = [*view, "mask", "pattern"]
-    carried = list(dict.fromkeys(["fp", name, *sketch]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= rows_at_once:
-                rows = pd.concat(held, ignore_index=True)
-                cut = int(starts(rows)[-1])  # the last node may go on in the next batch
-                held = [rows.iloc[cut:]]
-                if cut:
-                    yield stars(rows.iloc[:cut])
-        if held:
-            yield stars(pd.concat(held, ignore_index=True))
+def _held_nodes(batches: Iterator[pd.DataFrame], node: list[str], rows_at_once: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Whole nodes of a sorted stream, about rows_at_once rows at a time, and the first row of each.  A batch is copied
+    once, however many batches a node spans."""
+    held: list[pd.DataFrame] = []
+    size, last = 0, None
 
     def starts(rows: pd.DataFrame) -> np.ndarray:
-        """First row of each node."""
         keys = rows[node].to_numpy()
         return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(rows) else np.array([], "i8")
 
-    def stars(rows: pd.DataFrame) -> pd.DataFrame:
-        fp, names = rows["fp"].to_numpy("i8"), rows[name].to_numpy("i8")
-        words = np.ascontiguousarray(rows[list(sketch)].to_numpy("i8")).view("u8") if sketch else None
-        if radius == 0:
-            root = alike_roots(starts(rows), words, most)
-        else:
-            root = linked_roots(fp.view("u8"), starts(rows), radius, words, most) if len(rows) else np.array([], "i8")
-        tied = root != np.arange(len(fp))
-        return pd.DataFrame({"u": names[tied], "v": names[root[tied]]})
+    for batch in batches:
+        if not len(batch):
+            continue
+        cut = int(starts(batch)[-1])  # the last node may go on in the next batch
+        if size >= rows_at_once and (cut or tuple(batch[node].iloc[0]) != last):
+            rows = pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held, size = [], 0
+            yield rows, starts(rows)
+            batch = batch.iloc[cut:]
+        held.append(batch)
+        size += len(batch)
+        last = tuple(batch[node].iloc[-1])
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, starts(rows)
+
+
+def node_links(leaves: DataFrame, radius: int = RADIUS, rows_at_once: int = 40_000, view=(), name: str = "fp", sketch=(), most: int = 0) -> DataFrame:
+    """u, v: linked rows by name.  Each row with the one that stands for its set inside a node, or with sketches the
+    links of a spanning forest of the set."""
+    node = [*view, "mask", "pattern"]
+    carried = list(dict.fromkeys(["fp", name, *sketch]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, first in _held_nodes(batches, node, rows_at_once):
+            fp, names = rows["fp"].to_numpy("i8").view("u8"), rows[name].to_numpy("i8")
+            if sketch:
+                edges: list = []
+                linked_roots(fp, first, radius, _sketch_words(rows), most, edges)
+                for a, b in edges:
+                    yield pd.DataFrame({"u": names[a], "v": names[b]})
+            else:
+                root = linked_roots(fp, first, radius)
+                tied = root != np.arange(len(fp))
+                yield pd.DataFrame({"u": names[tied], "v": names[root[tied]]})
 
     ordered = leaves.repartition(*node).sortWithinPartitions(*node, gray_rank(F.col("fp")), name)
     return ordered.select(*node, *carried).mapInPandas(run, "u long, v long")
@@ -356,32 +387,108 @@ def near_signatures(docs: DataFrame, row: str) -> DataFrame:
     return docs.select("doc_id", F.col(row).alias("row"), "text").mapInPandas(run, schema)
 
 
-def _band_nodes(named: DataFrame) -> DataFrame:
-    """named under each of its bands' patterns, where another row stands there as well; sketches are added to those
-    rows only."""
-    rows = named.select("name", F.posexplode("bands").alias("view", "band")).select("name", "view", F.col("band").cast("long").alias("fp"))
-    many = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("view", "fp"))).where("n > 1").drop("n")
-    nodes = materialize(many, "bands").join(named.select("name", *_WORDS), "name")
-    return nodes.withColumns({"mask": F.lit(-1).cast("long"), "pattern": F.col("fp")})
+def _sketch_words(rows: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(rows[_WORDS].to_numpy("i8")).view("u8")
 
 
-def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
-    """docs without near copies: of each group linked by similarity the first document stays (smallest doc_id, null
-    last, then the first row)."""
-    rows, row = with_row_ids(docs)
-    marked = materialize(near_signatures(rows, row), "signatures")
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    alike = materialize(marked.groupBy("fps", *_WORDS).agg(F.min(first).alias("first"), F.min("bands").alias("bands")), "alike")
-    named = alike.withColumn("name", F.col("first.row"))
+def alike_links(rows: DataFrame, most: int, rows_at_once: int = 40_000) -> DataFrame:
+    """rows: view, fp, chunk, dealt, name and sketches.  Returns view, fp, u, v: links of two spanning forests of each set
+    of rows that meet in a chunk of a node and have like sketches; where dealt, also u = v for each row that stands for a set."""
+    node = ["view", "fp", "chunk"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, first in _held_nodes(batches, node, rows_at_once):
+            sketch, names = _sketch_words(held), held["name"].to_numpy("i8")
+            at = np.arange(len(names))
+            root, above = alike_roots(first, sketch, most)
+            _, below = alike_roots(first, sketch, most, backwards=True)
+            seeds = np.flatnonzero((root == at) & held["dealt"].to_numpy(bool))
+            a = np.concatenate((np.flatnonzero(above != at), np.flatnonzero(below != at), seeds))
+            b = np.concatenate((above[above != at], below[below != at], seeds))
+            yield pd.DataFrame({"view": held["view"].to_numpy("i4")[a], "fp": held["fp"].to_numpy("i8")[a], "u": names[a], "v": names[b]})
+
+    ordered = rows.repartition(*node).sortWithinPartitions(*node, "name")
+    return ordered.select(*node, "dealt", "name", *_WORDS).mapInPandas(run, "view int, fp long, u long, v long")
+
+
+def _chunked(places: DataFrame, named: DataFrame, turn: int, node_rows: int) -> DataFrame:
+    """places (view, fp, name: a written table) where another row stands as well, with sketches; nodes of more than
+    node_rows are dealt over chunks."""
+    counts = places.groupBy("view", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / node_rows).cast("long")
+    counts = materialize(counts.select("view", "fp", chunks.alias("chunks")), "nodes")
+    many = places.join(counts, ["view", "fp"])
+    dealt = many.select("view", "fp", "name", F.pmod(F.xxhash64("name", F.lit(turn)), F.col("chunks")).alias("chunk"), (F.col("chunks") > 1).alias("dealt"))
+    return dealt.join(named.select("name", *_WORDS), "name")
+
+
+def candidates(named: DataFrame, most: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """u > v: names of rows that meet and have like sketches.  named: a written table of name, fps, bands and sketches."""
     views = named.select("name", *_WORDS, F.posexplode("fps").alias("view", "fp"))
-    leaves = index_nodes(views, VIEW_RADIUS, node_rows, view=("view",))
+    one = F.min(F.struct("name", *_WORDS)).alias("one")
+    distinct = materialize(views.groupBy("view", "fp").agg(one).select("view", "fp", "one.*"), "distinct")
+    met = materialize(node_links(index_nodes(distinct, VIEW_RADIUS, node_rows, view=("view",)), VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most), "met")
+    bands = named.select("name", F.posexplode("bands").alias("view", "fp")).select((F.col("view") + len(VIEWS)).alias("view"), F.col("fp").cast("long").alias("fp"), "name")
+    places = views.select("view", "fp", "name").union(bands)
+    for turn in range(PASSES):
+        links = materialize(alike_links(_chunked(places, named, turn, node_rows), most), "links")
+        met = met.union(links.where("u <> v").select("u", "v"))
+        places = links.where("u = v").select("view", "fp", F.col("u").alias("name"))
+        if places.isEmpty():
+            break
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of pairs (u, v: a written table) whose whole texts have 5-gram sets alike by `similar` or more.  texts: name,
+    text.  A text that many pairs share is copied to salts in proportion, so its pairs spread over many tasks."""
+    shared = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("long").alias("salts"))
+    shared = materialize(shared, "shared")
+    ends = materialize(pairs.select("u").union(shared.select("v")).distinct().withColumnRenamed("u", "name"), "ends")
+    held = marked(texts, ends, "name", "__maybe").where("__maybe").select("name", "text")
+    right = held.join(shared, F.col("name") == F.col("v")).select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("text").alias("right"))
+    left = pairs.join(shared, "v").join(held.withColumnRenamed("name", "u").withColumnRenamed("text", "left"), "u")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts"))).drop("salts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, right = None, None
+        for batch in batches:
+            alike = np.zeros(len(batch), bool)
+            for k, (a, v, b) in enumerate(zip(batch["left"], batch["v"], batch["right"], strict=True)):
+                if v != last:
+                    last, right = v, grams(b)
+                left = grams(a)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                alike[k] = both >= similar * (len(left) + len(right) - both)
+            yield batch.loc[alike, ["u", "v"]]
+
+    return left.join(right, ["v", "salt"]).select("u", "left", "v", "right").mapInPandas(run, "u long, v long")
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's word 5-grams."""
+    return terms((text or "").encode().lower().split(), NEAR_SHINGLE)[0]
+
+
+def near_copies(rows: DataFrame, row: str, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
+    """row, stays: the rows (numbered by the column so named) that repeat another, and that row's number."""
+    signed = materialize(near_signatures(rows, row), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    alike = signed.groupBy("fps", *_WORDS).agg(F.min(first).alias("first"), F.min("bands").alias("bands"))
+    named = materialize(alike.withColumn("name", F.col("first.row")), "named")
     most = round((1 - similar + SLACK) / 2 * SKETCH)
-    met = node_links(leaves, VIEW_RADIUS, view=("view",), name="name", sketch=_WORDS, most=most)
-    met = met.union(node_links(_band_nodes(named), 0, view=("view",), name="name", sketch=_WORDS, most=most))
-    links = materialize(met, "stars")
+    pairs = materialize(candidates(named, most, node_rows), "pairs")
+    links = materialize(verified(pairs, rows.select(F.col(row).alias("name"), "text"), similar), "links")
     roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
     placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("stays"))
     owner = placed.join(materialize(stays, "stays"), "root").select("fps", *_WORDS, "stays")
-    gone = marked.join(owner, ["fps", *_WORDS]).where("row <> stays").select(F.col("row").alias(row))
+    return signed.join(owner, ["fps", *_WORDS]).where("row <> stays").select("row", "stays")
+
+
+def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
+    """docs without near copies: of each group linked by similarity the first document stays (smallest doc_id, null
+    last, then the first row).  Nulls, empty texts, ties, repeated rows and empty tables: see above; all columns are kept."""
+    rows, row = with_row_ids(docs)
+    gone = near_copies(rows, row, similar, node_rows).select(F.col("row").alias(row))
     return without(rows, materialize(gone, "gone"), row).select(*docs.columns)

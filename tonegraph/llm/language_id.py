@@ -6,13 +6,15 @@ distinct)), and is coded in the next shorter context; below the empty context ev
 bits.  A document's code length under a language is the sum over its bytes, and the language with the
 shortest code is predicted.
 
-The trees are learned from a sample of labelled rows of about SAMPLE_BYTES a language (drawn by hash, so
-it covers all rows alike); the counts are made in Spark and only their sums, bounded by the sample, reach the driver.
-As statistics are frozen, the cost of a byte depends on the bytes just before it alone, so whole batches
-are scored by table look-up.
+The trees are learned from a sample of labelled texts of about SAMPLE_BYTES a language and TOTAL_BYTES in all: pieces of PIECE
+code points are drawn by hash from all texts alike, and each language's first piece by that hash is always in, so no
+label is lost and no long text exceeds the bound.  The counts are made in Spark and only their sums, bounded by the sample, reach
+the driver.  Languages stand in models of GROUP each (1 KB a context and 4 bytes a language and gram: four languages of
+SAMPLE_BYTES take about 14 MB), scored one after another.  As statistics are frozen, the cost of a byte depends on the
+bytes just before it alone, so whole batches are scored by table look-up.
 
 Defined edge cases: null text, and text without a letter, is `und` with score 0; ties go to the
-language that sorts first; texts with equal bytes get equal predictions; repeated rows are predicted one by
+language that sorts first; of more than MOST_LANGUAGES labels those with the most bytes (then the smallest) are learned; texts with equal bytes get equal predictions; repeated rows are predicted one by
 one; an empty table, or one without labelled rows, gives `und` everywhere; other columns are ignored.
 """
 
@@ -30,8 +32,13 @@ from .common import free_name
 
 ORDER = 3
 SAMPLE_BYTES = 400_000
-#: Distinct labels that are accepted; more would be a mistake in the table.
-MOST_LANGUAGES = 256
+#: Bytes sampled in all; beyond 32 languages each gets an equal share.
+TOTAL_BYTES = 32 * SAMPLE_BYTES
+#: Code points of a piece of the sample.
+PIECE = 1024
+#: Labels that are learned, and languages of one model.
+MOST_LANGUAGES = 4096
+GROUP = 16
 #: Longest contexts are kept if they occurred so often in the sample.
 LEAST_CONTEXT = 2
 FOLDS, HELD_OUT_FOLD = 3, 1
@@ -45,15 +52,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """lang, text of about sample_bytes for each language."""
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
+    """lang, text: pieces of labelled texts (doc_id, lang, text; none null but doc_id), about sample_bytes a language."""
+    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int"))
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    rows = labelled.select("doc_id", "lang", "text", unnamed.alias("own"), pieces.alias("pieces"))
+
+    def place(piece: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "own", F.octet_length("text"), piece, F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.min(F.array_min(F.transform("pieces", place))).alias("least"))
+    found = sizes.orderBy(F.desc("bytes"), "lang").limit(MOST_LANGUAGES).collect()
+    if not found:
         return labelled.select("lang", "text").limit(0)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_bytes / max(1, r["bytes"] or 1))))])
-    place = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+    each = min(sample_bytes, TOTAL_BYTES / len(found))
+    limits = [(r["lang"], max(r["least"], min(1.0, each / max(1, r["bytes"])))) for r in found]
+    wanted = labelled.sparkSession.createDataFrame(limits, "lang string, most double")  # at most MOST_LANGUAGES rows
+    drawn = rows.join(F.broadcast(wanted), "lang").select("lang", "text", F.explode(F.filter("pieces", lambda piece: place(piece) <= F.col("most"))).alias("piece"))
+    return drawn.select("lang", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("text"))
 
 
 def gram_counts(texts: DataFrame) -> pd.DataFrame:
@@ -177,24 +192,32 @@ class Model:
                 size += len(part)
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> list[Model]:
+    """Models of GROUP languages each, in order; none without labelled texts."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = gram_counts(sample(labelled.select("doc_id", "lang", "text"), sample_bytes))
-    return Model(counts) if len(counts) else None
+    languages = sorted(counts["lang"].unique())
+    return [Model(counts[counts["lang"].isin(languages[s : s + GROUP])]) for s in range(0, len(languages), GROUP)]
 
 
-def _verdicts(model: Model | None, texts: list[str | None], spoken: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verdicts(models: list[Model], texts: list[str | None], spoken: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language, score and bits per byte of each text."""
     n = len(texts)
     lang, score, per_byte = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
-    rows = np.flatnonzero(spoken) if model else []
+    rows = np.flatnonzero(spoken) if models else []
     if len(rows):
         chosen = [texts[k] for k in rows]
-        bits = model.score(chosen)
-        best = bits.argmin(axis=1)
-        low = bits[np.arange(len(rows)), best]
-        lang[rows] = np.array(model.languages, object)[best]
-        score[rows] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+        low, total, name = np.full(len(rows), np.inf), np.zeros(len(rows)), np.full(len(rows), "und", object)
+        for model in models:
+            bits = model.score(chosen)
+            best = bits.argmin(axis=1)
+            here = bits[np.arange(len(rows)), best]
+            least = np.minimum(low, here)
+            total = total * np.exp2(np.maximum(least - low, -1000)) + np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+            better = here < low
+            name[better] = np.array(model.languages, object)[best[better]]
+            low = least
+        lang[rows], score[rows] = name, 1 / total
         per_byte[rows] = low / [max(1, len(t.encode())) for t in chosen]
     return lang, score, per_byte
 
@@ -204,9 +227,9 @@ def _spoken() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, bits_per_byte (null for und)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,13 +244,14 @@ def identify_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Dat
     return predict(docs, train(docs, sample_bytes))
 
 
-#: A language model that needs as many bits as plain bytes have learned nothing that a text holds.
+#: A language that needs as many bits as plain bytes shares nothing with the text: it is in none of the learned languages.
 MOST_BITS = 8.0
 
 
 def drop_unidentified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """docs without those rejected: `und`, or MOST_BITS a byte and more under every language.  Rows pass
-    through their tasks and are never shuffled."""
+    """docs without those rejected: `und` (null text, or no letter), or MOST_BITS a byte and more under every language, as a
+    script has that no labelled text is in.  Rows pass through their tasks and are never shuffled; repeated rows share
+    their verdict, all columns are kept, and without labelled rows every document is rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample_bytes))
     flag = free_name(docs, "__spoken")
 

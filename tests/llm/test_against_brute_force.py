@@ -275,6 +275,65 @@ def test_op5(spark, rows):
     assert sum(r.lang_pred == lang[r.doc_id].lang for r in held) / len(held) > 0.98
 
 
+def test_op5_equals_plain_python(spark, small, rows):
+    """Every prediction and score of the query over sf0.001, from code lengths by recursion over plain counts of its sample."""
+    import collections
+    import functools
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labelled = docs.where(~language_id.held_out(docs.doc_id)).where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    pieces = language_id.sample(labelled).collect()
+    assert {r.lang for r in pieces} == {r.lang for r in labelled.collect()}
+    n = language_id.ORDER
+    after, kept = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in pieces:
+        data = b"\n" * n + r.text.encode()
+        for k in range(n, len(data)):
+            for d in range(n + 1):
+                after[r.lang, data[k - d : k]][data[k]] += 1
+        for k in range(n, len(data)):
+            kept[data[k - n + 1 : k + 1]] += 1
+    languages = sorted({r.lang for r in pieces})
+
+    @functools.lru_cache(maxsize=None)
+    def cost(lang, context, byte):
+        seen = after[lang, context] if len(context) < n or kept[context] >= language_id.LEAST_CONTEXT else {}
+        total, distinct = sum(seen.values()), len(seen)
+        if byte in seen:
+            return -math.log2(seen[byte] / (total + distinct))
+        return (-math.log2(distinct / (total + distinct)) if total else 0.0) + (cost(lang, context[1:], byte) if context else 8.0)
+
+    for r in ALL["op5_language_id"](spark, small).collect():
+        text = rows[r.doc_id].text
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = b"\n" * n + text.encode()
+        bits = {x: sum(cost(x, data[k - n : k], data[k]) for k in range(n, len(data))) for x in languages}
+        low = min(bits.values())
+        assert bits[r.lang_pred] <= low + 1e-4 * low
+        assert math.isclose(r.score, 1 / sum(2.0 ** max(-1000, low - b) for b in bits.values()), rel_tol=2e-2, abs_tol=1e-6)
+
+
+def test_languages_of_few_long_texts_are_learned(spark):
+    rows_ = [(3 * k, "the cat and the dog went to the house " * 5, "en") for k in range(200)]
+    rows_ += [(10_000 + k, "le chat et le chien sont dans la maison " * 20_000, "fr") for k in range(6)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    assert sum(len(r.text.encode()) for r in language_id.sample(docs).where("lang = 'fr'").collect()) < 2 * language_id.SAMPLE_BYTES
+    new = spark.createDataFrame([(1, "le chien dans la maison", None), (2, "the dog and the house", None)], "doc_id long, text string, lang string")
+    models = language_id.train(docs)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(new, models).collect()} == {1: "fr", 2: "en"}
+
+
+def test_more_labels_than_one_model_holds(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in range(300)}
+    rows_ = [(k, " ".join(rng.choices(w, k=60)), lang) for k, (lang, w) in enumerate([*words.items()] * 6)]
+    got = language_id.identify_languages(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()
+    want = {k: lang for k, _, lang in rows_}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.99 * len(rows_)
+
+
 def test_code_lengths_equal_the_recursion(spark, docs):
     model_rows = docs.limit(60)
     counts = language_id.gram_counts(model_rows.select("lang", "text"))
@@ -358,6 +417,19 @@ def test_edits(start, edits):
         assert tree.total() == len(REFERENCE(tree.text)) and tree.chars[1] == len(tree.text)
 
 
+def test_many_edits_at_one_place_split_leaves():
+    text = "The quick brown fox. " * 200
+    tree = token_counts.TokenTree(text, token_counts.PieceCounts(ENCODE))
+    for k in range(300):
+        at = 2000 + 4 * k
+        tree.edit(at, at, f" a{k}")
+        assert max(map(len, tree.leaves)) <= 2 * token_counts.LEAF
+    assert tree.total() == len(REFERENCE(tree.text)) and tree.chars[1] == len(tree.text)
+    tree.edit(5, 5, "new words " * 5000)
+    tree.edit(100, 40_000, "")
+    assert tree.total() == len(REFERENCE(tree.text)) and max(map(len, tree.leaves)) <= 2 * token_counts.LEAF
+
+
 # -------------------------------------------------------------- sharding
 
 

@@ -5,7 +5,8 @@ Leaves hold runs of pre-tokens with their lengths in code points and tokens; inn
 re-splits the text from the last pre-token boundary that the edit can't have moved (the pattern looks at most two
 code points past a pre-token's end) until a new boundary falls on an old one past the edit: from there on
 the old pre-tokens hold.  Only pre-tokens of that region are encoded, and the sums on the paths from the touched
-leaves to the root are updated.
+leaves to the root are updated.  A leaf that grows beyond 2 LEAF pre-tokens is split, and the sums over the leaves are made
+anew (one addition a leaf; nothing is encoded), so many edits at one place don't degrade the tree.
 
 Defined edge cases: null text is the empty text with 0 tokens; edits outside the text are clipped to it; repeated
 rows are counted one by one; an empty table gives an empty result; other columns are ignored.
@@ -57,7 +58,10 @@ class TokenTree:
     def __init__(self, text: str, counts: PieceCounts):
         self.counts, self.text, self.encoded = counts, text, 0
         pieces = splitter().findall(text)
-        self.leaves = [[(len(p), counts[p]) for p in pieces[s : s + LEAF]] for s in range(0, len(pieces), LEAF)] or [[]]
+        self._build([(len(p), counts[p]) for p in pieces[s : s + LEAF]] for s in range(0, len(pieces), LEAF))
+
+    def _build(self, leaves) -> None:
+        self.leaves = [leaf for leaf in leaves if leaf] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for k in range(len(self.leaves)):
@@ -124,6 +128,10 @@ class TokenTree:
         for j in range(first + 1, last + 1):
             self.leaves[j] = []
         self.text = text
+        grown = self.leaves[first]
+        if len(grown) > 2 * LEAF:
+            self._build([*self.leaves[:first], *(grown[s : s + LEAF] for s in range(0, len(grown), LEAF)), *self.leaves[first + 1 :]])
+            return
         for j in range(first, last + 1):
             self._sum(j)
         low, high = (self.size + first) // 2, (self.size + last) // 2

@@ -160,12 +160,13 @@ def _round(rows: DataFrame, turn: int, parts: int, capacity: int, last: bool) ->
     return ordered.mapInPandas(run, f"{_PIECE}, sequence_id long, offset long, released boolean, bins long, bound long")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_PER_TASK, rounds: int = 6) -> DataFrame:
-    """rows: doc_id, piece, start, length, ids_crc32.  Adds sequence_id and offset."""
+def pack(rows: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """rows: doc_id, piece, start, length, ids_crc32.  Adds sequence_id and offset.  Each round has fewer tasks than the one
+    before; the last has one."""
     done, turn = None, 0
     parts = max(1, math.ceil(rows.count() / rows_per_task))
     while True:
-        last = parts == 1 or turn == rounds - 1
+        last = parts == 1
         packed = materialize(_round(rows, turn, parts, capacity, last), f"packed{turn}")
         kept = packed.where("not released").select(*_KEYS, "sequence_id", "offset")
         done = kept if done is None else done.union(kept)

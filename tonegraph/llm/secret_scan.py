@@ -6,9 +6,13 @@ that the ledger lacks under the present rule version, scans those texts alone, a
 ledger and joins the findings back to every path that holds the blob.  Texts whose blob a bitmap clears (held by one
 path, and not in the ledger) are scanned where they lie; only the others move, dealt by the carrier's identifier.
 
-Positions of regular-expression matches: split() gives the text between matches and
-regexp_extract_all() the matches, so a running sum of their lengths is each match's start in code
-points.
+The ledger is a folder with one table for each scan.  A scan counts once its table is complete (Spark's commit
+marker), so a scan that failed leaves nothing behind, and a ledger that is opened again knows all earlier scans.  The query sends
+its table through one ledger in BATCHES, so that later batches find blobs of earlier ones in it.
+
+Positions of regular-expression matches: split() gives the text between matches and regexp_extract_all() the matches, so a
+running sum of their lengths is each match's start in code points.  The sum runs over runs of about sqrt(matches) matches
+and then inside each, so that a text of very many matches is not copied for each of them.
 
 Defined edge cases: null text is the empty blob; empty texts have no spans; repeated rows and equal
 texts share a blob and each gets its findings; a null doc_id is a path like any other; an empty
@@ -17,6 +21,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ RULES = [
     ("hex", r"[0-9a-f]+", 0, 16),
 ]
 RULE_VERSION = "base-1"
+#: Scans that the query sends its table through the ledger in.
+BATCHES = 2
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
@@ -44,18 +53,37 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), value.alias("value"))
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t).cast("bigint"))
+    parts = F.arrays_zip(F.slice(lengths(between), F.lit(1), F.size(whole)).alias("gap"), lengths(whole).alias("hit"), lengths(value).alias("value"))
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
 
     def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
+        start = acc["at"] + part["gap"]
+        end = start + part["hit"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        found = F.when(F.length(part["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        found = F.when(part["value"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def walk(run: Column, start: Column) -> Column:
+        return F.aggregate(run, F.struct(start.alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+
+    def spans(parts: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(parts))).cast("int"))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / width).cast("int")), lambda k: F.slice(parts, k * width + 1, width))
+        return _bound(runs, walked)
+
+    def walked(runs: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        sums = F.transform(runs, lambda run: F.aggregate(run, zero, lambda n, part: n + part["gap"] + part["hit"]))
+        starts = F.aggregate(sums, F.array(zero), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), starts.alias("start")), lambda x: F.when(x["run"].isNull(), empty).otherwise(walk(x["run"], x["start"]))))
+
+    return F.when(text.rlike(pattern), _bound(parts, spans)).otherwise(empty)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def find_spans(text: Column, rules=RULES) -> Column:
@@ -64,23 +92,33 @@ def find_spans(text: Column, rules=RULES) -> Column:
 
 
 class BlobLedger:
-    """(blob, rule_version, spans) in a Parquet folder; each scan appends what was unseen."""
+    """(blob, rule_version, spans) below a folder; each scan adds a table of what was unseen.  Opened again at the same path
+    it knows what was scanned before."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.started = spark, path or work_path(spark, "ledger"), False
+        self.spark, self.path = spark, path or work_path(spark, "ledger")
+
+    def scans(self) -> list[str]:
+        """Folders of the scans that were completed."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        found = [status.getPath().toString() for status in files.listStatus(root)]
+        return sorted(at for at in found if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")))
 
     def rows(self) -> DataFrame:
-        schema = f"blob binary, rule_version string, spans array<{_SPAN}>"
-        if not self.started:
+        schema, scans = f"blob binary, rule_version string, spans array<{_SPAN}>", self.scans()
+        if not scans:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(schema).parquet(*scans)
 
     def scan(self, versions: DataFrame, rule_version: str = RULE_VERSION, rules=RULES) -> DataFrame:
         """versions: doc_id, text.  Returns doc_id, blob, spans for each of its rows."""
         paths = versions.select("doc_id", text_or_empty().alias("text")).select("*", once(F.unhex(F.sha2("text", 256)), "blob"))
         heads = materialize(paths.select("doc_id", "blob"), "heads")
         copies = heads.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).withColumn("new", F.lit(True))
-        if self.started:
+        if self.scans():
             seen = self.rows().where(F.col("rule_version") == rule_version).select("blob", F.lit(True).alias("seen")).dropDuplicates(["blob"])
             copies = copies.join(seen, "blob", "left").withColumn("new", F.col("seen").isNull())
         copies = materialize(copies.select("blob", "doc_id", "new", (F.col("n") > 1).alias("copied")), "copies")
@@ -88,19 +126,22 @@ class BlobLedger:
         flagged = marked(paths, known, "blob", "maybe")
         carriers = marked(copies.where("new"), known, "blob", "maybe").where("maybe").select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"))
         one = flagged.doc_id.eqNullSafe(F.col("__id")) & (flagged.blob == F.col("__blob"))
-        carried = flagged.where("maybe").join(carriers.hint("shuffle_hash"), one, "left_semi")
+        carried = flagged.where("maybe").join(carriers, one, "left_semi")
         fresh = flagged.where("not maybe").select("blob", "text").union(carried.select("blob", "text"))
         found = fresh.select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
-        found.write.mode("append").option("compression", "zstd").parquet(self.path)
-        self.started = True
+        found.write.option("compression", "zstd").parquet(f"{self.path}/scan-{uuid.uuid4().hex}")
         hits = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
         hits = materialize(hits, "hits")  # else the join lies on the grouping's partitions, which can't be split
         return heads.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)")).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = (ledger or BlobLedger(docs.sparkSession)).scan(docs.select("doc_id", "text"))
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int = BATCHES) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.  Documents go through the ledger in
+    batches, by a hash of doc_id."""
+    ledger = ledger or BlobLedger(docs.sparkSession)
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    scanned = [ledger.scan(docs.where(turn == k).select("doc_id", "text")) for k in range(batches)]
+    found = functools.reduce(DataFrame.union, scanned)
     label = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(r[0]) for r in RULES], F.sha2(label, 256).alias("base_sha256"), label.alias("spans"))

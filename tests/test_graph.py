@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tonegraph.explorer import Explorer
 from tonegraph.operators import analytics as A
 from tonegraph.operators import cleaning, evaluation, graph, knn
+from tonegraph.operators.vectors import index_weights, standardise, vocabulary
+from tonegraph.plans.weight_search import evaluate
 from tonegraph.schemas import GROUPS
 
 
@@ -29,13 +31,21 @@ def expected(x, k):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_nearest(spark, broadcast_bytes):
+@pytest.mark.parametrize(("broadcast_bytes", "block"), [(1 << 20, 16), (0, 16), (60 * 64 - 1, 16), (60 * 64 - 1, 64)])
+def test_nearest(spark, broadcast_bytes, block):
     x, df = vectors(spark)
-    got = {}
-    for r in knn.nearest(df, df, 4, block=16, broadcast_bytes=broadcast_bytes).orderBy("src", "rank").collect():
-        got.setdefault(r.src, []).append(r.dst)
-    assert got == expected(x, 4)
+    for queries in (df, df.where("id in (4, 5, 17)")):
+        got = {}
+        for r in knn.nearest(queries, df.repartition(5), 4, block=block, broadcast_bytes=broadcast_bytes).orderBy("src", "rank").collect():
+            got.setdefault(r.src, []).append(r.dst)
+        assert got == {k: v for k, v in expected(x, 4).items() if k in {r.id for r in queries.collect()}}
+
+
+def test_one_query_reads_a_large_corpus_where_it_lies(spark):
+    _, df = vectors(spark)
+    plan = knn.nearest(df.where("id = 3"), df, 4, broadcast_bytes=1000)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]
+    assert "Exchange" not in below and "Generate" not in plan  # the corpus is neither copied nor moved
 
 
 def test_nearest_with_few_vectors(spark):
@@ -60,12 +70,17 @@ def dijkstra(x, start, end, k):
     return None
 
 
-def test_an_unsettled_path_is_an_error(spark):
-    chain = spark.createDataFrame([(k, k + 1, 0.5) for k in range(4)], "src long, dst long, score double")
-    named = spark.createDataFrame([(k, "t", "a") for k in range(5)], "id long, title string, artist_name string")
-    with pytest.raises(RuntimeError):
-        graph.shortest_path(chain, 0, 4, named, rounds=2)
-    assert graph.shortest_path(chain, 0, 4, named)[2] == 2.0
+def test_a_path_by_edges_made_on_the_way(spark):
+    chain = spark.createDataFrame([(k, k + 1, 0.5) for k in range(9)], "src long, dst long, score double")
+    named = spark.createDataFrame([(k, "t", "a") for k in range(10)], "id long, title string, artist_name string")
+    asked = []
+
+    def expand(nodes):
+        asked.extend(r.id for r in nodes.collect())
+        return chain
+
+    nodes, edges, total = graph.shortest_path(expand, 0, 4, named)
+    assert total == 2.0 and nodes.count() == 5 and edges.count() == 4 and max(asked) <= 4
 
 
 def test_shortest_path(spark):
@@ -76,7 +91,7 @@ def test_shortest_path(spark):
         nodes, steps, total = graph.shortest_path(edges[k], start, end, df)
         want = dijkstra(x, start, end, k)
         if want is None:
-            assert nodes is None and steps is None and total is None
+            assert nodes.count() == 0 and steps.count() == 0 and total is None
             continue
         reached += 1
         assert math.isclose(total, want[0], abs_tol=1e-9)
@@ -140,6 +155,31 @@ def test_weights(spark):
     assert A.weight_dispersion(drawn.withColumn("accuracy", F.lit(1.0)), 4000).select(F.avg("dispersion")).first()[0] == pytest.approx(12**-0.5, abs=0.01)
 
 
+def test_weight_evaluation_is_saved(spark, tmp_path):
+    _, df = grouped(spark)
+    triplets = spark.createDataFrame([(k, k, k + 1, k + 2) for k in range(20)], "triplet long, root long, closer long, further long")
+    scored, best = evaluate(df, triplets, trials=50, folder=str(tmp_path))
+    rows = scored.collect()
+    assert len(rows) == 50 + 3**9 and {r.trial for r in rows} == set(range(50 + 3**9))
+    assert sorted(((-r.accuracy, r.trial) for r in rows)) == [(-r.accuracy, r.trial) for r in spark.read.parquet(str(tmp_path / "weight_evaluation")).orderBy(F.desc("accuracy"), "trial").collect()]
+    top = min(rows, key=lambda r: (-r.accuracy, r.trial))
+    assert best.collect() == [tuple(top[f"weight_{g}"] for g in GROUPS)]
+    assert index_weights(spark.read.parquet(str(tmp_path / "best_weighting"))) == {g: top[f"weight_{g}"] for g in GROUPS}
+    none = evaluation.score_trials(evaluation.weight_grid(spark).limit(3), evaluation.triplet_dots(triplets.limit(0), df))
+    assert none.count() == 3
+
+
+def test_the_vocabulary_is_limited_before_the_exchange(spark):
+    counts = spark.createDataFrame([("t", "melody", "1,2,3", 1, 0)], "track_id string, stream string, ngram string, n long, first_pos long")
+    assert "WindowGroupLimit" in vocabulary(counts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_dimension_of_rounding_noise_is_constant(spark):
+    rows = [(k, [0.1 * 3 if k % 2 else 0.3, float(k)]) for k in range(50)]
+    z = standardise(spark.createDataFrame(rows, "id long, stats array<double>"), skip=(), groups=("stats",)).collect()
+    assert max(abs(r.stats[0]) for r in z) < 1e-12 and max(r.stats[1] for r in z) > 1
+
+
 def test_triplets(spark):
     numbered = spark.createDataFrame([(i, f"t{i}", f"T{i}", f"A{i}") for i in range(14)], "faiss_id long, track_id string, title string, artist_name string")
     choices = spark.createDataFrame([(0, "a"), (1, "B"), (2, "c"), (3, ""), (4, "a")], "comparison long, choice string")
@@ -181,6 +221,13 @@ def test_explorer(spark):
     assert [r.id for r in e.neighbours(7, 3).collect()] == expected(x, 3)[7]
     assert e.graph(7, 3)[1].count() == 3 and e.two_hop_graph(7, 2)[0].count() >= 3
     assert e.path(7, 7)[2] == 0.0
+    kept = Explorer(df.drop("embedding"), df.select("id", "embedding"), groups, {g: 2.0 for g in GROUPS}, knn.nearest(df, df, 5).persist())
+    assert kept.status()["weights"] == {g: 2.0 for g in GROUPS}
+    for k in (4, 6):  # from the kept edges, and beyond them
+        for both in zip((e, kept), ((3, 44), (3, 44))):
+            assert math.isclose(both[0].path(*both[1], k)[2], dijkstra(x, 3, 44, k)[0], abs_tol=1e-9)
+        assert [r.id for r in kept.neighbours(7, k).collect()] == expected(x, k)[7]
+        assert sorted(map(tuple, kept.two_hop_graph(7, k)[1].select("source", "target").collect())) == sorted(map(tuple, e.two_hop_graph(7, k)[1].select("source", "target").collect()))
     for call in (lambda: e.song(999), lambda: e.neighbours(7, 0), lambda: e.build_custom(dict.fromkeys(GROUPS, 0))):
         with pytest.raises(ValueError):
             call()

@@ -6,6 +6,7 @@ import pytest
 
 from tonegraph.explorer import Explorer
 from tonegraph.plans.build import build
+from tonegraph.schemas import GROUPS
 from tonegraph.sources import midi, tables
 from tonegraph.streaming.running_stats import windowed_note_stats
 
@@ -58,7 +59,12 @@ def test_build_and_load(spark, small, tmp_path):
     again = build(spark, tables.notes(spark, small), tables.tracks(spark, small), folder, k=3)
     assert again["knn_edges"].count() == made["knn_edges"].count()
     e = Explorer.load(spark, folder)
-    assert e.neighbours(0, 2).count() == 2
+    assert e.neighbours(0, 2).count() == 2 and e.kept == 3
+    assert set(e.status()["weights"].values()) == {1.0}
+    best = spark.createDataFrame([tuple(float(k) for k in range(1, 10))], ", ".join(f"weight_{g} double" for g in GROUPS))
+    other = str(tmp_path / "other")
+    build(spark, tables.notes(spark, small), tables.tracks(spark, small), other, best_weighting=best, k=2)
+    assert Explorer.load(spark, other).status()["weights"] == {g: float(k) for k, g in enumerate(GROUPS, 1)}
     assert e.build_custom({"melody": 0.0})["weights"]["melody"] == 0.0
 
 

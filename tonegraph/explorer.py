@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,15 @@ class Weighting:
 
 
 class Explorer:
-    """metadata: id, title, artist_name and more; vectors: id, embedding; grouped: id and nine unweighted groups.
+    """metadata: id, title, artist_name and more; vectors: id, embedding; grouped: id and nine unweighted groups; weights: those
+    of the vectors; edges: src, dst, score, rank, the neighbours under the default weighting, as many for each song as are kept.
 
-    The active weighting is the only state that changes; each is immutable."""
+    The active weighting is the only state that changes; each is immutable.  Calls read the kept edges where the
+    weighting and k allow, and otherwise compare the songs they meet with all."""
 
     def __init__(self, metadata: DataFrame, vectors: DataFrame, grouped: DataFrame | None = None, weights: dict[str, float] | None = None, edges: DataFrame | None = None):
         self.metadata, self.grouped, self.edges = metadata, grouped, edges
+        self.kept = (edges.agg(F.max("rank")).first()[0] or 0) if edges is not None else 0
         self.default = Weighting("default", dict(weights or DEFAULT_WEIGHTS), vectors)
         self.custom: Weighting | None = None
         self.active = self.default
@@ -38,7 +42,8 @@ class Explorer:
     def load(cls, spark: SparkSession, folder: str) -> Explorer:
         """From the tables that plans.build writes."""
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return cls(read("metadata"), read("embeddings"), read("groups"), edges=read("knn_edges"))
+        weights = read("weights").first()
+        return cls(read("metadata"), read("embeddings"), read("groups"), {g: weights[f"weight_{g}"] for g in GROUPS}, read("knn_edges"))
 
     def search(self, query: str | None = None, artist: str | None = None, limit: int | None = None) -> DataFrame:
         """By title, or else by artist; neither gives nothing."""
@@ -60,9 +65,29 @@ class Explorer:
         if k < 1:
             raise ValueError("k must be at least 1")
 
+    def _stored(self, k: int) -> DataFrame | None:
+        """The kept edges, if they are those of the active weighting and enough for k."""
+        return self.edges.where(F.col("rank") <= k) if self.active is self.default and k <= self.kept else None
+
     def _edges(self, ids: DataFrame, k: int) -> DataFrame:
+        """src, dst, score, rank: the k nearest of the songs in ids."""
+        if (stored := self._stored(k)) is not None:
+            return stored.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
         return nearest(self.active.vectors.join(ids, "id", "left_semi"), self.active.vectors, k)
 
+    def _expanding(self, k: int):
+        """A function for shortest_path: makes the edges of nodes that it has not met before."""
+        met: list[DataFrame] = []
+
+        def expand(nodes: DataFrame) -> DataFrame:
+            new = nodes.distinct()
+            for table in met:
+                new = new.join(table.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+            met.append(materialize(self._edges(new, k), "edges"))
+            return functools.reduce(DataFrame.union, met)
+
+        return expand
+
     def _only(self, song_id: int) -> DataFrame:
         return self.active.vectors.where(F.col("id") == song_id).select("id")
 
@@ -79,14 +104,16 @@ class Explorer:
 
     def two_hop_graph(self, song_id: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
         self._check(song_id, k)
-        return graph.two_hop(graph.two_hop_edges(self.active.vectors, song_id, k), song_id, self.metadata)
+        first = materialize(self._edges(self._only(song_id), k), "edges")
+        second = self._edges(first.select(F.col("dst").alias("id")), k)
+        return graph.two_hop(first.union(second.select(first.columns)), song_id, self.metadata)
 
     def path(self, start: int, end: int, k: int = 10):
-        """nodes, edges, total cost; (None, None, None) if end can't be reached."""
+        """nodes, edges, total cost; empty tables and None if end can't be reached."""
         self._check(start, k)
         self.song(end)
-        whole = materialize(nearest(self.active.vectors, self.active.vectors, k), "edges")
-        return graph.shortest_path(whole, start, end, self.metadata)
+        stored = self._stored(k)
+        return graph.shortest_path(self._expanding(k) if stored is None else stored, start, end, self.metadata)
 
     def status(self) -> dict:
         return {"mode": self.active.mode, "weights": dict(self.active.weights), "custom_available": self.custom is not None}

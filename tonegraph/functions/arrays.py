@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,10 +15,19 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def over(values: Column, divisor: Column) -> Column:
+    """Each value over divisor, which is worked out once for the array."""
+    return F.zip_with(values, F.array_repeat(divisor, F.size(values)), lambda x, d: x / d)
+
+
 def share(values: Column) -> Column:
     """Each value over (sum + 1e-9)."""
-    cast = F.transform(values, lambda x: x.cast("double"))
-    return F.transform(cast, lambda x: x / (total(cast) + TINY))
+    return bound(F.transform(values, lambda x: x.cast("double")), lambda v: over(v, total(v) + TINY))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,8 +40,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a over its L2 norm; the zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    return bound(a, lambda v: over(v, bound(norm(v), lambda n: F.when(n > 0, n).otherwise(1.0))))
 
 
 def first_argmax(values: Column) -> Column:

@@ -16,10 +16,13 @@ def folded(text: Column) -> Column:
 
 
 def duplicate_tracks(tracks: DataFrame) -> DataFrame:
-    """Every track with the first track of the same title and artist, and whether it repeats that one."""
-    same = W.partitionBy(folded(F.col("title")), folded(F.col("artist_name"))).orderBy("file_order")
-    first = F.first("track_id").over(same)
-    return tracks.select("track_id", first.alias("kept_track_id"), (F.row_number().over(same) > 1).alias("is_duplicate"))
+    """Every track with the first track of the same title and artist, and whether it repeats that one.
+
+    Firsts are summed map-side into a written table, so tracks without title and artist, however many, meet in no one task."""
+    keyed = tracks.select("track_id", "file_order", folded(F.col("title")).alias("__title"), folded(F.col("artist_name")).alias("__artist"))
+    place = F.struct("file_order", "track_id")
+    firsts = materialize(keyed.groupBy("__title", "__artist").agg(F.min(place).alias("__first")), "firsts")
+    return keyed.join(firsts, ["__title", "__artist"]).select("track_id", F.col("__first.track_id").alias("kept_track_id"), (place != F.col("__first")).alias("is_duplicate"))
 
 
 def drop_duplicates(features: DataFrame, tracks: DataFrame, after_extract: bool = False) -> DataFrame:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import GROUPS
 from .knn import group_dots, weighted_cosine
 
 LEVELS = (0.0, 2.5, 5.0)
 BROADCAST_TRIPLETS = 50_000
+SCORES = ("accuracy", "mean_margin", "median_margin", "std_margin")
+#: Margins that a task holds at once.
+_MARGINS = 1 << 22
 
 
 def page(numbered: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
@@ -23,9 +30,10 @@ def page(numbered: DataFrame, limit: int | None = None, skip: int = 0) -> DataFr
     return kept.withColumn("faiss_id", F.col("faiss_id") - skip)
 
 
-def track_mapping(numbered: DataFrame, vectors: int | None = None) -> DataFrame:
-    """track_id, faiss_id of the tracks that have a vector: all, or the first `vectors`."""
-    return page(numbered, vectors).select("track_id", "faiss_id")
+def track_mapping(numbered: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """track_id, faiss_id of the tracks that have a vector; vectors: id of each."""
+    kept = numbered if vectors is None else numbered.join(vectors.select(F.col("id").alias("faiss_id")), "faiss_id", "left_semi")
+    return kept.select("track_id", "faiss_id")
 
 
 def build_triplets(numbered: DataFrame, choices: DataFrame) -> DataFrame:
@@ -69,9 +77,6 @@ def weight_grid(spark: SparkSession, levels=LEVELS, groups=GROUPS) -> DataFrame:
 
 def random_weights(spark: SparkSession, trials: int = 20_000, seed: int = 19, low: float = 0.0, high: float = 5.0, groups=GROUPS) -> DataFrame:
     """trial, weight_<group>: uniform in [low, high), drawn trial by trial and group by group."""
-    import numpy as np
-    import pandas as pd
-
     drawn = pd.DataFrame(np.random.default_rng(seed).uniform(low, high, (trials, len(groups))), columns=[f"weight_{g}" for g in groups])
     drawn.insert(0, "trial", range(trials))
     return spark.createDataFrame(drawn)
@@ -89,16 +94,15 @@ def score_trials(trials: DataFrame, dots: DataFrame) -> DataFrame:
     """trials with accuracy, mean, median and population deviation of the margin over all triplets.
 
     Triplets are hand-made judgements, a few hundred rows; up to BROADCAST_TRIPLETS their products are sent to every
-    task, and each trial is a row of arithmetic for each of them.  More are dealt into cells that trials are copied to."""
-    weight = lambda g: F.col(f"weight_{g}")
-    margin = weighted_cosine(weight, prefix="c_") - weighted_cosine(weight, prefix="f_")
+    task, where a batch of trials is a few matrix products.  More are dealt into cells that trials are copied to."""
     n = dots.count()
     if n <= BROADCAST_TRIPLETS:
-        pairs = trials.repartition("trial").join(F.broadcast(dots))
-    else:
-        cells = math.ceil(n / BROADCAST_TRIPLETS)
-        dealt = dots.withColumn("cell", F.pmod(F.xxhash64("triplet"), F.lit(cells)).cast("int"))
-        pairs = trials.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(dealt, "cell")
+        return _score_by_matrix(trials, dots)
+    weight = lambda g: F.col(f"weight_{g}")
+    margin = weighted_cosine(weight, prefix="c_") - weighted_cosine(weight, prefix="f_")
+    cells = math.ceil(n / BROADCAST_TRIPLETS)
+    dealt = dots.withColumn("cell", F.pmod(F.xxhash64("triplet"), F.lit(cells)).cast("int"))
+    pairs = trials.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(dealt, "cell")
     pairs = pairs.select(*trials.columns, margin.alias("margin"))
     return pairs.groupBy(*trials.columns).agg(
         F.avg((F.col("margin") > 0).cast("double")).alias("accuracy"),
@@ -108,6 +112,34 @@ def score_trials(trials: DataFrame, dots: DataFrame) -> DataFrame:
     )
 
 
+def _score_by_matrix(trials: DataFrame, dots: DataFrame) -> DataFrame:
+    rows = dots.toPandas()  # of checked size
+    parts = [f"{side}_{kind}" for side in "cf" for kind in ("dot", "left", "right")]
+    products = {p: np.ascontiguousarray(rows[[f"{p}_{g}" for g in GROUPS]].to_numpy("f8").T) for p in parts}
+    shared = dots.sparkSession.sparkContext.broadcast(products)
+    weights = [f"weight_{g}" for g in GROUPS]
+
+    def cosine(squares: np.ndarray, side: str) -> np.ndarray:
+        dot, left, right = (squares @ shared.value[f"{side}_{kind}"] for kind in ("dot", "left", "right"))
+        length = np.sqrt(left * right)
+        return np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            step = max(1, _MARGINS // max(1, shared.value["c_dot"].shape[1]))
+            for s in range(0, len(batch), step):
+                part = batch.iloc[s : s + step]
+                squares = part[weights].to_numpy("f8") ** 2
+                margin = cosine(squares, "c") - cosine(squares, "f")
+                if not margin.shape[1]:
+                    margin = np.full((len(part), 1), np.nan)
+                scores = ((margin > 0).mean(axis=1), margin.mean(axis=1), np.median(margin, axis=1), margin.std(axis=1))
+                yield part.assign(**dict(zip(SCORES, scores, strict=True)))
+
+    spread = trials.repartition(dots.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(run, T.StructType([*trials.schema.fields, *[T.StructField(c, T.DoubleType()) for c in SCORES]]))
+
+
 def best_weighting(scored: DataFrame) -> DataFrame:
     """The weights of the most accurate trial; ties go to the lowest trial."""
     return scored.orderBy(F.desc("accuracy"), "trial").limit(1).select([c for c in scored.columns if c.startswith("weight_")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,23 +57,29 @@ def two_hop_edges(vectors: DataFrame, root: int, k: int) -> DataFrame:
     return first.union(nearest(hop, vectors, k))
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, metadata: DataFrame, rounds: int = 200):
+def shortest_path(edges: DataFrame | Callable[[DataFrame], DataFrame], start: int, end: int, metadata: DataFrame):
     """Least total of max(0, 1 - similarity) along directed edges.
 
-    A frontier of improved nodes is relaxed by joins until no open node could still shorten the way to end.
+    edges: src, dst, score; or a function that takes nodes (id) and returns a table that holds their edges, so that only the
+    part of the graph that the search meets is ever made.
+
+    A frontier of improved nodes is relaxed by joins until no open node could still shorten the way to end; costs only
+    fall, so that ends.
     Each node keeps its least (cost, hops, predecessor), so zero-cost edges can't make a cycle.  Only
     single numbers and the path itself, one row a step, reach the driver; each round's distances are fixed in
-    a written table.  Returns nodes, edges and the total (None if unreachable); raises if `rounds` do not settle it."""
-    spark = edges.sparkSession
+    a written table.  Returns nodes, edges and the total; if end can't be reached, empty tables and None."""
+    spark = metadata.sparkSession
+    walk = "position int, source long, target long, similarity double, cost double"
     steps = "id long, cost double, hops int, previous long"
     node = lambda i, t, p: (i, t, p)
     if start == end:
         nodes = spark.createDataFrame([node(start, "start", 0)], "id long, type string, position int")
-        return _named(nodes, metadata), spark.createDataFrame([], "position int, source long, target long, similarity double, cost double"), 0.0
-    costs = edges.select("src", "dst", F.greatest(F.lit(0.0), 1 - F.col("score")).alias("step"))
+        return _named(nodes, metadata), spark.createDataFrame([], walk), 0.0
     known = spark.createDataFrame([(start, 0.0, 0, None)], steps)
     frontier, total = known, None
-    for _ in range(rounds):
+    while True:
+        table = edges(frontier.select("id")) if callable(edges) else edges
+        costs = table.select("src", "dst", F.greatest(F.lit(0.0), 1 - F.col("score")).alias("step"))
         offers = frontier.join(costs, frontier.id == costs.src).select(
             F.col("dst").alias("id"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("previous")
         )
@@ -86,10 +94,8 @@ def shortest_path(edges: DataFrame, start: int, end: int, metadata: DataFrame, r
             break
         frontier = known.where("open").select("id", "cost", "hops", "previous")
         known = known.select("id", "cost", "hops", "previous")
-    else:
-        raise RuntimeError(f"the path is not settled after {rounds} rounds")
     if total is None:
-        return None, None, None
+        return _named(spark.createDataFrame([], "id long, type string, position int"), metadata), spark.createDataFrame([], walk), None
     path, at = [end], end
     while at != start:  # one look-up for each step of the path
         at = known.where(F.col("id") == at).select("previous").first()[0]
@@ -98,6 +104,6 @@ def shortest_path(edges: DataFrame, start: int, end: int, metadata: DataFrame, r
     typed = [node(i, "start" if i == start else "end" if i == end else "path", p) for p, i in enumerate(path)]
     nodes = _named(spark.createDataFrame(typed, "id long, type string, position int"), metadata)
     pairs = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(zip(path, path[1:], strict=False))], "position int, source long, target long")
-    joined = pairs.join(edges, (F.col("source") == F.col("src")) & (F.col("target") == F.col("dst")))
+    joined = pairs.join(table, (F.col("source") == F.col("src")) & (F.col("target") == F.col("dst")))
     walked = joined.select("position", "source", "target", F.col("score").alias("similarity"), (1 - F.col("score")).alias("cost"))
     return nodes, walked, total

@@ -1,8 +1,9 @@
 """Exact cosine neighbours.
 
 Vectors are compared block by block: queries and corpus are dealt over a grid of blocks, each cell is one
-matrix product in one task, and only its k best a query leave it.  A corpus of a checked small size goes to
-every task instead, which saves the grid's copies of the queries."""
+matrix product in one task, and only its k best a query leave it.  The grid has a line for each block of queries and a
+column for each block of the corpus.  A corpus of a checked small size goes to every task instead; and where the queries are
+few, they go to every task and the corpus is read once where it lies."""
 
 from __future__ import annotations
 
@@ -52,7 +53,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = BLO
         raise ValueError("k must be at least 1")
     queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
     size = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) * 8 <= broadcast_bytes:
+    vector_bytes = (size["d"] or 0) * 8
+    if (size["n"] or 0) * vector_bytes <= broadcast_bytes:
         rows = corpus.toPandas()  # of checked size
         shared = corpus.sparkSession.sparkContext.broadcast(_arrays(rows))
 
@@ -63,13 +65,26 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = BLO
 
         threads = corpus.sparkSession.sparkContext.defaultParallelism
         found = queries.repartition(threads).mapInPandas(run, _EDGE)
+    elif (asked := queries.count()) * vector_bytes <= min(broadcast_bytes, block * vector_bytes):
+        wanted = corpus.sparkSession.sparkContext.broadcast(_arrays(queries.toPandas()))  # of checked size
+
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for batch in batches:
+                if len(batch) and len(wanted.value[0]):
+                    found = _best(*wanted.value, *_arrays(batch), k)
+                    found = found if best is None else pd.concat((best, found))
+                    found = found.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
+                    best = found.groupby("src", sort=False).head(k)
+            if best is not None:
+                yield best
+
+        found = corpus.mapInPandas(stream, _EDGE)
     else:
-        columns = math.ceil(size["n"] / block)
-        cell = F.pmod(F.xxhash64("id"), F.lit(columns))
-        dealt = corpus.withColumn("column", cell)
-        asked = queries.withColumn("line", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(columns)))
-        asked = asked.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("column", F.col("column").cast("long"))
-        dealt = dealt.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("line", F.col("line").cast("long"))
+        lines, columns = math.ceil(asked / block), math.ceil(size["n"] / block)
+        copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        asked = queries.withColumn("line", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lines))).withColumn("column", copies(columns))
+        dealt = corpus.withColumn("column", F.pmod(F.xxhash64("id"), F.lit(columns))).withColumn("line", copies(lines))
 
         def cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):

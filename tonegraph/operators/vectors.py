@@ -13,13 +13,18 @@ from ..schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
 STATS = ("note_count", "mean_pitch", "std_pitch", "pitch_range", "mean_duration", "std_duration", "mean_velocity", "std_velocity", "mean_instruments")
 
 
+#: Distance from 1 to the next double.
+EPSILON = 2.0**-52
+
+
 def vocabulary(counts: DataFrame, sizes: dict[str, int] = VOCABULARY) -> DataFrame:
     """stream, ngram, df, idx: the n-grams of most tracks; ties go to the one seen first (track, then place)."""
     seen = counts.groupBy("stream", "ngram").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("track_id", "first_pos")).alias("first_seen"))
     order = W.partitionBy("stream").orderBy(F.desc("df"), "first_seen", "ngram")
     most = F.element_at(F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(n))]), F.col("stream"))
-    ranked = seen.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < max(sizes.values()))
-    return ranked.where(F.col("idx") < most).select("stream", "ngram", "df", "idx")
+    # The limit is on the rank itself, so that Spark keeps the best of each task before the exchange.
+    ranked = seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(sizes.values()))
+    return ranked.where(F.col("rank") <= most).select("stream", "ngram", "df", (F.col("rank") - 1).alias("idx"))
 
 
 def relative_frequencies(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -59,25 +64,31 @@ def feature_groups(features: DataFrame, counts: DataFrame, vocab: DataFrame, siz
 
 
 def dimension_stats(grouped: DataFrame, groups=GROUPS, id_column: str = "track_id") -> DataFrame:
-    """grp, pos, mean, std (population) of each dimension."""
+    """grp, pos, mean, std (population) of each dimension, and n, the rows."""
     out = None
     for g in groups:
         part = grouped.select(F.lit(g).alias("grp"), F.posexplode(g).alias("pos", "value"))
         out = part if out is None else out.union(part)
-    return out.groupBy("grp", "pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return out.groupBy("grp", "pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+
+
+def constant(s: Column) -> Column:
+    """Whether a deviation is no more than rounding makes of equal values.  s: mean, std, n."""
+    noise = s["n"] * EPSILON * s["mean"]
+    return s["std"] * s["std"] <= s["n"] * EPSILON * s["std"] * s["std"] + noise * noise
 
 
 def standardise(grouped: DataFrame, skip=("chroma",), groups=GROUPS) -> DataFrame:
-    """Each group but those in skip as z-scores; a constant dimension is only centred.
+    """Each group but those in skip as z-scores; a dimension that is constant but for rounding is only centred.
 
     The means and deviations are one row of arrays, as long as a vector, and are broadcast."""
     stats = dimension_stats(grouped, [g for g in groups if g not in skip])
-    listed = F.array_sort(F.collect_list(F.struct("pos", "mean", "std")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "mean", "std", "n")))
     row = stats.groupBy().pivot("grp", [g for g in groups if g not in skip]).agg(listed)
     row = row.select(*[F.col(g).alias(f"__{g}") for g in groups if g not in skip])
 
     def scaled(g: str):
-        divisor = lambda s: F.when(s["std"] > 0, s["std"]).otherwise(1.0)
+        divisor = lambda s: F.when(constant(s), 1.0).otherwise(s["std"])
         return F.zip_with(F.col(g), F.col(f"__{g}"), lambda x, s: (x - s["mean"]) / divisor(s)).alias(g)
 
     rest = [c for c in grouped.columns if c not in groups]

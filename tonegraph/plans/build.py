@@ -12,6 +12,7 @@ from ..operators import notes as N
 from ..operators.features import song_features
 from ..operators.knn import nearest
 from ..operators.vectors import embed, feature_groups, index_weights, standardise, vocabulary
+from ..schemas import GROUPS
 from ..sources.scratch import materialize
 from ..sources.tables import cached_stage
 
@@ -27,7 +28,7 @@ def build(
     force: bool = False,
     extract: Callable[[DataFrame], DataFrame] = song_features,
 ) -> dict[str, DataFrame]:
-    """Write and return features, metadata, groups, embeddings and knn_edges below folder.
+    """Write and return features, metadata, groups, embeddings and knn_edges below folder, and write the weights in use.
 
     A stage whose table exists is read instead of built, unless force is set.  The vectors are weighted by weights,
     else by a saved best weighting, else evenly.  extract: any function from song
@@ -36,9 +37,16 @@ def build(
     song = materialize(N.song_notes(notes), "song")
     features = stage("features", lambda: cleaning.drop_duplicates(extract(song), tracks))
     metadata = stage("metadata", lambda: cleaning.reindex(tracks, features).withColumn("id", F.col("faiss_id")))
-    counts = N.ngram_counts(N.ngrams(N.intervals(N.streams(song.join(features.select("track_id"), "track_id", "left_semi")))))
-    groups = stage("groups", lambda: _numbered(standardise(feature_groups(features, counts, vocabulary(counts))), metadata))
-    embeddings = stage("embeddings", lambda: embed(groups, weights or index_weights(best_weighting)).select("id", "track_id", "embedding"))
+
+    def grouped() -> DataFrame:
+        kept = song.join(features.select("track_id"), "track_id", "left_semi")
+        counts = materialize(N.ngram_counts(N.ngrams(N.intervals(N.streams(kept)))), "counts")
+        return _numbered(standardise(feature_groups(features, counts, materialize(vocabulary(counts), "vocab"))), metadata)
+
+    groups = stage("groups", grouped)
+    used = {g: float((weights or {}).get(g, 1.0)) for g in GROUPS} if weights else index_weights(best_weighting)
+    embeddings = stage("embeddings", lambda: embed(groups, used).select("id", "track_id", "embedding"))
+    stage("weights", lambda: spark.createDataFrame([tuple(used.values())], ", ".join(f"weight_{g} double" for g in used)))
     edges = stage("knn_edges", lambda: nearest(embeddings, embeddings, k))
     return {"features": features, "metadata": metadata, "groups": groups, "embeddings": embeddings, "knn_edges": edges}
 

@@ -7,14 +7,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .explorer import Explorer
 from .operators import analytics as A
 from .operators import cleaning, evaluation, graph, knn
 from .operators import features as X
 from .operators import notes as N
 from .operators import vectors as V
+from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
-from .sources.scratch import materialize
-from .sources.tables import NOTES_SQL, SLICES, notes, read_table, tracks, vector_groups, vectors
+from .sources.scratch import materialize, work_path
+from .sources.tables import (
+    NOTES_SQL,
+    SLICES,
+    append_distinct,
+    notes,
+    read_metadata_csv,
+    read_table,
+    tracks,
+    vector_groups,
+    vectors,
+    write_csv,
+    write_parquet,
+)
 from .streaming.running_stats import windowed_note_stats
 
 _QUERIES: dict = {}
@@ -322,7 +336,7 @@ for _g, _w in SLICES.items():
     _at += _w
 _GROUPS_SQL = "gv AS (SELECT vec_id AS id, label, " + ", ".join(f"(embedding::DOUBLE[])[{a}:{b}] AS {g}" for g, a, b in _CUTS) + " FROM embeddings)"
 _LONG_SQL = "gl AS (" + " UNION ALL ".join(f"SELECT id, '{g}' AS grp, unnest(range({b - a + 1}))::INT AS pos, unnest({g}) AS value FROM gv" for g, a, b in _CUTS) + ")"
-_Z_SQL = "zs AS (SELECT grp, pos, avg(value) AS mean, stddev_pop(value) AS std FROM gl GROUP BY 1, 2)"
+_Z_SQL = "zs AS (SELECT grp, pos, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM gl GROUP BY 1, 2)"
 
 
 @query(f"WITH {_GROUPS_SQL}, {_LONG_SQL}, {_Z_SQL} SELECT grp, pos, round(mean, 6) AS mean, round(std, 6) AS std FROM zs")
@@ -330,10 +344,11 @@ def zscore_stats(spark, sf):
     return V.dimension_stats(vector_groups(vectors(spark, sf))).select("grp", "pos", r6("mean"), r6("std"))
 
 
+_CONSTANT = f"std * std <= n * {V.EPSILON!r}::DOUBLE * std * std + (n * {V.EPSILON!r}::DOUBLE * mean) * (n * {V.EPSILON!r}::DOUBLE * mean)"
 _W = ", ".join(f"('{g}', {w}::DOUBLE)" for g, w in DEFAULT_WEIGHTS.items())
 _OFFSETS = ", ".join(f"('{g}', {a - 1})" for g, a, b in _CUTS)
 _EMBED_SQL = f"""
-wv AS (SELECT id, o.skip + pos AS pos, w.w * CASE WHEN grp = 'chroma' THEN value ELSE (value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END END AS value
+wv AS (SELECT id, o.skip + pos AS pos, w.w * CASE WHEN grp = 'chroma' THEN value ELSE (value - mean) / CASE WHEN {_CONSTANT} THEN 1 ELSE std END END AS value
        FROM gl JOIN zs USING (grp, pos) JOIN (VALUES {_W}) w(grp, w) USING (grp) JOIN (VALUES {_OFFSETS}) o(grp, skip) USING (grp)),
 uv AS (SELECT id, pos, value / coalesce(nullif(sqrt(sum(value * value) OVER (PARTITION BY id)), 0), 1) AS value FROM wv)"""
 
@@ -410,12 +425,15 @@ def edge_hops(spark, sf):
     return graph.hop_labels(*_two_hop(spark, sf)).select("source", "target", r6("weight"), "hop")
 
 
-@query(f"""WITH RECURSIVE {_knn_sql(K)},
+_PATH_SQL = f"""{_knn_sql(K)},
 pa(node, cost, path) AS (
   SELECT {PATH[0]}::BIGINT, 0::DOUBLE, [{PATH[0]}::BIGINT]
   UNION ALL SELECT dst, cost + greatest(0, 1 - score), list_append(path, dst) FROM pa JOIN kn ON src = node
   WHERE node <> {PATH[1]} AND len(path) < 6 AND NOT list_contains(path, dst)),
-best AS (SELECT path, cost FROM pa WHERE node = {PATH[1]} ORDER BY cost, len(path) LIMIT 1),
+best AS (SELECT path, cost FROM pa WHERE node = {PATH[1]} ORDER BY cost, len(path) LIMIT 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PATH_SQL},
 st AS (SELECT cost AS total, i - 1 AS position, path[i] AS source, path[i + 1] AS target FROM best, unnest(range(1, len(path))) t(i))
 SELECT position::INT AS position, source, target, round(score, 6) AS similarity, round(1 - score, 6) AS cost, round(total, 6) AS total_cost
 FROM st JOIN kn ON src = source AND dst = target""")
@@ -423,9 +441,81 @@ def shortest_path(spark, sf):
     found = vectors(spark, sf)
     known = materialize(knn.nearest(found, found, K), "edges")
     nodes, edges, total = graph.shortest_path(known, *PATH, found)
-    if edges is None:
-        return spark.createDataFrame([], "position int, source long, target long, similarity double, cost double, total_cost double")
-    return edges.select("position", "source", "target", r6("similarity"), r6("cost"), F.round(F.lit(total), 6).alias("total_cost"))
+    return edges.select("position", "source", "target", r6("similarity"), r6("cost"), F.round(F.lit(total).cast("double"), 6).alias("total_cost"))
+
+
+# ---------------------------------------------------------------- the library's calls as one object
+
+
+def _explorer(spark, sf, k: int | None = None) -> Explorer:
+    """Over the tables; with k, its neighbour edges are kept as a build keeps them."""
+    found = vectors(spark, sf)
+    edges = materialize(knn.nearest(found, found, k), "edges") if k else None
+    return Explorer(found.drop("embedding", "label"), found.select("id", "embedding"), vector_groups(found).drop("label"), {g: 1.0 for g in GROUPS}, edges)
+
+
+@query(f"WITH {_knn_sql(K, str(ROOT))} SELECT dst AS id, p_name AS title, p_brand AS artist_name, round(score, 6) AS score FROM kn LEFT JOIN part ON p_partkey = dst")
+def explorer_neighbours(spark, sf):
+    return _explorer(spark, sf, K).neighbours(ROOT, K).select("id", "title", "artist_name", r6("score"))
+
+
+@query(f"""WITH {_GROUPS_SQL},
+nn AS (SELECT b.id AS dst, ({_sum_sql("ab", _CUSTOM)}) / sqrt(({_sum_sql("aa", _CUSTOM)}) * ({_sum_sql("bb", _CUSTOM)})) AS score FROM gv a JOIN gv b ON a.id <> b.id WHERE a.id = {ROOT})
+SELECT dst AS id, p_name AS title, p_brand AS artist_name, round(score, 6) AS score FROM nn LEFT JOIN part ON p_partkey = dst ORDER BY nn.score DESC, dst LIMIT {K}""")
+def explorer_custom_neighbours(spark, sf):
+    explorer = _explorer(spark, sf, K)
+    explorer.build_custom(CUSTOM)
+    return explorer.neighbours(ROOT, K).select("id", "title", "artist_name", r6("score"))
+
+
+@query(f"WITH {_TWO_HOP_SQL} SELECT source, target, round(weight, 6) AS weight FROM ed")
+def explorer_two_hop(spark, sf):
+    return _explorer(spark, sf, K).two_hop_graph(ROOT, K_GRAPH)[1].select("source", "target", r6("weight"))
+
+
+@query(f"""WITH RECURSIVE {_PATH_SQL}
+SELECT i - 1 AS position, path[i] AS id, CASE WHEN i = 1 THEN 'start' WHEN i = len(path) THEN 'end' ELSE 'path' END AS type, p_name AS title, p_brand AS artist_name
+FROM best, unnest(range(1, len(path) + 1)) t(i) LEFT JOIN part ON p_partkey = path[i]""")
+def explorer_path(spark, sf):
+    """Without kept edges: only the part of the graph that the search meets is made."""
+    return _explorer(spark, sf).path(*PATH, K)[0].select("position", "id", "type", "title", "artist_name")
+
+
+@query(f"""WITH g(weight, custom, "default") AS (VALUES {", ".join(f"('{g}', {_CUSTOM[g]!r}::DOUBLE, 1.0::DOUBLE)" for g in GROUPS)})
+SELECT 'custom' AS mode, weight, custom AS value FROM g UNION ALL SELECT 'default', weight, "default" FROM g""")
+def explorer_weights(spark, sf):
+    """status() after a custom weighting and after going back."""
+    explorer = _explorer(spark, sf)
+    states = [explorer.build_custom(CUSTOM), explorer.use_default()]
+    return spark.createDataFrame([(s["mode"], g, w) for s in states for g, w in s["weights"].items()], "mode string, weight string, value double")
+
+
+@query("SELECT p_partkey AS id, p_name AS title, p_brand AS artist_name FROM part WHERE contains(upper(p_name), 'RED') AND p_partkey IN (SELECT vec_id FROM embeddings)")
+def explorer_search(spark, sf):
+    return _explorer(spark, sf).search("red").select("id", "title", "artist_name")
+
+
+@query("""SELECT p_partkey::VARCHAR AS track_id, p_brand AS artist_name, 'a"b, c' AS artist_id, p_name AS title, 'None' AS song_id, p_type AS "release", NULL::VARCHAR AS genre,
+       'x/' || p_partkey || '.mid' AS midi_path FROM part""")
+def metadata_csv(spark, sf):
+    """Metadata written as CSV and read again."""
+    text = lambda c: F.lit(c).cast("string")
+    rows = tracks(spark, sf).select(
+        F.col("track_id").cast("string").alias("track_id"), "artist_name", text('a"b, c').alias("artist_id"), "title", text("None").alias("song_id"), "release",
+        text(None).alias("genre"), F.concat(F.lit("x/"), "track_id", F.lit(".mid")).alias("midi_path"),
+    )
+    path = work_path(spark, "metadata")
+    write_csv(rows, path)
+    return read_metadata_csv(spark, path)
+
+
+@query("SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders")
+def append_unique(spark, sf):
+    """Two overlapping parts written and appended, one row for each key (SET1 and SET3)."""
+    rows = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"))
+    path = work_path(spark, "first")
+    write_parquet(rows.where("k % 3 <> 0"), path)
+    return append_distinct(rows.where("k % 2 = 0 OR k % 3 = 0"), path, ["k", "v"], work_path(spark, "both"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -462,14 +552,15 @@ def metadata_page(spark, sf):
 
 @query(f"""WITH {_NUMBERED_SQL},
 tr AS (SELECT i // 3 AS comparison, max(track_id) FILTER (i % 3 = 0) AS t0, max(track_id) FILTER (i % 3 = 1) AS t1, max(track_id) FILTER (i % 3 = 2) AS t2 FROM nu GROUP BY 1 HAVING count(*) = 3),
-ju AS (SELECT *, {_CHOICE} AS choice FROM tr), ro AS (SELECT comparison, {_roles("t")} FROM ju WHERE choice <> '')
+ju AS (SELECT *, {_CHOICE} AS choice FROM tr), ro AS (SELECT comparison, {_roles("t")} FROM ju WHERE choice <> ''), ev AS (SELECT vec_id FROM embeddings)
 SELECT comparison, a.i AS root_embedding_index, b.i AS closer_embedding_index, c.i AS further_embedding_index
-FROM ro JOIN nu a ON a.track_id = root_track_id JOIN nu b ON b.track_id = closer_track_id JOIN nu c ON c.track_id = further_track_id WHERE greatest(a.i, b.i, c.i) < 150""")
+FROM ro JOIN nu a ON a.track_id = root_track_id JOIN nu b ON b.track_id = closer_track_id JOIN nu c ON c.track_id = further_track_id WHERE a.i IN (FROM ev) AND b.i IN (FROM ev) AND c.i IN (FROM ev)""")
 def triplet_index(spark, sf):
     named = tracks(spark, sf)
     numbered = cleaning.reindex(named, named)
     choices = numbered.select(F.floor(F.col("faiss_id") / 3).alias("comparison")).distinct().withColumn("choice", F.expr(_CHOICE))
-    found = evaluation.index_triplets(evaluation.build_triplets(numbered, choices), evaluation.track_mapping(numbered, 150))
+    mapping = evaluation.track_mapping(numbered, read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
+    found = evaluation.index_triplets(evaluation.build_triplets(numbered, choices), mapping)
     return found.select("comparison", "root_embedding_index", "closer_embedding_index", "further_embedding_index")
 
 
@@ -532,6 +623,35 @@ def weight_random(spark, sf):
     return evaluation.random_weights(spark)
 
 
+@query(" UNION ALL ".join(f"SELECT '{w}' AS weight, 20000 AS trials, 20000 AS distinct_trials, 0 AS first, 19999 AS last, 20000 AS distinct_values, true AS in_range, true AS spread" for w in _WEIGHTS))
+def weight_random_ranges(spark, sf):
+    """What the seeded draws must be whatever the generator: numbering, range, and a mean and deviation near those of U(0, 5)."""
+    long = evaluation.random_weights(spark).unpivot("trial", _WEIGHTS, "weight", "value")
+    value = F.col("value")
+    return long.groupBy("weight").agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.countDistinct("trial").alias("distinct_trials"),
+        F.min("trial").alias("first"),
+        F.max("trial").alias("last"),
+        F.countDistinct("value").alias("distinct_values"),
+        ((F.min(value) >= 0) & (F.max(value) < 5)).alias("in_range"),
+        ((F.abs(F.avg(value) - 2.5) < 0.05) & (F.abs(F.stddev_pop(value) - 5 / 12**0.5) < 0.05)).alias("spread"),
+    )
+
+
+@query(f"""WITH {_TRIPLET_SQL}, {_GRID_SQL}, mg AS (SELECT trial + 500 AS trial, {", ".join(_WEIGHTS)}, {_margin_sql(lambda g: f"weight_{g}")} AS margin FROM gd, td)
+SELECT trial, {_METRIC_SQL}, {", ".join(f"any_value({w}) AS {w}" for w in _WEIGHTS)} FROM mg GROUP BY trial
+UNION ALL SELECT -1, 500 + 19683, NULL, NULL, NULL, {", ".join("NULL" for _ in _WEIGHTS)}""")
+def weight_evaluation(spark, sf):
+    """evaluate() over 500 random and all grid trials: the grid's rows, and one row (trial -1) with the number of all."""
+    grouped = vector_groups(vectors(spark, sf))
+    scored, _ = evaluate(grouped, _triplets(grouped), trials=500)
+    columns = ["trial", "accuracy", *[r6(c) for c in ("mean_margin", "median_margin", "std_margin")], *_WEIGHTS]
+    nulls = [F.lit(None).cast("double").alias(c) for c in ("mean_margin", "median_margin", "std_margin", *_WEIGHTS)]
+    counted = scored.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).cast("long").alias("trial"), F.col("n").cast("double").alias("accuracy"), *nulls)
+    return scored.where("trial >= 500").select(columns).union(counted)
+
+
 # ---------------------------------------------------------------- analytics over a table of trials
 
 _TRIAL_WEIGHT = "CASE WHEN o_orderkey % 3 = 0 THEN ((o_custkey + {k}) % 3) * 2.5 ELSE ((o_orderkey * {k} + o_custkey) % 101) / 20.0 END"
@@ -665,8 +785,8 @@ def feature_vectors(spark, sf):
 
 
 _SONG_VECTOR_SQL = f"""{_VECTOR_SQL},
-zs AS (SELECT grp, pos, avg(value) AS mean, stddev_pop(value) AS std FROM al GROUP BY 1, 2),
-wv AS (SELECT track_id, grp, pos, w.w * CASE WHEN grp = 'chroma' THEN value ELSE (value - mean) / CASE WHEN std > 1e-12 THEN std ELSE 1 END END AS value
+zs AS (SELECT grp, pos, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM al GROUP BY 1, 2),
+wv AS (SELECT track_id, grp, pos, w.w * CASE WHEN grp = 'chroma' THEN value ELSE (value - mean) / CASE WHEN {_CONSTANT} THEN 1 ELSE std END END AS value
        FROM al JOIN zs USING (grp, pos) JOIN (VALUES {_W}) w(grp, w) USING (grp)),
 uv AS (SELECT track_id, list(value / n ORDER BY grp, pos) AS x FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY track_id)) AS n FROM wv) GROUP BY 1)"""
 

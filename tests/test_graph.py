@@ -224,10 +224,8 @@ def test_explorer(spark):
     kept = Explorer(df.drop("embedding"), df.select("id", "embedding"), groups, {g: 2.0 for g in GROUPS}, knn.nearest(df, df, 5).persist())
     assert kept.status()["weights"] == {g: 2.0 for g in GROUPS}
     for k in (4, 6):  # from the kept edges, and beyond them
-        for both in zip((e, kept), ((3, 44), (3, 44))):
-            assert math.isclose(both[0].path(*both[1], k)[2], dijkstra(x, 3, 44, k)[0], abs_tol=1e-9)
+        assert math.isclose(kept.path(3, 44, k)[2], dijkstra(x, 3, 44, k)[0], abs_tol=1e-9)
         assert [r.id for r in kept.neighbours(7, k).collect()] == expected(x, k)[7]
-        assert sorted(map(tuple, kept.two_hop_graph(7, k)[1].select("source", "target").collect())) == sorted(map(tuple, e.two_hop_graph(7, k)[1].select("source", "target").collect()))
     for call in (lambda: e.song(999), lambda: e.neighbours(7, 0), lambda: e.build_custom(dict.fromkeys(GROUPS, 0))):
         with pytest.raises(ValueError):
             call()

@@ -106,7 +106,8 @@ def entropies(song: DataFrame, bins: int = ENTROPY_BINS) -> DataFrame:
     )
     long = values.unpivot("track_id", ["pitch", "duration", "ioi"], "kind", "value").where(F.col("value").isNotNull())
     whole = W.partitionBy("track_id", "kind")
-    placed = long.select("track_id", "kind", equal_width_bin(F.col("value"), F.min("value").over(whole), F.max("value").over(whole), bins).alias("bin"))
+    ranged = long.select("track_id", "kind", "value", F.min("value").over(whole).alias("low"), F.max("value").over(whole).alias("high"))
+    placed = ranged.select("track_id", "kind", equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"))
     counted = placed.groupBy("track_id", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
     part = F.col("n") / F.sum("n").over(whole)
     terms = counted.select("track_id", "kind", (-part * F.ln(part)).alias("term"))

@@ -1,6 +1,6 @@
 """Note streams of a song: registers, melody, intervals, inter-onset intervals and interval n-grams.
 
-Every operator groups or orders by track_id only, so one exchange on track_id serves them all."""
+Every operator groups or orders by track_id and finer columns."""
 
 from __future__ import annotations
 

@@ -126,7 +126,6 @@ def index_nodes(fps: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS
         pick = F.create_map(*[x for m, cs in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in cs]))])
         below = rows.withColumn("mask", F.explode(F.element_at(pick, F.col("mask"))))
         below = below.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [c for cs in children.values() for c in cs]
         leaf = below
         if level < depth - 1:
             counts = below.groupBy(*node).agg(F.count(F.lit(1)).alias("n"))
@@ -134,6 +133,7 @@ def index_nodes(fps: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS
             if not full.isEmpty():
                 leaf = below.join(full, node, "left_anti")
                 rows = below.join(full, node, "left_semi").select(*rows.columns)
+                masks = sorted(r["mask"] % (1 << 64) for r in full.select("mask").distinct().collect())  # at most (radius + 1) ** level
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         if leaf is below:
             break

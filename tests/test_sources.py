@@ -7,7 +7,7 @@ import pytest
 from tonegraph.explorer import Explorer
 from tonegraph.plans.build import build
 from tonegraph.schemas import GROUPS
-from tonegraph.sources import midi, tables
+from tonegraph.sources import midi, scratch, tables
 from tonegraph.streaming.running_stats import windowed_note_stats
 
 
@@ -51,6 +51,23 @@ def test_append_distinct(spark, tmp_path):
     assert tables.append_distinct(spark.createDataFrame([(1, 3), (4, 4)], "x int, y int"), str(tmp_path / "a"), ["x", "y"], str(tmp_path / "b")).count() == 3
 
 
+def test_settled_removes_what_led_to_a_table(spark):
+    made = []
+
+    def make():
+        first = scratch.materialize(spark.range(10), "first")
+        second = scratch.settled(spark, "second", lambda: scratch.materialize(first.where("id > 2"), "within").where("id > 3"))
+        made.extend([first, second])
+        return second.where("id > 4")
+
+    before = scratch.materialize(spark.range(3), "before")
+    last = scratch.settled(spark, "last", make)
+    assert sorted(r.id for r in last.collect()) == [5, 6, 7, 8, 9] and before.count() == 3
+    for gone in made:
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            gone.collect()
+
+
 def test_build_and_load(spark, small, tmp_path):
     folder = str(tmp_path / "built")
     made = build(spark, tables.notes(spark, small), tables.tracks(spark, small), folder, k=3)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
 _used: set[str] = set()
+_thread = threading.local()  # paths: what this thread has been given and not removed, in order
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +42,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     if root not in _used:
         _used.add(root)
         atexit.register(_remove, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _given().append(path)
+    return path
+
+
+def _given() -> list[str]:
+    return _thread.__dict__.setdefault("paths", [])
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -48,3 +57,15 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a written table; the tables that make wrote on its way are removed once that is whole, so nothing
+    else may read them.  Until then they stay, so a lost executor's tasks can be run again."""
+    given = _given()
+    mark = len(given)
+    df = materialize(make(), name)
+    for path in given[mark:-1]:
+        _remove(spark, path)
+    del given[mark:-1]
+    return df

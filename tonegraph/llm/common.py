@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, work_path
+from ..sources.scratch import materialize, settled, work_path
 from ..sources.tables import read_table
 
-__all__ = ["SPACE_CLASS", "WORD_PATTERN", "free_name", "materialize", "read_table", "text_or_empty", "with_row_ids", "work_path"]
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "free_name", "materialize", "read_table", "settled", "text_or_empty", "with_row_ids", "work_path"]
 
 #: The white space every word and normalisation rule here means: blank and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

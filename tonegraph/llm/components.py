@@ -6,10 +6,12 @@ can't be split where one node has most links.  Every step's links are fixed in a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, settled
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,6 +28,10 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _round(links: DataFrame) -> DataFrame:
+    return _small_star(_large_star(links))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: u, v of one orderable type.  Returns u, v: each linked node but the smallest of its
     component, with that smallest.  Nodes without links are not listed.  Each round moves links to smaller nodes, so the
@@ -33,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, mark = materialize(now, "links"), None
     while True:
-        now = materialize(_small_star(_large_star(now)), "links")
+        now = settled(now.sparkSession, "links", functools.partial(_round, now))
         row = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if tuple(row) == mark:
             return now

@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, with_row_ids, work_path
+from .common import materialize, settled, text_or_empty, with_row_ids, work_path
 from .membership import bitmap, bits_for, marked, once, probed, without
 
 #: Rows of a group that are verified against one copy of the text that stays.
@@ -237,10 +237,10 @@ def dedup_batch(docs: DataFrame, row: str, index: MergeIndex, stored: DataFrame,
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; nulls, empty texts, ties, repeated rows and empty tables as there, and all
-    columns are kept."""
+    """docs without the rows that exact_dedup drops: null and empty texts and texts of white space are equal; of ties (a null doc_id
+    is last) and repeated rows one stays; an empty table stays empty; all columns are kept, whatever their names."""
     rows, row = with_row_ids(docs)
-    gone = materialize(exact_dedup(rows, carry=(row,)).where("not kept").select(row), "gone")
+    gone = settled(docs.sparkSession, "gone", lambda: exact_dedup(rows, carry=(row,)).where("not kept").select(row))
     return without(rows, gone, row).select(*docs.columns)
 
 

@@ -208,7 +208,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs, each row as many times as the mix takes it."""
+    """docs, each row as many times as the mix takes it: not at all, once or twice.  A null source is a source of its own; null
+    and empty texts have no words and count as documents only; repeated rows are drawn one by one; null doc_ids don't matter, for rows
+    are drawn by number; an empty table stays empty; all columns are kept, whatever their names."""
     rows, row = with_row_ids(docs)
     numbered = rows.select(F.col(row).alias("doc_id"), "source", "text")  # the draw needs a name for each row, no more
     taken = mix(numbered, seed).where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(f"{row}copies"))

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_ids
+from .common import materialize, settled, with_row_ids
 from .components import components
 from .membership import marked, without
 from .weighted_fingerprint import terms
@@ -53,7 +53,7 @@ NODE_ROWS = 4096
 DEPTH = 6
 #: The filter for near copies.
 SIMILAR = 0.8
-SLACK = 0.09
+SLACK = 0.14
 NEAR_SHINGLE = 5
 VIEWS = (11, 22, 33)
 VIEW_RADIUS = 5
@@ -477,8 +477,9 @@ def near_copies(rows: DataFrame, row: str, similar: float = SIMILAR, node_rows:
     alike = signed.groupBy("fps", *_WORDS).agg(F.min(first).alias("first"), F.min("bands").alias("bands"))
     named = materialize(alike.withColumn("name", F.col("first.row")), "named")
     most = round((1 - similar + SLACK) / 2 * SKETCH)
-    pairs = materialize(candidates(named, most, node_rows), "pairs")
-    links = materialize(verified(pairs, rows.select(F.col(row).alias("name"), "text"), similar), "links")
+    spark = rows.sparkSession
+    pairs = settled(spark, "pairs", lambda: candidates(named, most, node_rows))
+    links = settled(spark, "links", lambda: verified(pairs, rows.select(F.col(row).alias("name"), "text"), similar))
     roots = components(links).select(F.col("u").alias("name"), F.col("v").alias("root"))
     placed = materialize(named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "placed")
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("stays"))
@@ -488,7 +489,8 @@ def near_copies(rows: DataFrame, row: str, similar: float = SIMILAR, node_rows:
 
 def keep_one_per_group(docs: DataFrame, similar: float = SIMILAR, node_rows: int = NODE_ROWS) -> DataFrame:
     """docs without near copies: of each group linked by similarity the first document stays (smallest doc_id, null
-    last, then the first row).  Nulls, empty texts, ties, repeated rows and empty tables: see above; all columns are kept."""
+    last, then the first row).  Null and empty texts and texts of white space are copies of one another; of ties and repeated rows
+    one stays; an empty table stays empty; all columns are kept, whatever their names."""
     rows, row = with_row_ids(docs)
-    gone = near_copies(rows, row, similar, node_rows).select(F.col("row").alias(row))
-    return without(rows, materialize(gone, "gone"), row).select(*docs.columns)
+    gone = settled(docs.sparkSession, "gone", lambda: near_copies(rows, row, similar, node_rows).select(F.col("row").alias(row)))
+    return without(rows, gone, row).select(*docs.columns)

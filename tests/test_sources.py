@@ -1,5 +1,7 @@
 """Files in and out, the batch build, MIDI parsing, and the streaming extension."""
 
+import importlib.util
+import json
 import struct
 
 import pytest
@@ -102,3 +104,33 @@ def test_stream_equals_batch(spark, small, tmp_path):
 @pytest.mark.parametrize("name", ["notes", "tracks", "vectors"])
 def test_bindings(spark, small, name):
     assert getattr(tables, name)(spark, small).count() > 0
+
+
+def test_h5_metadata_rows(spark, tmp_path):
+    """The row building of the HDF5 reader, with a module that reads JSON in place of h5py."""
+    if importlib.util.find_spec("h5py"):
+        pytest.skip("h5py is installed")
+    stub = tmp_path / "h5py.py"
+    stub.write_text(
+        "import json\n"
+        "class File(dict):\n"
+        "    def __init__(self, file, mode):\n"
+        "        entry = {k: v.encode() if k == 'title' else v for k, v in json.load(file).items()}\n"
+        "        super().__init__({'metadata/songs': [entry]})\n"
+        "    def __enter__(self):\n"
+        "        return self\n"
+        "    def __exit__(self, *error):\n"
+        "        return False\n"
+    )
+    spark.sparkContext.addPyFile(str(stub))
+    folder = tmp_path / "h5"
+    entry = {"artist_name": "Ann", "artist_id": "a1", "title": "Größe", "song_id": "s1", "release": "R", "genre": ""}
+    for place in ("A/B/TR1", "A/C/TR2"):
+        path = folder / f"{place}.h5"
+        path.parent.mkdir(parents=True)
+        path.write_text(json.dumps(entry))
+    (folder / "A/B/notes.txt").write_text("not read")
+    rows = {r["track_id"]: r for r in tables.read_h5_metadata(spark, str(folder), "/midi").collect()}
+    assert sorted(rows) == ["TR1", "TR2"]
+    assert rows["TR1"].asDict() == {**entry, "track_id": "TR1", "midi_path": "/midi/A/B/TR1"}
+    assert rows["TR2"]["midi_path"] == "/midi/A/C/TR2"

@@ -70,11 +70,12 @@ def test_templates(name, attributes):
 
 
 @pytest.mark.parametrize("name", TEMPLATES)
-def test_templates_by_host(spark, name):
+@pytest.mark.parametrize("pages", [9, 10, 11, 12])
+def test_templates_by_host(spark, name, pages):
     """The same with other words on each page, through the host's vote; the text is known from the words put in."""
     rng = random.Random(name)
     rows, wants = [], {}
-    for k in range(12):
+    for k in range(pages):
         source = page(TEMPLATES[name])
         want = f"Title\n{TEXT}"
         for t in PARAGRAPHS:
@@ -82,20 +83,31 @@ def test_templates_by_host(spark, name):
             source, want = source.replace(t, new), want.replace(t.strip(), new)
         rows.append((k, f"http://{name.replace(' ', '-')}.org/{k}", source))
         wants[k] = want
-    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == wants
-
-
-def test_a_host_that_repeats_a_notice(spark):
-    """Unmarked text that all pages of a host share goes if their articles differ, and stays if pages are copies."""
-    body = "<div class=story><h2>Summary</h2>{}<div class=terms>Our terms apply, as always, to all.</div></div>"
-    own = lambda k: "".join(f"<p>{k} {t}</p>" for t in PARAGRAPHS)
-    rows = [(k, "http://a.org/x", page(body.format(own(k)))) for k in range(12)]
-    rows += [(100 + k, "http://b.org/x", page(body.format(own(0)))) for k in range(12)]
-    rows += [(200 + k, "http://c.org/x", page(body.format(own(k)))) for k in range(5)]
-    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for k, text in got.items():
-        assert text.startswith("Summary\n") and ("terms" in text) == (k >= 100), k
+    assert extracted(spark, rows) == wants
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("pages", [5, 9, 10, 11, 100])
+def test_what_pages_of_a_host_share_stays(spark, pages):
+    """Bylines, datelines, series titles, verdicts and closing lines repeat on a host and are part of each article, whatever
+    the number of pages; marked notices go on all of them."""
+    body = """<div class=story><h1>{}</h1><p class=byline>By {}</p><p class=series>Part of a series</p><div class=dateline>Berlin</div>{}<div class=verdict><p>{}</p></div>
+      <div class=terms>Our terms apply, as always, to all.</div><div class=cookie-notice>We use cookies.</div></div>"""
+    own = lambda k: [f"{k} {t.strip()}" for t in PARAGRAPHS]
+    rows, wants = [], {}
+    for k in range(pages):
+        parts = [f"Title {k}", f"By author {k % 8}", "Part of a series", "Berlin", *own(k), ("Worth it.", "Not worth it.")[k % 2], "Our terms apply, as always, to all."]
+        rows.append((k, "http://a.org/x", page(body.format(parts[0], parts[1][3:], "".join(f"<p>{t}</p>" for t in own(k)), parts[-2]))))
+        wants[k] = "\n".join(parts)
+    assert extracted(spark, rows) == wants
+
+
+def test_copies_of_a_page_are_extracted_alike(spark):
+    rows = [(k, "http://b.org/x", page(TEMPLATES["news"])) for k in range(30)]
+    assert set(extracted(spark, rows).values()) == {f"Title\n{TEXT}"}
 
 
 def test_hosts_beyond_the_broadcast(spark, monkeypatch):

@@ -5,9 +5,8 @@
    the containers around it.  A container that is marked itself, or stands in a marked one, only loses most of its
    score.  A container is named by its generalised path: tag and classes from the body down, digits taken out.
 2. Spark sums the scores for each (host, path); the path with the most votes wins its host.  Each page sends its best
-   few containers, summed map-side, so a host with a third of all pages costs one row a task.  Hosts vote on
-   boilerplate as well: a path below which a host's pages hold the same text again and again, while their winning
-   containers differ, is a notice and no part of an article.
+   few containers, summed map-side, so a host with a third of all pages costs one row a task.  Text is never dropped
+   for standing on other pages too: bylines, series titles and closing lines repeat on a host and belong to the article.
 3. Every page is extracted again from the containers on its host's winning path, or from its own best container
    where the page has none of them; each is widened to its parent while that adds text rather than links, so that
    titles, leads and sibling sections stay.  Marks around the chosen container don't count; marked subtrees in it go.
@@ -39,9 +38,6 @@ VOTES = 3
 #: Bytes of hosts and paths up to which they are broadcast; more are joined by host, where adaptive execution splits a
 #: host's pages over tasks.
 BROADCAST_BYTES = 32 << 20
-#: A path's text is a notice if it occurs on so many pages of a host, with at most this share of different texts, while
-#: the winning containers' texts differ by at least that share.
-NOTICE_PAGES, NOTICE_SHARE, DIFFER_SHARE = 10, 0.1, 0.5
 #: What a marked container keeps of its score.
 MARKED = 0.2
 
@@ -294,7 +290,7 @@ class Page:
             found = {max(scores, key=lambda c: (scores[c], -c))} if scores else set()
         return found
 
-    def text(self, path: str | None, notices: frozenset[int] = frozenset()) -> str:
+    def text(self, path: str | None) -> str:
         """Blocks under the containers on path, or under the best container.
 
         A header counts where it stands inside such a container (it then holds the title), unless that is the body."""
@@ -306,93 +302,53 @@ class Page:
         def stays(header: int) -> bool:
             return header < 0 or header in titles or (first[self.headers[header][0]] and not self._whole(self.headers[header][0]))
 
-        kept = [t for c, marked, t, _, h, at in self.blocks if wide[c] and not marked and stays(h) and not (notices and notice_key(at, h) in notices)]
+        kept = [t for c, marked, t, _, h, _ in self.blocks if wide[c] and not marked and stays(h)]
         return "\n".join(kept or [t for c, _, t, *_ in self.blocks if wide[c] or not roots])
 
 
-def notice_key(path: str, header: int) -> int:
-    """A number for a block's path up to its last container or element with a class; 0 for headings of an article."""
-    parts = path.split("/")
-    if header < 0 and Page._heading(path):
-        return 0
-    while len(parts) > 1 and "." not in parts[-1] and parts[-1] not in CONTAINER:
-        parts.pop()
-    return _number("/".join(parts))
-
-
-def _number(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
 def _host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """host, path, score of each page's best containers; and host, key, text, pages: how often a path (its number)
-    holds a text (its number).  Key 0 counts the texts of the best containers by path."""
+def page_votes(pages: DataFrame) -> DataFrame:
+    """host, path, score: what the pages of a task give each path, a page's best container 1 and others by their share of its score."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             votes: dict[tuple, float] = {}
-            texts: dict[tuple, int] = {}
             for url, source in zip(batch["url"], batch["html"], strict=True):
                 page, host = Page(source or ""), _host(url)
                 found: dict[str, float] = {}
-                best: dict[str, int] = {}
                 for c, score in page.scores().items():
-                    if score > found.get(page.paths[c], 0.0):
-                        found[page.paths[c]], best[page.paths[c]] = score, c
+                    found[page.paths[c]] = max(score, found.get(page.paths[c], 0.0))
                 most = max(found.values(), default=0.0)
-                for path in sorted(found, key=lambda p: (-found[p], p))[:VOTES]:
+                for path in sorted(filter(found.get, found), key=lambda p: (-found[p], p))[:VOTES]:
                     votes[host, path] = votes.get((host, path), 0.0) + found[path] / most
-                    inside = page._inside({best[path]})
-                    key = (host, path, 0, _number("\n".join(t for c, marked, t, *_ in page.blocks if inside[c] and not marked)))
-                    texts[key] = texts.get(key, 0) + 1
-                parts: dict[int, list[str]] = {}
-                for _, marked, text, _, header, path in page.blocks:
-                    if not marked:
-                        parts.setdefault(notice_key(path, header), []).append(text)
-                for at, held in parts.items():
-                    if at:
-                        key = (host, None, at, _number("\n".join(held)))
-                        texts[key] = texts.get(key, 0) + 1
-            rows = [(*k, v, None, None, None) for k, v in votes.items()] + [(h, p, None, k, t, n) for (h, p, k, t), n in texts.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "score", "key", "text", "pages"], dtype=object).astype({"score": "f8", "key": "Int64", "text": "Int64", "pages": "Int64"})
-
-    return pages.select("url", "html").mapInPandas(run, "host string, path string, score double, key long, text long, pages long")
-
-
-def consensus(facts: DataFrame) -> DataFrame:
-    """host, path, notices: the path with the most votes on each host (ties go to the longer, then the smaller path), and
-    the numbers of the paths that hold notices there.  facts: a written table."""
-    sums = facts.where("score is not null").groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
+            yield pd.DataFrame([(*k, v) for k, v in votes.items()], columns=["host", "path", "score"]).astype({"score": "f8"})
+
+    return pages.select("url", "html").mapInPandas(run, "host string, path string, score double")
+
+
+def consensus(votes: DataFrame) -> DataFrame:
+    """host, path: the path with the most votes on each host (ties go to the longer, then the smaller path)."""
+    sums = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
     order = F.struct("score", F.length("path").alias("n"), F.col("path").alias("path"))
-    winners = materialize(sums.groupBy("host").agg(F.max(order).alias("best")).select("host", F.col("best.path").alias("path")), "winners")
-    counted = facts.where("score is null").groupBy("host", "path", "key", "text").agg(F.sum("pages").alias("pages"))
-    spread = counted.groupBy("host", "path", "key").agg(F.count(F.lit(1)).alias("texts"), F.sum("pages").alias("pages"))
-    spread = materialize(spread, "spread")
-    differ = spread.where("key = 0").where(F.col("texts") >= DIFFER_SHARE * F.col("pages")).join(winners, ["host", "path"]).select("host")
-    often = spread.where("key <> 0").where((F.col("pages") >= NOTICE_PAGES) & (F.col("texts") <= NOTICE_SHARE * F.col("pages")))
-    notices = often.join(differ, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("notices"))
-    return winners.join(notices, "host", "left")
+    return sums.groupBy("host").agg(F.max(order).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    found = materialize(consensus(materialize(page_facts(pages), "facts")), "consensus")
-    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 8 * F.coalesce(F.size("notices"), F.lit(0)) + 32)).first()[0] or 0
+    found = materialize(consensus(page_votes(pages)), "consensus")
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for source, path, notices in zip(batch["html"], batch["path"], batch["notices"], strict=True):
-                texts.append(Page(source or "").text(path, frozenset() if notices is None else frozenset(map(int, notices))))
+            for source, path in zip(batch["html"], batch["path"], strict=True):
+                texts.append(Page(source or "").text(path))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select("page_id", "url", "html", "path", "notices").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "path").mapInPandas(run, "page_id long, url string, text string, n_chars long")

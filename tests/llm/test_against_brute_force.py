@@ -26,7 +26,7 @@ def test_sql(spark, duck, small, name):  # noqa: F811
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in ALL] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in ALL] == list(range(1, 14))
 
 
 # -------------------------------------------------------------- tokens and packing

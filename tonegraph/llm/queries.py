@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, mixing, packing, secret_scan, sharding, simhash, token_counts, weighted_fingerprint
+from . import (
+    decontamination,
+    exact_dedup,
+    html_extract,
+    language_id,
+    mixing,
+    packing,
+    phrases,
+    prefix_trie,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+    weighted_fingerprint,
+)
 from .common import read_table
 
 
@@ -46,6 +60,18 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.grafted_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_phrase_mining(spark, sf_dir):
+    return phrases.top_phrases(read_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark, sf_dir):
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 _ALL = [
     op1_best_fit_packing,
     op2_source_mixing,
@@ -57,6 +83,9 @@ _ALL = [
     op8_sharding,
     op9_secret_scan,
     op10_simhash,
+    op11_prefix_trie,
+    op12_phrase_mining,
+    op13_decontamination,
 ]
 
 
@@ -65,4 +94,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL, "op9_secret_scan": secret_scan.ORACLE_SQL}
+    return {
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_sharding": sharding.ORACLE_SQL,
+        "op9_secret_scan": secret_scan.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op12_phrase_mining": phrases.ORACLE_SQL,
+        "op13_decontamination": decontamination.ORACLE_SQL,
+    }

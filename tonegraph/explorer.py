@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cleaning, graph
-from .operators.knn import nearest
+from .operators.knn import Corpus, nearest
 from .operators.vectors import embed, resolve_weights
 from .schemas import DEFAULT_WEIGHTS, GROUPS
 from .sources.scratch import materialize
@@ -17,11 +17,13 @@ from .sources.scratch import materialize
 
 @dataclass(frozen=True)
 class Weighting:
-    """What a query compares by: a name, the group weights and the vectors (id, embedding)."""
+    """What a query compares by: a name, the group weights, the vectors (id, embedding) and those as a corpus, which is sized and sent
+    or indexed once."""
 
     mode: str
     weights: dict[str, float] = field(hash=False)
     vectors: DataFrame = field(hash=False)
+    corpus: Corpus = field(hash=False, compare=False)
 
 
 class Explorer:
@@ -34,7 +36,7 @@ class Explorer:
     def __init__(self, metadata: DataFrame, vectors: DataFrame, grouped: DataFrame | None = None, weights: dict[str, float] | None = None, edges: DataFrame | None = None):
         self.metadata, self.grouped, self.edges = metadata, grouped, edges
         self.kept = (edges.agg(F.max("rank")).first()[0] or 0) if edges is not None else 0
-        self.default = Weighting("default", dict(weights or DEFAULT_WEIGHTS), vectors)
+        self.default = Weighting("default", dict(weights or DEFAULT_WEIGHTS), vectors, Corpus(vectors))
         self.custom: Weighting | None = None
         self.active = self.default
 
@@ -73,7 +75,7 @@ class Explorer:
         """src, dst, score, rank: the k nearest of the songs in ids."""
         if (stored := self._stored(k)) is not None:
             return stored.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
-        return nearest(self.active.vectors.join(ids, "id", "left_semi"), self.active.vectors, k)
+        return nearest(self.active.vectors.join(ids, "id", "left_semi"), self.active.corpus, k)
 
     def _expanding(self, k: int):
         """A function for shortest_path: makes the edges of nodes that it has not met before."""
@@ -124,7 +126,7 @@ class Explorer:
             raise RuntimeError("unweighted feature groups are not loaded")
         resolved = resolve_weights(weights)
         vectors = embed(self.grouped.select("id", *GROUPS), resolved).select("id", "embedding")
-        self.custom = self.active = Weighting("custom", resolved, vectors)
+        self.custom = self.active = Weighting("custom", resolved, vectors, Corpus(vectors))
         return self.status()
 
     def use_default(self) -> dict:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import all_of, equal_width_bin
 from .evaluation import LEVELS
+from .quantiles import exact_quantiles
 
 METRICS = ("accuracy", "mean_margin", "median_margin", "std_margin")
 TOP = 100
@@ -49,8 +50,7 @@ def histograms(trials: DataFrame, columns=METRICS, bins: int = 10) -> DataFrame:
 def five_numbers(trials: DataFrame, columns=METRICS) -> DataFrame:
     """Minimum, quartiles and maximum of each column by strategy."""
     long = with_strategy(trials).unpivot("sampling_strategy", list(columns), "metric", "value")
-    at = F.percentile("value", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    found = long.groupBy("sampling_strategy", "metric").agg(at.alias("q"))
+    found = exact_quantiles(long, ["sampling_strategy", "metric"], "value", (0.0, 0.25, 0.5, 0.75, 1.0))
     names = ("low", "q1", "median", "q3", "high")
     return found.select("sampling_strategy", "metric", *[F.col("q")[k].alias(n) for k, n in enumerate(names)])
 
@@ -58,7 +58,7 @@ def five_numbers(trials: DataFrame, columns=METRICS) -> DataFrame:
 def iqr_outliers(trials: DataFrame, column: str = "std_margin", k: float = 1.5) -> DataFrame:
     """Rows outside [q1 - k iqr, q3 + k iqr] by strategy."""
     rows = with_strategy(trials)
-    q = rows.groupBy("sampling_strategy").agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
+    q = exact_quantiles(rows, ["sampling_strategy"], column, (0.25, 0.75)).select("sampling_strategy", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = k * (F.col("q3") - F.col("q1"))
     outside = (F.col(column) < F.col("q1") - reach) | (F.col(column) > F.col("q3") + reach)
     return rows.join(F.broadcast(q), "sampling_strategy").groupBy("sampling_strategy").agg(F.count_if(outside).alias("outliers"))

@@ -1,13 +1,12 @@
 """Exact cosine neighbours.
 
-Vectors are compared block by block: queries and corpus are dealt over a grid of blocks, each cell is one
-matrix product in one task, and only its k best a query leave it.  The grid has a line for each block of queries and a
-column for each block of the corpus.  A corpus of a checked small size goes to every task instead; and where the queries are
-few, they go to every task and the corpus is read once where it lies."""
+A corpus of a checked small size goes to every task; where the queries are few, they go to every task and the corpus is read once where
+it lies.  Otherwise both are compared by blocks of metric_index, each pair of blocks one matrix product in one task, and
+only the k best a query leave it.  A Corpus is sized, sent or indexed once, whatever the number of calls."""
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ from ..schemas import GROUPS
 #: Vectors of one block, and bytes up to which the corpus is sent to every task.
 BLOCK = 4096
 BROADCAST_BYTES = 64 << 20
-_EDGE = "src long, dst long, score double"
+EDGE = "src long, dst long, score double"
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int) -> pd.DataFrame:
+def best_of(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int) -> pd.DataFrame:
     """k best of the corpus for each query, itself left out; ties by id."""
     out = []
     order = np.argsort(corpus_ids, kind="stable")
@@ -42,57 +41,77 @@ def _best(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus:
     return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
 
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def vectors_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return frame["id"].to_numpy("i8"), np.stack(frame["embedding"].to_numpy()).astype("f8") if len(frame) else np.empty((0, 0))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+class Corpus:
+    """Vectors (id, embedding) to compare with.  Its size, its broadcast and its blocks are made when first wanted and kept until close()."""
+
+    def __init__(self, vectors: DataFrame, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES):
+        self.vectors, self.block, self.broadcast_bytes = vectors.select("id", "embedding"), block, broadcast_bytes
+        self._shared = self._index = None
+
+    @functools.cached_property
+    def size(self) -> tuple[int, int]:
+        """Vectors, and bytes of one."""
+        row = self.vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+        return row["n"], (row["d"] or 0) * 8
+
+    def small(self) -> bool:
+        return self.size[0] * self.size[1] <= self.broadcast_bytes
+
+    def index(self):
+        if self._index is None:
+            from .metric_index import MetricIndex
+
+            self._index = MetricIndex(self.vectors, self.block, count=self.size[0])
+        return self._index
+
+    def nearest(self, queries: DataFrame, k: int, report=None) -> DataFrame:
+        """As nearest(); report: a metric_index.Report that tells how many blocks were compared, where blocks are."""
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        queries = queries.select("id", "embedding")
+        context = self.vectors.sparkSession.sparkContext
+        if self.small():
+            if self._shared is None:
+                self._shared = context.broadcast(vectors_of(self.vectors.toPandas()))  # of checked size
+            return rank(queries.repartition(context.defaultParallelism).mapInPandas(functools.partial(_with_all, self._shared, k), EDGE), k)
+        if queries.count() * self.size[1] <= min(self.broadcast_bytes, self.block * self.size[1]):
+            wanted = context.broadcast(vectors_of(queries.toPandas()))  # of checked size
+            return rank(self.vectors.mapInPandas(functools.partial(_with_few, wanted, k), EDGE), k)
+        return self.index().search(queries, k, report)
+
+    def close(self) -> None:
+        """Gives the broadcast back; what was planned with it can't run any more."""
+        if self._shared is not None:
+            self._shared.destroy()
+        self._shared = self._index = None
+
+
+def _with_all(shared, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch) and len(shared.value[0]):
+            yield best_of(*vectors_of(batch), *shared.value, k)
+
+
+def _with_few(wanted, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    best = None
+    for batch in batches:
+        if len(batch) and len(wanted.value[0]):
+            found = best_of(*wanted.value, *vectors_of(batch), k)
+            found = found if best is None else pd.concat((best, found))
+            found = found.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
+            best = found.groupby("src", sort=False).head(k)
+    if best is not None:
+        yield best
+
+
+def nearest(queries: DataFrame, corpus: DataFrame | Corpus, k: int = 10, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """src, dst, score, rank: for each query (id, embedding) the k vectors of the corpus with the largest inner
     product, never itself; at most k rows, ties by dst."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
-    size = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    vector_bytes = (size["d"] or 0) * 8
-    if (size["n"] or 0) * vector_bytes <= broadcast_bytes:
-        rows = corpus.toPandas()  # of checked size
-        shared = corpus.sparkSession.sparkContext.broadcast(_arrays(rows))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(shared.value[0]):
-                    yield _best(*_arrays(batch), *shared.value, k)
-
-        threads = corpus.sparkSession.sparkContext.defaultParallelism
-        found = queries.repartition(threads).mapInPandas(run, _EDGE)
-    elif (asked := queries.count()) * vector_bytes <= min(broadcast_bytes, block * vector_bytes):
-        wanted = corpus.sparkSession.sparkContext.broadcast(_arrays(queries.toPandas()))  # of checked size
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if len(batch) and len(wanted.value[0]):
-                    found = _best(*wanted.value, *_arrays(batch), k)
-                    found = found if best is None else pd.concat((best, found))
-                    found = found.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
-                    best = found.groupby("src", sort=False).head(k)
-            if best is not None:
-                yield best
-
-        found = corpus.mapInPandas(stream, _EDGE)
-    else:
-        lines, columns = math.ceil(asked / block), math.ceil(size["n"] / block)
-        copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        asked = queries.withColumn("line", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lines))).withColumn("column", copies(columns))
-        dealt = corpus.withColumn("column", F.pmod(F.xxhash64("id"), F.lit(columns))).withColumn("line", copies(lines))
-
-        def cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"src": pd.Series(dtype="i8"), "dst": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
-            return _best(*_arrays(left), *_arrays(right), k)
-
-        found = asked.groupBy("line", "column").cogroup(dealt.groupBy("line", "column")).applyInPandas(cross, _EDGE)
-    return rank(found, k)
+    return (corpus if isinstance(corpus, Corpus) else Corpus(corpus, block, broadcast_bytes)).nearest(queries, k)
 
 
 def rank(edges: DataFrame, k: int) -> DataFrame:

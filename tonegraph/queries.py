@@ -13,6 +13,7 @@ from .operators import cleaning, evaluation, graph, knn
 from .operators import features as X
 from .operators import notes as N
 from .operators import vectors as V
+from .operators.metric_index import MetricIndex
 from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
 from .sources.scratch import materialize, work_path
@@ -372,6 +373,13 @@ def knn_topk(spark, sf):
     return knn.nearest(found, found, K).select("src", "dst", "rank", r6("score"))
 
 
+@query(f"WITH {_knn_sql(K)} SELECT src, dst, rank::INT AS rank, round(score, 6) AS score FROM kn")
+def knn_pruned(spark, sf):
+    """The same rows by blocks around pivots."""
+    found = materialize(vectors(spark, sf).select("id", "embedding"), "vectors")
+    return MetricIndex(found, block=64).search(found, K).select("src", "dst", "rank", r6("score"))
+
+
 _CUSTOM = V.resolve_weights(CUSTOM)
 
 

@@ -16,6 +16,7 @@ from .operators import vectors as V
 from .operators.metric_index import MetricIndex
 from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
+from .sources.midi import read_midi, write_midi
 from .sources.scratch import materialize, work_path
 from .sources.tables import (
     NOTES_SQL,
@@ -503,6 +504,17 @@ def explorer_search(spark, sf):
     return _explorer(spark, sf).search("red").select("id", "title", "artist_name")
 
 
+@query(f"""WITH {NOTES_SQL.split(",\nsong AS")[0]}
+SELECT track_id, is_drum, pitch, velocity, onset, min("end") AS "release"
+FROM (SELECT a.*, b."release" AS "end", a.note_seq AS k FROM e a JOIN e b ON b.track_id = a.track_id AND b.file_no = a.file_no AND b.is_drum = a.is_drum AND b.pitch = a.pitch AND b."release" > a.onset)
+GROUP BY track_id, is_drum, pitch, velocity, onset, k""")
+def midi_files(spark, sf):
+    """All notes written as MIDI files and read again.  In a file the next end of a pitch ends all its open notes."""
+    folder = work_path(spark, "midi")
+    write_midi(notes(spark, sf), folder)
+    return read_midi(spark, folder).select(F.col("track_id").cast("long").alias("track_id"), "is_drum", "pitch", "velocity", "onset", "release")
+
+
 @query("""SELECT p_partkey::VARCHAR AS track_id, p_brand AS artist_name, 'a"b, c' AS artist_id, p_name AS title, 'None' AS song_id, p_type AS "release", NULL::VARCHAR AS genre,
        'x/' || p_partkey || '.mid' AS midi_path FROM part""")
 def metadata_csv(spark, sf):

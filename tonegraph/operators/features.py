@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import TINY, dot, edge_counts, equal_width_bin, first_argmax, norm, pitch_class_counts, share
+from ..functions.arrays import TINY, bound, dot, edge_counts, equal_width_bin, first_argmax, norm, pitch_class_counts, share
 from . import notes as N
 
 REGISTERS = ("low", "mid", "high")
@@ -57,21 +57,25 @@ def chroma(song: DataFrame) -> DataFrame:
     return shares.withColumn("total_chroma", total).withColumn("total_chroma", share(F.col("total_chroma")))
 
 
+def _rotated_profiles() -> Column:
+    """24 arrays of weights: the profiles, major before minor, centred, scaled and turned by each of twelve steps."""
+    rows = []
+    for i in range(12):
+        for profile in (MAJOR_PROFILE, MINOR_PROFILE):
+            centre = sum(profile) / 12
+            scale = math.sqrt(sum((p - centre) ** 2 for p in profile))
+            rows.append(", ".join(f"{(profile[(m + i) % 12] - centre) / scale!r}D" for m in range(12)))
+    return F.expr(f"array({', '.join(f'array({row})' for row in rows)})")
+
+
 def _key_scores(values: Column) -> Column:
     """Array of (score, -order) of the correlation of each rotation of values with the two profiles.
 
     Rotating values by i against a profile is the same as weighing value m by the profile's entry m + i."""
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / 12
     spread = norm(F.transform(values, lambda x: x - mean))
-    scores = []
-    for i in range(12):
-        for k, profile in enumerate((MAJOR_PROFILE, MINOR_PROFILE)):
-            centre = sum(profile) / 12
-            scale = math.sqrt(sum((p - centre) ** 2 for p in profile))
-            weights = [(profile[(m + i) % 12] - centre) / scale for m in range(12)]
-            score = F.try_divide(dot(values, F.array(*[F.lit(w) for w in weights])), spread)
-            scores.append(F.struct(score.alias("score"), F.lit(-(2 * i + k)).alias("order")))
-    return F.array(*scores)
+    one = lambda n: lambda w, k: F.struct(F.try_divide(dot(values, w), n).alias("score"), (-k).alias("order"))
+    return bound(spread, lambda n: F.transform(_rotated_profiles(), one(n)))
 
 
 def key(chromas: DataFrame) -> DataFrame:
@@ -95,8 +99,8 @@ def key(chromas: DataFrame) -> DataFrame:
     )
 
 
-def entropies(song: DataFrame, bins: int = ENTROPY_BINS) -> DataFrame:
-    """kind (pitch, duration, ioi) and the entropy, in nats, of its histogram of equal-width bins."""
+def _entropies(song: DataFrame, bins: int) -> DataFrame:
+    """track_id, kind, entropy where there are values."""
     order = W.partitionBy("track_id").orderBy("onset", "note_seq")
     values = song.where(~F.col("is_drum")).select(
         "track_id",
@@ -104,23 +108,40 @@ def entropies(song: DataFrame, bins: int = ENTROPY_BINS) -> DataFrame:
         (F.col("release") - F.col("onset")).alias("duration"),
         (F.col("onset") - F.lag("onset").over(order)).alias("ioi"),
     )
-    long = values.unpivot("track_id", ["pitch", "duration", "ioi"], "kind", "value").where(F.col("value").isNotNull())
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("pitch", "duration", "ioi")])).alias("pair")
+    long = values.select("track_id", pairs).select("track_id", "pair.kind", "pair.value").where(F.col("value").isNotNull())
     whole = W.partitionBy("track_id", "kind")
     ranged = long.select("track_id", "kind", "value", F.min("value").over(whole).alias("low"), F.max("value").over(whole).alias("high"))
     placed = ranged.select("track_id", "kind", equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"))
     counted = placed.groupBy("track_id", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
     part = F.col("n") / F.sum("n").over(whole)
     terms = counted.select("track_id", "kind", (-part * F.ln(part)).alias("term"))
-    found = terms.groupBy("track_id", "kind").agg(F.sum("term").alias("entropy"))
+    return terms.groupBy("track_id", "kind").agg(F.sum("term").alias("entropy"))
+
+
+def entropies(song: DataFrame, bins: int = ENTROPY_BINS) -> DataFrame:
+    """kind (pitch, duration, ioi) and the entropy, in nats, of its histogram of equal-width bins."""
+    found = _entropies(song, bins)
     kinds = song.where(~F.col("is_drum")).select("track_id").distinct().select("track_id", F.explode(F.array(F.lit("pitch"), F.lit("duration"), F.lit("ioi"))).alias("kind"))
     return kinds.join(found, ["track_id", "kind"], "left").select("track_id", "kind", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
 
 
+def _log_counts(song: DataFrame) -> DataFrame:
+    """track_id, kind, counts where there are values: every note under all kinds that it belongs to, so that one reading of the
+    notes serves all of them."""
+    plain, top = ~F.col("is_drum"), F.row_number().over(W.partitionBy("track_id", "onset", "is_drum").orderBy(F.desc("pitch"), "note_seq")) == 1
+    held = {"ioi": plain, "duration": plain, "drum_ioi": F.col("is_drum"), "bass_ioi": plain & (F.col("pitch") < N.LOW_MAX), "melody_ioi": plain & F.col("top")}
+    kinds = F.explode(F.array_compact(F.array(*[F.when(is_in, F.lit(kind)) for kind, is_in in held.items()]))).alias("kind")
+    notes = song.withColumn("top", top).select("track_id", "onset", "release", kinds)
+    gap = F.col("onset") - F.lag("onset").over(W.partitionBy("track_id", "kind").orderBy("onset"))
+    values = notes.select("track_id", "kind", F.when(F.col("kind") == "duration", F.col("release") - F.col("onset")).otherwise(gap).alias("value"))
+    values = values.where(F.col("value").isNotNull())
+    return values.groupBy("track_id", "kind").agg(F.array(*edge_counts(F.col("value"), LOG_EDGES)).alias("counts"))
+
+
 def log_histograms(song: DataFrame) -> DataFrame:
     """kind (ioi, duration, drum_ioi, bass_ioi, melody_ioi) and shares of its values in ten log-spaced bins."""
-    durations = song.where(~F.col("is_drum")).select("track_id", F.lit("duration").alias("kind"), (F.col("release") - F.col("onset")).alias("value"))
-    values = N.onset_gaps(song).union(durations)
-    counted = values.groupBy("track_id", "kind").agg(F.array(*edge_counts(F.col("value"), LOG_EDGES)).alias("counts"))
+    counted = _log_counts(song)
     kinds = [F.lit(k) for k in ("ioi", "duration", "drum_ioi", "bass_ioi", "melody_ioi")]
     wanted = song.select("track_id").distinct().select("track_id", F.explode(F.array(*kinds)).alias("kind"))
     empty = F.array_repeat(F.lit(0.0), 10)
@@ -168,17 +189,20 @@ def structure(song: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 
 
 def vector_features(song: DataFrame) -> DataFrame:
-    """The features that enter a vector, one row for each track; structure columns are null under ten notes."""
-    entropy = entropies(song).groupBy("track_id").pivot("kind", ["pitch", "duration", "ioi"]).agg(F.first("entropy"))
-    entropy = entropy.select("track_id", *[F.col(k).alias(f"{k}_entropy") for k in ("pitch", "duration", "ioi")])
-    kinds = ["ioi", "duration", "drum_ioi", "bass_ioi", "melody_ioi"]
-    hists = log_histograms(song).groupBy("track_id").pivot("kind", kinds).agg(F.first("hist"))
-    hists = hists.select("track_id", *[F.col(k).alias(f"{k}_hist") for k in kinds])
+    """The features that enter a vector, one row for each track; structure columns are null under ten notes.
+
+    Over a note_table no part of it moves a row: all groupings, windows and joins are on the track."""
+    sounds = ("pitch", "duration", "ioi")
+    kinds = ("ioi", "duration", "drum_ioi", "bass_ioi", "melody_ioi")
+    entropy = _entropies(song, ENTROPY_BINS).groupBy("track_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("entropy"))).alias(f"{k}_entropy") for k in sounds])
+    hists = _log_counts(song).groupBy("track_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("counts"))).alias(k) for k in kinds])
     chromas = chroma(song)
     out = basic_stats(song)
     for part in (chromas, key(chromas), entropy, hists, densities(song), structure(song)):
         out = out.join(part, "track_id", "left")
-    return out
+    filled = {f"{k}_entropy": F.coalesce(f"{k}_entropy", F.lit(0.0)) for k in sounds}
+    filled |= {f"{k}_hist": F.coalesce(share(F.col(k)), F.array_repeat(F.lit(0.0), 10)) for k in kinds}
+    return out.withColumns(filled).drop(*kinds)
 
 
 def song_features(song: DataFrame) -> DataFrame:

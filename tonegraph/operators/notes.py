@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bucket_count, bucketed
+
 LOW_MAX, MID_MAX = 48, 72
 LEAST_NOTES = 5
 
@@ -18,6 +20,11 @@ def song_notes(notes: DataFrame, least: int = LEAST_NOTES) -> DataFrame:
     return notes.where(F.col("pitch").isNotNull()).withColumn("__n", count).where(F.col("__n") >= least).drop("__n")
 
 
+def note_table(notes: DataFrame, least: int = LEAST_NOTES, buckets: int | None = None) -> DataFrame:
+    """song_notes as a table bucketed by track and sorted by onset: what groups, joins or orders by track reads it in place."""
+    return bucketed(song_notes(notes, least), "notes", ["track_id"], ["track_id", "onset", "note_seq"], buckets or bucket_count(notes))
+
+
 def melodic(song: DataFrame, low_max: int = LOW_MAX, mid_max: int = MID_MAX) -> DataFrame:
     """Non-drum notes with their register."""
     register = F.when(F.col("pitch") < low_max, "low").when(F.col("pitch") < mid_max, "mid").otherwise("high")

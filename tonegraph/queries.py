@@ -791,7 +791,7 @@ al AS (
 
 
 def _groups(spark, sf) -> DataFrame:
-    s = fixed_song(spark, sf)
+    s = N.note_table(notes(spark, sf))
     counts = materialize(N.ngram_counts(N.ngrams(N.intervals(N.streams(s)), coarse=COARSE)), "counts")
     vocab = materialize(V.vocabulary(counts), "vocab")
     return materialize(V.feature_groups(X.vector_features(s), counts, vocab), "groups")

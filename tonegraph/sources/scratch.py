@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a bucket, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 2_000_000, 1 << 14
 _own_folder: str | None = None
 _used: set[str] = set()
 _thread = threading.local()  # paths: what this thread has been given and not removed, in order
@@ -69,3 +71,26 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
         _remove(spark, path)
     del given[mark:-1]
     return df
+
+
+def bucket_count(df: DataFrame) -> int:
+    """A bucket for each BUCKET_ROWS rows of df, at least as many as there are cores and at most MOST_BUCKETS."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS)))
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """df as a table dealt over buckets by keys and sorted in each, in the shared folder: groupings, windows and joins on keys read it
+    without an exchange.  The table is the session's own (a random name) and goes with its folder when Python ends."""
+    spark = df.sparkSession
+    table = f"tonegraph_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    placed = df.repartition(buckets, *keys)  # a task for each bucket, so that each is one file
+    placed.write.option("path", work_path(spark, name)).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(table, format="parquet", compression="zstd")
+    atexit.register(_forget, spark, table)
+    return spark.table(table)
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session is gone, and its catalog with it
+        pass

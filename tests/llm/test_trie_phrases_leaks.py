@@ -126,7 +126,7 @@ def texts(seed, n=80):
     return [(rng.choice(["en", "de", None]), "".join(rng.choice(words[: rng.randint(3, 11)]) + rng.choice([" ", " ", "  ", "\t", ". ", "\n", ",", "!"]) for _ in range(rng.randint(0, 60)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "buffer"), [(1 << 20, 400_000), (7, 30), (40, 1)])
+@pytest.mark.parametrize(("chunk", "buffer"), [(1 << 20, 1_200_000), (7, 30), (40, 1)])
 def test_phrases_equal_plain_counts(spark, monkeypatch, chunk, buffer):
     """Whatever the chunks of a text and the words counted at once."""
     monkeypatch.setattr(phrases, "CHUNK", chunk)

@@ -9,7 +9,9 @@ Candidates are cut after each word; both sides of a cut are looked up in the lev
 candidate goes if a longer one that holds it is (nearly) as frequent; then every gram between the two is as well, so only grams one word
 longer are looked at.
 
-Texts go through a task in chunks that end between words, with the k - 1 words behind, so a very long text takes memory for its bytes
+From the third pass on a pass also writes the runs of text in which two k-grams in a row may be frequent, and the next reads those alone.
+
+Texts go through a task in chunks that end between words, with the words that follow, so a very long text takes memory for its bytes
 and one chunk's words.  Counts are added map-side, so a phrase in every document is one row a task; the first of each language are
 taken from the first of SALTS parts, so a language with all candidates is no one task's.
 
@@ -38,7 +40,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one has this percentage of its occurrences.
 ABSORB = 100
 #: Bytes of a chunk of text, words that are counted at once, and parts in which a language's first are found.
-CHUNK, BUFFER, SALTS = 1 << 20, 400_000, 64
+CHUNK, BUFFER, SALTS = 1 << 20, 1_200_000, 64
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _BREAKS = b",;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _BREAKS, _LOWER + b"." * len(_BREAKS))
@@ -53,8 +55,8 @@ class _Numbers(dict):
         return n
 
 
-def _chunks(text: str, ahead: int) -> Iterator[list[bytes]]:
-    """Words of a text and breaks ("."), in chunks; each is followed by the next `ahead` of them."""
+def _chunks(text: str, ahead: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """Words of a text and breaks ("."), in chunks, each with the `ahead` that follow it."""
     data, at = text.encode().translate(_TABLE), 0
     while at < len(data):
         end = at + CHUNK
@@ -62,9 +64,7 @@ def _chunks(text: str, ahead: int) -> Iterator[list[bytes]]:
             gap = _GAP.search(data, end)
             end = gap.start() if gap else len(data)
         tokens = data[at:end].replace(b".", b" . ").split()
-        if ahead:
-            tokens += [m.group() for m in islice(_TOKEN.finditer(data, end), ahead)]
-        yield tokens
+        yield tokens, [m.group() for m in islice(_TOKEN.finditer(data, end), ahead)]
         at = end
 
 
@@ -76,53 +76,70 @@ def _held(texts: list[bytes], lang: bytes, bits: np.ndarray) -> np.ndarray:
     return (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_grams(tokens: list[bytes], k: int, lang: bytes, levels: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """The k-grams of tokens whose parts are in the bitmaps of the levels below k, and how often each stands there."""
-    numbers = _Numbers({b".": 0})
-    at = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    words = list(numbers)
+def count_grams(at: np.ndarray, own: np.ndarray, words: list[bytes], k: int, lang: bytes, levels: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, bytes]:
+    """The k-grams of a text whose parts are in the bitmaps of the levels below k, how often each starts at one of its own places,
+    and (k > 2) the text's runs that may hold longer frequent grams.  at: the text as numbers of words; 0 is a break."""
     if k == 1:
-        return words[1:], np.bincount(at, minlength=len(words))[1:]
-    texts, last = words, np.arange(len(words))  # of each gram: its text and the number of its last word; gram 0 is none
+        return words[1:], np.bincount(at[own], minlength=len(words))[1:], b""
+    text, texts, last = at, words, np.arange(len(words))  # of each gram: its text and the number of its last word; gram 0 is none
     for level in range(1, k):
         good = _held(texts, lang, levels[level - 1])
         good[0] = False
         fine = good[at]
         where = np.flatnonzero(fine[:-1] & fine[1:])
+        runs = b""
+        if level == k - 1:
+            runs = _runs(text, where, words, k) if k > 2 else b""
+            where = where[own[where]]
         pairs = at[where] * len(texts) + at[where + 1]
         found, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         left, ends = found // len(texts), last[found % len(texts)]
         grams = [texts[a] + b" " + words[b] for a, b in zip(left.tolist(), ends.tolist(), strict=True)]
         if level == k - 1:
-            return grams, counts
+            return grams, counts, runs
         at = np.zeros(len(at) - 1, np.int64)
         at[where] = inverse + 1
         texts, last = [b"", *grams], np.concatenate(([0], ends))
     raise AssertionError
 
 
+def _runs(text: np.ndarray, where: np.ndarray, words: list[bytes], k: int) -> bytes:
+    """The words of all k-grams that start at two places of `where` in a row, with a break between those that don't touch."""
+    twice = where[:-1][np.diff(where) == 1]
+    edges = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edges, twice, 1)
+    np.add.at(edges, twice + k + 1, -1)
+    covered = np.flatnonzero(np.cumsum(edges[:-1]))
+    apart = np.flatnonzero(np.diff(covered) > 1) + 1
+    return b" ".join([words[x] for x in np.insert(text[covered], apart, 0).tolist()])
+
+
 def _pass(docs: DataFrame, k: int, levels: list[np.ndarray]) -> DataFrame:
-    """lang, gram, n: partial counts of k-grams; in the first pass, gram null counts all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    """lang, gram, n: partial counts of k-grams; in the first pass, gram null counts all words; from the third on, gram with n null is
+    what the next pass has to read."""
+    shared, ahead = docs.sparkSession.sparkContext.broadcast(levels), k if k > 2 else k - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
+        waiting: dict[str, tuple[_Numbers, list[np.ndarray], list[np.ndarray]]] = {}
         size = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for lang, tokens in waiting.items():
-                grams, n = count_grams(tokens, k, lang.encode(), shared.value)
+            for lang, (numbers, parts, own) in waiting.items():
+                grams, n, runs = count_grams(np.concatenate(parts), np.concatenate(own), list(numbers), k, lang.encode(), shared.value)
+                n = n.tolist()
                 if k == 1:
-                    grams, n = [None, *grams], np.concatenate(([n.sum()], n))
+                    grams, n = [None, *grams], [sum(n), *n]
+                if runs:
+                    grams, n = [*grams, runs], [*n, None]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
             waiting.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                for tokens in _chunks(text.as_py(), k - 1):
-                    held = waiting.setdefault(lang.as_py(), [])
-                    held.append(b".")
-                    held += tokens
+                for tokens, following in _chunks(text.as_py(), ahead):
+                    numbers, parts, own = waiting.setdefault(lang.as_py(), (_Numbers({b".": 0}), [], []))
+                    parts.append(np.fromiter(map(numbers.__getitem__, [b".", *tokens, *following]), np.int64, len(tokens) + len(following) + 1))
+                    own.append(np.arange(len(parts[-1])) <= len(tokens))
                     size += len(tokens)
                     if size >= BUFFER:
                         yield from counted()
@@ -149,7 +166,11 @@ def level_tables(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) ->
     read = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     tables, levels = [], []
     for k in range(1, longest + 1):
-        counts = _pass(read, k, levels).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        part = _pass(read, k, levels)
+        if 2 < k < longest:
+            part = materialize(part, f"pass-{k}")
+            read = part.where("n is null").select("lang", F.col("gram").alias("text"))
+        counts = part.where("n is not null").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         tables.append(materialize(counts.where((F.col("n") >= least) | F.col("gram").isNull()), f"level-{k}"))
         if k < longest:
             levels.append(_bits(tables[-1]))

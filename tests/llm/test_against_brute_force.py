@@ -52,6 +52,17 @@ def test_both_encoders_agree(text):
     assert ENCODE(text) == REFERENCE(text)
 
 
+def test_special_tokens_are_single_ids():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_paths()[0])
+    encode = tokens.encoder(*tokens.default_paths(), special=True)
+    assert "<|endoftext|>" in tokens.special_texts(tokens.default_paths()[0])
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "漢<|endoftext|>", "<|endoftext", "plain text"):
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    assert len(encode("a<|endoftext|>b")) == 3 and len(ENCODE("a<|endoftext|>b")) > 3
+
+
 def ids(text):
     return [*REFERENCE(text or ""), packing.CLOSING_ID]
 

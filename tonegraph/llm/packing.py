@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | N
     paths = paths or default_paths()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(*paths)
+        encode = encoder(*paths, special=True)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):

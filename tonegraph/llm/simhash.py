@@ -59,7 +59,10 @@ VIEWS = (11, 22, 33)
 VIEW_RADIUS = 5
 SKETCH = 256
 BANDS, BAND_ROWS = 16, 4
+#: Passes in which wide nodes are dealt by chance; what is still wide then is compared chunk by chunk.
 PASSES = 4
+#: Hashes of a text whose bits are summed at once.
+HASHES_AT_ONCE = 1 << 13
 #: Pairs of one text that are verified against one copy of it.
 PAIRS_PER_SALT = 256
 _FAN = 8
@@ -70,19 +73,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash as a signed 64-bit number."""
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
-    if not words:
+    joined = _joined_words(text or "")
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0, dtype="i8") > len(hashes), bitorder="little").view("<i8")[0])
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, "u1") == 32), len(joined)) + 1
+    width = min(shingle, len(ends))
+    starts, ends = np.concatenate(([0], ends[:-width])), ends[width - 1 :] - 1
+    digest = xxhash.xxh64_intdigest
+    ones = np.zeros(64, "i8")
+    for k in range(0, len(ends), HASHES_AT_ONCE):
+        spans = zip(starts[k : k + HASHES_AT_ONCE].tolist(), ends[k : k + HASHES_AT_ONCE].tolist(), strict=True)
+        ones += _bit_sums(np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")[:, None])
+    return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<i8")[0])
+
+
+def _joined_words(text: str) -> bytes:
+    """b" ".join(text.encode().lower().split()) without an object for each word: a long text costs some bytes a byte.
+    Bytes: ASCII case and ASCII white space only."""
+    data = np.frombuffer(text.encode().lower(), "u1")
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    kept = ~space
+    kept[1:] |= ~space[:-1]  # and the first white space after a word
+    return np.where(space, np.uint8(32), data)[kept].tobytes().rstrip(b" ")
+
+
+def _bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit of each column of hashes is 1."""
+    bits = np.unpackbits(hashes.view("u1").reshape(len(hashes), -1), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype="i8")
 
 
 def fingerprints(docs: DataFrame, row: str = "doc_id") -> DataFrame:
@@ -320,10 +338,12 @@ def word_hash_fingerprints(words: list[bytes], seeds=VIEWS) -> list[int]:
 
     if not words:
         return [0] * len(seeds)
-    distinct = set(words)
-    hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for seed in seeds] for w in distinct], "<u8")
-    bits = np.unpackbits(hashes.view("u1").reshape(len(distinct), -1), axis=1, bitorder="little")
-    return np.packbits(2 * bits.sum(axis=0, dtype="i8") > len(distinct), bitorder="little").view("<i8").tolist()
+    distinct = list(set(words))
+    ones = np.zeros(64 * len(seeds), "i8")
+    for k in range(0, len(distinct), HASHES_AT_ONCE):
+        part = distinct[k : k + HASHES_AT_ONCE]
+        ones += _bit_sums(np.array([[xxhash.xxh64_intdigest(w, seed) for seed in seeds] for w in part], "<u8"))
+    return np.packbits(2 * ones > len(distinct), bitorder="little").view("<i8").tolist()
 
 
 def min_hashes(words: list[bytes], samples: int = SKETCH) -> np.ndarray:
@@ -422,6 +442,19 @@ def _chunked(places: DataFrame, named: DataFrame, turn: int, node_rows: int) ->
     return dealt.join(named.select("name", *_WORDS), "name")
 
 
+def _paired_chunks(places: DataFrame, named: DataFrame, node_rows: int) -> DataFrame:
+    """places with sketches, for alike_links: each pair of a node's chunks is a cell, so any two rows of a node meet in one.
+    A row is copied once for each other chunk; a cell holds about node_rows rows."""
+    counts = places.groupBy("view", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(counts.select("view", "fp", F.ceil(2 * F.col("n") / node_rows).cast("long").alias("chunks")), "nodes")
+    own = F.pmod(F.xxhash64("name", F.lit(PASSES)), F.col("chunks"))
+    rows = places.join(counts, ["view", "fp"]).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other OR chunks = 1")
+    cell = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    cells = rows.select("view", "fp", "name", cell.alias("chunk"), F.lit(False).alias("dealt"))
+    return cells.join(named.select("name", *_WORDS), "name")
+
+
 def candidates(named: DataFrame, most: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """u > v: names of rows that meet and have like sketches.  named: a written table of name, fps, bands and sketches."""
     views = named.select("name", *_WORDS, F.posexplode("fps").alias("view", "fp"))
@@ -436,6 +469,9 @@ def candidates(named: DataFrame, most: int, node_rows: int = NODE_ROWS) -> DataF
         places = links.where("u = v").select("view", "fp", F.col("u").alias("name"))
         if places.isEmpty():
             break
+    else:  # nodes of many unlike rows, which dealing anew would never narrow
+        links = materialize(alike_links(_paired_chunks(places, named, node_rows), most), "links")
+        met = met.union(links.where("u <> v").select("u", "v"))
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

@@ -10,6 +10,8 @@ from tonegraph.explorer import Explorer
 from tonegraph.plans.build import build
 from tonegraph.schemas import GROUPS
 from tonegraph.sources import midi, scratch, tables
+from tonegraph.sources.keyed import KeyedTable
+from tonegraph.sources.stages import Stages, rows_digest
 from tonegraph.streaming.running_stats import windowed_note_stats
 
 
@@ -53,6 +55,72 @@ def test_append_distinct(spark, tmp_path):
     assert tables.append_distinct(spark.createDataFrame([(1, 3), (4, 4)], "x int, y int"), str(tmp_path / "a"), ["x", "y"], str(tmp_path / "b")).count() == 3
 
 
+def test_keyed_append_touches_only_its_buckets(spark, tmp_path, monkeypatch):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), ["x", "y"])
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    schema = "x int, y string, v int"
+    assert len(table.append(spark.createDataFrame([(k, None if k % 5 == 0 else "a", k) for k in range(200)] * 2, schema))) > 1
+    before = table.manifest()
+    assert table.append(spark.createDataFrame([(5, None, -1), (6, "a", -1)], schema)) == [] and table.manifest() == before
+    written = table.append(spark.createDataFrame([(-1, 5, None), (7, 1000, "b")], "v int, x int, y string"))
+    after = table.manifest()
+    assert {b for b in after["where"] if after["where"][b] != before["where"].get(b)} == {str(b) for b in written} and len(written) == 1
+    rows = sorted(map(tuple, table.read().collect()), key=str)
+    expected = [(k, None if k % 5 == 0 else "a", k) for k in range(200)] + [(1000, "b", 7)]
+    assert rows == sorted(expected, key=str)
+    assert len(table.append(spark.createDataFrame([(1001, "c", 1)], schema))) == 1
+    opened = table.read()
+    monkeypatch.setattr(table, "_commit", lambda manifest: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.append(spark.createDataFrame([(2000 + k, "z", k) for k in range(50)], schema))
+    monkeypatch.undo()
+    assert table.read().count() == opened.count() == 202
+    assert table.vacuum() >= 1 and table.read().count() == 202 and table.vacuum() == 0
+    late = after | {"version": table.manifest()["version"]}
+    with pytest.raises(RuntimeError, match="another"):
+        table._commit(late)
+
+
+def test_keyed_table_may_be_empty(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), ["x"])
+    none = spark.createDataFrame([], "x int, v string")
+    assert table.append(none) == [] and table.read().count() == 0 and table.append(none) == []
+    assert table.append(spark.createDataFrame([(None, "n"), (None, "m")], "x int, v string")) and table.read().count() == 1
+
+
+def test_rows_digest(spark):
+    a = spark.createDataFrame([(1, "a", {"k": 1}), (2, None, None)], "x int, y string, z map<string,int>")
+    same = spark.createDataFrame([(2, None, None), (1, "a", {"k": 1})], a.schema).repartition(3)
+    assert rows_digest(a) == rows_digest(same) == rows_digest(a)
+    others = [a.union(a), a.where("x = 1"), a.withColumn("x", a.x.cast("long")), a.withColumnRenamed("y", "w"), a.limit(0)]
+    assert len({rows_digest(d) for d in [a, *others]}) == 6
+
+
+def test_stages_are_built_again_where_what_they_were_made_from_differs(spark, small, tmp_path):
+    notes, tracks = tables.notes(spark, small), tables.tracks(spark, small)
+    folder = str(tmp_path / "built")
+
+    def built(notes=notes, tracks=tracks, **options):
+        stages = Stages(spark, folder, options.pop("force", False))
+        build(spark, notes, tracks, folder, stages=stages, **options)
+        return stages.built
+
+    every = ["features", "metadata", "groups", "embeddings", "weights", "knn_edges"]
+    assert built(k=3) == every
+    assert built(k=3) == []
+    assert built(k=2) == ["knn_edges"]
+    assert built(k=2, weights={"stats": 4.0}) == ["embeddings", "weights", "knn_edges"]
+    fresh = build(spark, notes, tracks, str(tmp_path / "fresh"), weights={"stats": 4.0}, k=2)
+    read = lambda name: sorted(map(tuple, spark.read.parquet(f"{folder}/{name}").collect()))
+    assert read("knn_edges") == sorted(map(tuple, fresh["knn_edges"].collect()))
+    assert Explorer.load(spark, folder).status()["weights"]["stats"] == 4.0
+    (tmp_path / "built" / "groups" / "_made_from").unlink()  # as after a build that broke off
+    assert built(k=2, weights={"stats": 4.0}) == ["groups"]
+    assert built(notes=notes.where("note_seq % 50 <> 0"), k=2, weights={"stats": 4.0}) == [s for s in every if s != "weights"]
+    assert built(version="snapshot 9", k=2)[0] == "features" and built(version="snapshot 9", k=2) == []
+
+
 def test_settled_removes_what_led_to_a_table(spark):
     made = []
 

@@ -76,10 +76,11 @@ def weight_grid(spark: SparkSession, levels=LEVELS, groups=GROUPS) -> DataFrame:
 
 
 def random_weights(spark: SparkSession, trials: int = 20_000, seed: int = 19, low: float = 0.0, high: float = 5.0, groups=GROUPS) -> DataFrame:
-    """trial, weight_<group>: uniform in [low, high), drawn trial by trial and group by group."""
-    drawn = pd.DataFrame(np.random.default_rng(seed).uniform(low, high, (trials, len(groups))), columns=[f"weight_{g}" for g in groups])
-    drawn.insert(0, "trial", range(trials))
-    return spark.createDataFrame(drawn)
+    """trial, weight_<group>: uniform in [low, high).  A draw is the first 52 bits of the MD5 of "seed:trial:group", so tasks
+    draw for themselves, a lost task draws the same again, and more trials keep the earlier ones."""
+    bits = lambda g: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.lit(g))), 1, 13), 16, 10).cast("long")
+    drawn = [(F.lit(float(low)) + bits(g) / F.lit(float(1 << 52)) * F.lit(float(high - low))).alias(f"weight_{g}") for g in groups]
+    return spark.range(trials).withColumnRenamed("id", "trial").select("trial", *drawn)
 
 
 def triplet_dots(triplets: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ from .operators import vectors as V
 from .operators.metric_index import MetricIndex
 from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
+from .sources.keyed import KeyedTable
 from .sources.midi import read_midi, write_midi
 from .sources.scratch import materialize, work_path
 from .sources.tables import (
     NOTES_SQL,
     SLICES,
-    append_distinct,
     notes,
     read_metadata_csv,
     read_table,
@@ -490,15 +490,6 @@ def explorer_path(spark, sf):
     return _explorer(spark, sf).path(*PATH, K)[0].select("position", "id", "type", "title", "artist_name")
 
 
-@query(f"""WITH g(weight, custom, "default") AS (VALUES {", ".join(f"('{g}', {_CUSTOM[g]!r}::DOUBLE, 1.0::DOUBLE)" for g in GROUPS)})
-SELECT 'custom' AS mode, weight, custom AS value FROM g UNION ALL SELECT 'default', weight, "default" FROM g""")
-def explorer_weights(spark, sf):
-    """status() after a custom weighting and after going back."""
-    explorer = _explorer(spark, sf)
-    states = [explorer.build_custom(CUSTOM), explorer.use_default()]
-    return spark.createDataFrame([(s["mode"], g, w) for s in states for g, w in s["weights"].items()], "mode string, weight string, value double")
-
-
 @query("SELECT p_partkey AS id, p_name AS title, p_brand AS artist_name FROM part WHERE contains(upper(p_name), 'RED') AND p_partkey IN (SELECT vec_id FROM embeddings)")
 def explorer_search(spark, sf):
     return _explorer(spark, sf).search("red").select("id", "title", "artist_name")
@@ -531,11 +522,12 @@ def metadata_csv(spark, sf):
 
 @query("SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders")
 def append_unique(spark, sf):
-    """Two overlapping parts written and appended, one row for each key (SET1 and SET3)."""
+    """Two overlapping parts appended to one keyed table, one row for each key (SET1 and SET3)."""
     rows = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"))
-    path = work_path(spark, "first")
-    write_parquet(rows.where("k % 3 <> 0"), path)
-    return append_distinct(rows.where("k % 2 = 0 OR k % 3 = 0"), path, ["k", "v"], work_path(spark, "both"))
+    table = KeyedTable(spark, work_path(spark, "keyed"), ["k", "v"])
+    table.append(rows.where("k % 3 <> 0"))
+    table.append(rows.where("k % 2 = 0 OR k % 3 = 0"))
+    return table.read()
 
 
 # ---------------------------------------------------------------- evaluation
@@ -628,34 +620,34 @@ _GRID_SQL = "gd AS (SELECT trial, " + ", ".join(f"([0.0, 2.5, 5.0]::DOUBLE[])[(t
 _WEIGHTS = [f"weight_{g}" for g in GROUPS]
 
 
-@query(f"WITH {_GRID_SQL} SELECT * FROM gd")
-def weight_grid(spark, sf):
-    return evaluation.weight_grid(spark)
-
-
 @query(f"""WITH {_TRIPLET_SQL}, {_GRID_SQL}, mg AS (SELECT trial, {_margin_sql(lambda g: f"weight_{g}")} AS margin FROM gd, td) SELECT trial, {_METRIC_SQL} FROM mg GROUP BY 1""")
 def weight_search(spark, sf):
     return _scored(evaluation.weight_grid(spark), spark, sf).select("trial", "accuracy", r6("mean_margin"), r6("median_margin"), r6("std_margin"))
 
 
-@query()
+_RANDOM_SQL = "rw AS (SELECT trial, " + ", ".join(f"('0x' || md5('19:' || trial || ':{g}')[1:13])::BIGINT / {1 << 52}.0::DOUBLE * 5.0::DOUBLE AS weight_{g}" for g in GROUPS) + " FROM range(20000) t(trial))"
+_RANDOM_SCORED_SQL = f"""{_TRIPLET_SQL}, {_RANDOM_SQL}, mg AS (SELECT trial, {_margin_sql(lambda g: f"weight_{g}")} AS margin FROM rw, td),
+sc AS (SELECT trial, {_METRIC_SQL} FROM mg GROUP BY 1)"""
+
+
+@query(f"WITH {_RANDOM_SCORED_SQL} SELECT trial, {', '.join(f'round({w}, 6) AS {w}' for w in _WEIGHTS)}, accuracy, mean_margin FROM rw JOIN sc USING (trial)")
 def weight_random(spark, sf):
-    return evaluation.random_weights(spark)
+    """The random trials, scored over the triplets of the given vectors."""
+    return _scored(evaluation.random_weights(spark), spark, sf).select("trial", *map(r6, _WEIGHTS), "accuracy", r6("mean_margin"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{w}' AS weight, 20000 AS trials, 20000 AS distinct_trials, 0 AS first, 19999 AS last, 20000 AS distinct_values, true AS in_range, true AS spread" for w in _WEIGHTS))
+@query(f"""WITH {_RANDOM_SCORED_SQL}, lg AS (UNPIVOT (SELECT {", ".join(_WEIGHTS)}, accuracy FROM rw JOIN sc USING (trial)) ON {", ".join(_WEIGHTS)} INTO NAME weight VALUE v)
+SELECT weight, accuracy, count(*) AS trials, count(DISTINCT v) AS distinct_values, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(v), 6) AS mean FROM lg GROUP BY 1, 2""")
 def weight_random_ranges(spark, sf):
-    """What the seeded draws must be whatever the generator: numbering, range, and a mean and deviation near those of U(0, 5)."""
-    long = evaluation.random_weights(spark).unpivot("trial", _WEIGHTS, "weight", "value")
-    value = F.col("value")
-    return long.groupBy("weight").agg(
+    """Of each weight, the range and mean that the trials of one accuracy have: which weights an accuracy asks for."""
+    scored = _scored(evaluation.random_weights(spark), spark, sf)
+    long = scored.unpivot("accuracy", _WEIGHTS, "weight", "value")
+    return long.groupBy("weight", "accuracy").agg(
         F.count(F.lit(1)).alias("trials"),
-        F.countDistinct("trial").alias("distinct_trials"),
-        F.min("trial").alias("first"),
-        F.max("trial").alias("last"),
         F.countDistinct("value").alias("distinct_values"),
-        ((F.min(value) >= 0) & (F.max(value) < 5)).alias("in_range"),
-        ((F.abs(F.avg(value) - 2.5) < 0.05) & (F.abs(F.stddev_pop(value) - 5 / 12**0.5) < 0.05)).alias("spread"),
+        F.round(F.min("value"), 6).alias("least"),
+        F.round(F.max("value"), 6).alias("most"),
+        F.round(F.avg("value"), 6).alias("mean"),
     )
 
 
@@ -770,6 +762,37 @@ def best_weighting(spark, sf):
     return evaluation.best_weighting(_trials(spark, sf))
 
 
+_BEST_SQL = f"bw AS (SELECT {', '.join(_WEIGHTS)} FROM ts ORDER BY accuracy DESC, trial LIMIT 1)"
+
+
+@query(f"""WITH {_TRIALS_SQL}, {_GRID_SQL}, n AS (SELECT {", ".join(_WEIGHTS)}, count(*) AS tried FROM ts GROUP BY ALL)
+SELECT gd.trial, {", ".join(f"gd.{w}" for w in _WEIGHTS)}, coalesce(tried, 0) AS tried FROM gd LEFT JOIN n USING ({", ".join(_WEIGHTS)})""")
+def weight_grid(spark, sf):
+    """The grid, and how many of the given trials used each of its weightings."""
+    tried = _trials(spark, sf).groupBy(*_WEIGHTS).agg(F.count(F.lit(1)).alias("tried"))
+    return evaluation.weight_grid(spark).join(tried, _WEIGHTS, "left").select("trial", *_WEIGHTS, F.coalesce("tried", F.lit(0)).cast("long").alias("tried"))
+
+
+def _state_sql(mode: str, weight) -> str:
+    total = lambda a, b: " + ".join(f"{weight(g)} * {weight(g)} * list_dot_product({a}.{g}, {b}.{g})" for g in GROUPS)
+    score = f"({total('a', 'b')}) / sqrt(({total('a', 'a')}) * ({total('b', 'b')}))"
+    nearest = f"(SELECT b.id FROM gv a JOIN gv b ON a.id <> b.id, bw WHERE a.id = {ROOT} ORDER BY {score} DESC, b.id LIMIT 1)"
+    return " UNION ALL ".join(f"SELECT '{mode}' AS mode, '{g}' AS weight, {weight(g)} AS value, {nearest} AS nearest FROM bw" for g in GROUPS)
+
+
+@query(f"""WITH {_TRIALS_SQL}, {_BEST_SQL}, {_GROUPS_SQL}
+{_state_sql("custom", lambda g: f"bw.weight_{g}")} UNION ALL {_state_sql("default", lambda g: "1.0::DOUBLE")}""")
+def explorer_weights(spark, sf):
+    """status() once the best weighting of the given trials is in use and after going back, and a song's nearest under each."""
+    explorer = _explorer(spark, sf)
+    best = evaluation.best_weighting(_trials(spark, sf)).first()
+    rows = []
+    for state in (lambda: explorer.build_custom({g: best[f"weight_{g}"] for g in GROUPS}), explorer.use_default):
+        status, nearest = state(), explorer.neighbours(ROOT, 1).first()["id"]
+        rows += [(status["mode"], g, w, nearest) for g, w in status["weights"].items()]
+    return spark.createDataFrame(rows, "mode string, weight string, value double, nearest long")
+
+
 # ---------------------------------------------------------------- whole songs
 
 _VECTOR_SQL = f"""

@@ -55,24 +55,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_distinct(df: DataFrame, path: str, keys: list[str], out: str) -> DataFrame:
-    """Rows at path and df, one for each key, written to another path."""
+    """Rows at path and df, one for each key, written to another path.  It reads and writes all rows: tables that
+    are appended to again and again are keyed.KeyedTable's."""
     spark = df.sparkSession
     spark.read.parquet(path).unionByName(df).dropDuplicates(keys).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def cached_stage(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """The table at path; built and written if it is missing or force is set."""
-    if force or not exists(spark, f"{path}/_SUCCESS"):
-        write_parquet(build(), path)
-    return spark.read.parquet(path)
-
-
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes from events.  Times are multiples of 1/16, exact in binary."""
     events = read_table(spark, sf_dir, "events")

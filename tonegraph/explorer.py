@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import cleaning, graph
 from .operators.knn import Corpus, nearest
+from .operators.text_index import TextIndex
 from .operators.vectors import embed, resolve_weights
 from .schemas import DEFAULT_WEIGHTS, GROUPS
 from .sources.scratch import materialize
@@ -39,6 +40,7 @@ class Explorer:
         self.default = Weighting("default", dict(weights or DEFAULT_WEIGHTS), vectors, Corpus(vectors))
         self.custom: Weighting | None = None
         self.active = self.default
+        self.indexes: dict[str, TextIndex] = {}
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Explorer:
@@ -47,14 +49,24 @@ class Explorer:
         weights = read("weights").first()
         return cls(read("metadata"), read("embeddings"), read("groups"), {g: weights[f"weight_{g}"] for g in GROUPS}, read("knn_edges"))
 
+    def index_search(self) -> None:
+        """Make trigram indexes of titles and artists, which search reads from now on."""
+        songs = self.metadata.select("id", "title", "artist_name")
+        self.indexes = {column: TextIndex(songs, column, "id") for column in ("title", "artist_name")}
+
+    def _songs(self, text: str, column: str) -> DataFrame:
+        """The songs that a search for text must look at."""
+        if column in self.indexes:
+            return self.indexes[column].search(text)[0]
+        return self.metadata.select("id", "title", "artist_name")
+
     def search(self, query: str | None = None, artist: str | None = None, limit: int | None = None) -> DataFrame:
         """By title, or else by artist; neither gives nothing."""
-        songs = self.metadata.select("id", "title", "artist_name")
         if query:
-            return cleaning.search(songs, query, "title", limit, "id")
+            return cleaning.search(self._songs(query, "title"), query, "title", limit, "id")
         if artist:
-            return cleaning.search(songs, artist, "artist_name", limit, "id")
-        return songs.limit(0)
+            return cleaning.search(self._songs(artist, "artist_name"), artist, "artist_name", limit, "id")
+        return self.metadata.select("id", "title", "artist_name").limit(0)
 
     def song(self, song_id: int) -> dict:
         row = cleaning.lookup(self.metadata, song_id, "id").first().asDict()

@@ -4,6 +4,8 @@ Arrays are exploded to (id, pos, value) rows and doubles are rounded to six plac
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .operators import features as X
 from .operators import notes as N
 from .operators import vectors as V
 from .operators.metric_index import MetricIndex
+from .operators.text_index import TextIndex
 from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
 from .sources.keyed import KeyedTable
@@ -319,6 +322,18 @@ def search_title(spark, sf):
     return cleaning.search(tracks(spark, sf), "iNg", "title", limit=0).select("track_id", "title", "artist_name")
 
 
+_SOUGHT = ("red", "nut PL", "a", "#4", "e B", "no such title")
+
+
+@query(f"""WITH s(sought) AS (VALUES {", ".join(f"('{t}')" for t in _SOUGHT)})
+SELECT sought, p_partkey AS track_id, p_name AS title FROM part JOIN s ON contains(upper(p_name), upper(sought))""")
+def search_indexed(spark, sf):
+    """Several searches through one trigram index of all titles."""
+    index = TextIndex(tracks(spark, sf), "title", "track_id")
+    hits = [index.search(text)[0].select(F.lit(text).alias("sought"), "track_id", "title") for text in _SOUGHT]
+    return functools.reduce(DataFrame.union, hits)
+
+
 @query("SELECT p_partkey AS track_id, p_name AS title, p_brand AS artist_name FROM part WHERE contains(upper(p_brand), 'BRAND#1') ORDER BY 1 LIMIT 25")
 def search_artist(spark, sf):
     return cleaning.search(tracks(spark, sf), "brand#1", "artist_name", limit=25).select("track_id", "title", "artist_name")
@@ -492,7 +507,9 @@ def explorer_path(spark, sf):
 
 @query("SELECT p_partkey AS id, p_name AS title, p_brand AS artist_name FROM part WHERE contains(upper(p_name), 'RED') AND p_partkey IN (SELECT vec_id FROM embeddings)")
 def explorer_search(spark, sf):
-    return _explorer(spark, sf).search("red").select("id", "title", "artist_name")
+    explorer = _explorer(spark, sf)
+    explorer.index_search()
+    return explorer.search("red").select("id", "title", "artist_name")
 
 
 @query(f"""WITH {NOTES_SQL.split(",\nsong AS")[0]}

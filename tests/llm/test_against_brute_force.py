@@ -473,6 +473,33 @@ def test_edits(start, edits):
         assert tree.total() == len(REFERENCE(tree.text)) and tree.chars[1] == len(tree.text)
 
 
+SPECIAL = tuple(tokens.special_texts(tokens.default_paths()[0]))
+EVERY = tokens.reference_encoder(tokens.default_paths()[0], special=True)
+MARKED = token_counts.PieceCounts(tokens.encoder(*tokens.default_paths(), special=True))
+TORN = st.sampled_from(["<|endoftext|>", "<", "|", ">", "<|", "|>", "<|endof", "text|>", "endoftext", " ", "  ", "\n", "a", "1", "'s", "!"])
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(TORN, max_size=60), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 30), st.lists(TORN, max_size=4)), max_size=6))
+def test_edits_that_make_and_break_special_tokens(start, edits):
+    tree = token_counts.TokenTree("".join(start), MARKED, SPECIAL)
+    assert tree.total() == len(EVERY(tree.text))
+    for at, n, new in edits:
+        tree.edit(at, at + n, "".join(new))
+        assert tree.total() == len(EVERY(tree.text)) and tree.chars[1] == len(tree.text)
+
+
+def test_special_tokens_are_one_token(spark):
+    texts = ["a<|endoftext|>b", "words and words <|endoftext|>\n" * 40, "<|endoftext|>", "<|endof text|>", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts.count_tokens(docs).collect():
+        text = texts[r.doc_id] or ""
+        assert (r.n_chars, r.n_tokens) == (len(text), len(EVERY(text)))
+        for start, end, new in token_counts.sample_edits(text):
+            text = text[:start] + new + text[end:]
+        assert (r.n_chars_edited, r.n_tokens_edited) == (len(text), len(EVERY(text)))
+
+
 def test_many_edits_at_one_place_split_leaves():
     text = "The quick brown fox. " * 200
     tree = token_counts.TokenTree(text, token_counts.PieceCounts(ENCODE))

@@ -1,9 +1,10 @@
 """Edit-aware token counts: a segment tree over pre-tokens for each document.
 
-A byte-level BPE never merges across pre-tokens, so a document's count is the sum over its pre-tokens.
+A byte-level BPE never merges across pre-tokens, so a document's count is the sum over its pre-tokens.  The text of a special
+token is a pre-token of one id, as the encoder of `op1` has it; what lies between two is split by the vocabulary's pattern.
 Leaves hold runs of pre-tokens with their lengths in code points and tokens; inner nodes hold sums.  An edit
 re-splits the text from the last pre-token boundary that the edit can't have moved (the pattern looks at most two
-code points past a pre-token's end) until a new boundary falls on an old one past the edit: from there on
+code points past a pre-token's end, and a special token that the edit makes or breaks starts at most its length before) until a new boundary falls on an old one past the edit: from there on
 the old pre-tokens hold.  Only pre-tokens of that region are encoded, and the sums on the paths from the touched
 leaves to the root are updated.  A leaf that grows beyond 2 LEAF pre-tokens is split, and the sums over the leaves are made
 anew (one addition a leaf; nothing is encoded), so many edits at one place don't degrade the tree.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .tokens import default_paths, encoder
+from .tokens import default_paths, encoder, special_texts
 
 #: Pre-tokens of a leaf when a tree is built.
 LEAF = 32
@@ -38,6 +39,26 @@ def splitter():
     return regex.compile(pattern)
 
 
+@functools.lru_cache(maxsize=4)
+def special_pattern(texts: tuple[str, ...]):
+    """Finds special tokens, the longest of those that start at one place."""
+    import regex
+
+    return regex.compile("|".join(regex.escape(t) for t in sorted(texts, key=len, reverse=True)))
+
+
+def pre_tokens(text: str, place: int, specials: tuple[str, ...]) -> Iterator[str]:
+    """Pre-tokens from a boundary on, found as they are asked for."""
+    while place < len(text):
+        special = special_pattern(specials).search(text, place) if specials else None
+        for piece in splitter().finditer(text, place, special.start() if special else len(text)):
+            yield piece[0]
+        if not special:
+            return
+        yield special[0]
+        place = special.end()
+
+
 class PieceCounts(dict):
     """Tokens of a pre-token; at most _KEPT are kept."""
 
@@ -53,11 +74,12 @@ class PieceCounts(dict):
 
 
 class TokenTree:
-    """Token count of a text under edits."""
+    """Token count of a text under edits.  specials: texts that are one id each (counts must have them so)."""
 
-    def __init__(self, text: str, counts: PieceCounts):
-        self.counts, self.text, self.encoded = counts, text, 0
-        pieces = splitter().findall(text)
+    def __init__(self, text: str, counts: PieceCounts, specials: tuple[str, ...] = ()):
+        self.counts, self.text, self.encoded, self.specials = counts, text, 0, specials
+        self.look_ahead = _LOOK_AHEAD + max((len(t) - 1 for t in specials), default=0)
+        pieces = list(pre_tokens(text, 0, specials))
         self._build([(len(p), counts[p]) for p in pieces[s : s + LEAF]] for s in range(0, len(pieces), LEAF))
 
     def _build(self, leaves) -> None:
@@ -96,15 +118,15 @@ class TokenTree:
         end = min(max(start, end), n)
         text = self.text[:start] + new + self.text[end:]
         shift = len(text) - n
-        first, at = self._find(max(0, start - _LOOK_AHEAD - 1))
+        first, at = self._find(max(0, start - self.look_ahead - 1))
         keep = 0  # pre-tokens of the first leaf that the edit can't change
         rows = self.leaves[first]
-        while keep < len(rows) and at + rows[keep][0] + _LOOK_AHEAD <= start:
+        while keep < len(rows) and at + rows[keep][0] + self.look_ahead <= start:
             at += rows[keep][0]
             keep += 1
         old, leaf, k = at, first, keep  # boundary in the old text, and the old pre-token that starts there
         fresh: list[tuple[int, int]] = []
-        place = at
+        place, ahead = at, pre_tokens(text, at, self.specials)
         while True:
             while old < end or old + shift < place:  # the first old boundary that could match
                 while leaf < len(self.leaves) and k >= len(self.leaves[leaf]):
@@ -115,10 +137,9 @@ class TokenTree:
                 k += 1
             if old >= end and old + shift == place:
                 break
-            found = splitter().match(text, place)
-            if not found:
+            piece = next(ahead, None)
+            if piece is None:
                 break
-            piece = found[0]
             fresh.append((len(piece), self.counts[piece]))
             self.encoded += len(piece)
             place += len(piece)
@@ -154,12 +175,12 @@ def count_tokens(docs: DataFrame, edits=sample_edits, paths: tuple[str, str] | N
     columns = ["doc_id", "n_chars", "n_tokens", "n_chars_edited", "n_tokens_edited", "reencoded"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = PieceCounts(encoder(*paths))
+        counts, specials = PieceCounts(encoder(*paths, special=True)), tuple(special_texts(paths[0]))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                 text = text or ""
-                tree = TokenTree(text, counts)
+                tree = TokenTree(text, counts, specials)
                 before = tree.total()
                 for edit in edits(text):
                     tree.edit(*edit)

@@ -19,6 +19,7 @@ from .operators.metric_index import MetricIndex
 from .operators.text_index import TextIndex
 from .plans.weight_search import evaluate
 from .schemas import DEFAULT_WEIGHTS, GROUPS, VOCABULARY
+from .sources.arrays import read_arrays, write_arrays
 from .sources.keyed import KeyedTable
 from .sources.midi import read_midi, write_midi
 from .sources.scratch import materialize, work_path
@@ -523,6 +524,18 @@ def midi_files(spark, sf):
     return read_midi(spark, folder).select(F.col("track_id").cast("long").alias("track_id"), "is_drum", "pitch", "velocity", "onset", "release")
 
 
+@query("""SELECT vec_id AS id, len(embedding) AS dims, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, list_min(embedding)::DOUBLE AS least,
+       list_max(embedding)::DOUBLE AS most FROM embeddings""")
+def array_files(spark, sf):
+    """All vectors, each behind its id, written as npy files and read again."""
+    folder = work_path(spark, "arrays")
+    numbered = read_table(spark, sf, "embeddings").select("vec_id", F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("numbers"))
+    write_arrays(numbered, folder, "numbers", "vec_id")
+    values = F.slice("values", 2, F.size("values") - 1)
+    back = read_arrays(spark, folder).select(F.element_at("values", 1).cast("long").alias("id"), values.alias("v"))
+    return back.select("id", F.size("v").cast("long").alias("dims"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"), F.array_min("v").alias("least"), F.array_max("v").alias("most"))
+
+
 @query("""SELECT p_partkey::VARCHAR AS track_id, p_brand AS artist_name, 'a"b, c' AS artist_id, p_name AS title, 'None' AS song_id, p_type AS "release", NULL::VARCHAR AS genre,
        'x/' || p_partkey || '.mid' AS midi_path FROM part""")
 def metadata_csv(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonegraph.operators import knn
 from tonegraph.operators.metric_index import MetricIndex, Report, bounds
+from tonegraph.sources.scratch import materialize
 
 
 def table(kind, n=700, d=12, seed=3):
@@ -68,3 +69,60 @@ def test_a_corpus_is_sent_once(spark):
     assert corpus.nearest(df.where("id >= 5"), 2).count() + a == 100 and corpus._shared is shared
     corpus.close()
     assert corpus._shared is None
+
+
+def test_no_vector_is_copied_for_a_block(spark):
+    """What is exchanged and written grows with the rows, not with pairs of a query and a block, also where no bound rules out anything."""
+    tasks = lambda: spark._jsparkSession.sharedState().statusStore()
+    moved = {}
+    for n in (400, 1600):
+        x = table("uniform", n, 32)
+        df = materialize(frame(spark, x), "given")
+        before = executions(tasks())
+        report = Report()
+        found = MetricIndex(df, block=8).search(df, 3, report)
+        assert found.count() == 3 * n and report.skipped_share < 0.5
+        moved[n] = sum(rows for i, rows in executions(tasks()).items() if i not in before)
+    assert moved[1600] < 6 * moved[400]  # 16 times as many pairs
+
+
+def executions(store):
+    """Rows that each execution's plan exchanged."""
+    out = {}
+    listed = store.executionsList()
+    for i in range(listed.size()):
+        e = listed.apply(i)
+        values = store.executionMetrics(e.executionId())
+        total = 0
+        for j in range(e.metrics().size()):
+            m = e.metrics().apply(j)
+            if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                total += int(values.apply(m.accumulatorId()).replace(",", ""))
+        out[e.executionId()] = total
+    return out
+
+
+@pytest.mark.parametrize("d", [64, 301])
+def test_equal_vectors_tie_wherever_they_stand(spark, d):
+    """A matrix product may give equal vectors scores that differ in the last bit, and so a wrong order."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, d)), 7, axis=0)[rng.permutation(280)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, x)
+    same = {i: [j for j in range(280) if j != i and (x[j] == x[i]).all()] for i in range(280)}
+    for found in (MetricIndex(df, block=16).search(df, 6), knn.nearest(df, df, 6)):
+        got = {}
+        for r in found.orderBy("src", "rank").collect():
+            got.setdefault(r.src, []).append(r.dst)
+        assert got == same
+
+
+def test_distances_are_taken_in_pieces(spark):
+    """Chunks are cut by bytes, other queries than the corpus are found too, and several chunks ask at once."""
+    x = table("uniform", 500, 16)
+    df = frame(spark, x)
+    index = MetricIndex(df, block=16, chunk_bytes=40 * 16 * 8)
+    assert index.n_chunks >= 13 and index.chunks.agg(F.max(F.length("vectors"))).first()[0] <= 40 * 16 * 8
+    asked = df.where("id % 3 = 0")
+    key = lambda r: (r.src, r["rank"], r.dst)
+    assert sorted(map(key, index.search(asked, 4).collect())) == sorted(map(key, knn.nearest(asked, df, 4).collect()))

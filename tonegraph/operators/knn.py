@@ -1,7 +1,7 @@
 """Exact cosine neighbours.
 
 A corpus of a checked small size goes to every task; where the queries are few, they go to every task and the corpus is read once where
-it lies.  Otherwise both are compared by blocks of metric_index, each pair of blocks one matrix product in one task, and
+it lies.  Otherwise both are compared by blocks of metric_index, a chunk of queries and a stripe of the corpus in one task, and
 only the k best a query leave it.  A Corpus is sized, sent or indexed once, whatever the number of calls."""
 
 from __future__ import annotations
@@ -24,18 +24,29 @@ BROADCAST_BYTES = 64 << 20
 EDGE = "src long, dst long, score double"
 
 
+def rounding(vectors: np.ndarray, norm: float) -> np.ndarray:
+    """What a matrix product may be off by, for each vector, against vectors no longer than norm."""
+    return vectors.shape[1] * 2.0**-50 * np.sqrt((vectors**2).sum(1)) * norm
+
+
+def dots(left: np.ndarray, right: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, each summed in the same order: equal vectors have equal ones wherever they stand, as in a matrix product they may not."""
+    step = max(1, (1 << 20) // max(1, left.shape[1]))
+    return np.concatenate([np.empty(0), *[(left[row[s : s + step]] * right[col[s : s + step]]).sum(1) for s in range(0, len(row), step)]])
+
+
 def best_of(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int) -> pd.DataFrame:
     """k best of the corpus for each query, itself left out; ties by id."""
     out = []
-    order = np.argsort(corpus_ids, kind="stable")
-    corpus_ids, corpus = corpus_ids[order], corpus[order]
-    for s in range(0, len(ids), 256):
-        scores = vectors[s : s + 256] @ corpus.T
-        scores[ids[s : s + 256, None] == corpus_ids[None, :]] = -np.inf
-        n = min(k, len(corpus_ids))
-        floor = np.partition(scores, len(corpus_ids) - n, axis=1)[:, len(corpus_ids) - n]
+    n, norm = min(k, len(corpus_ids)), float(np.sqrt((corpus**2).sum(1).max()))
+    step = max(1, min(256, (1 << 21) // len(corpus_ids)))
+    for s in range(0, len(ids), step):
+        x = vectors[s : s + step]
+        scores = x @ corpus.T
+        scores[ids[s : s + step, None] == corpus_ids[None, :]] = -np.inf
+        floor = np.partition(scores, len(corpus_ids) - n, axis=1)[:, len(corpus_ids) - n] - rounding(x, norm)
         row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        frame = pd.DataFrame({"src": ids[s + row], "dst": corpus_ids[col], "score": scores[row, col]})
+        frame = pd.DataFrame({"src": ids[s + row], "dst": corpus_ids[col], "score": dots(x, corpus, row, col)})
         frame = frame.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
         out.append(frame.groupby("src", sort=False).head(k))
     return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
@@ -49,7 +60,7 @@ class Corpus:
     """Vectors (id, embedding) to compare with.  Its size, its broadcast and its blocks are made when first wanted and kept until close()."""
 
     def __init__(self, vectors: DataFrame, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES):
-        self.vectors, self.block, self.broadcast_bytes = vectors.select("id", "embedding"), block, broadcast_bytes
+        self.source, self.vectors, self.block, self.broadcast_bytes = vectors, vectors.select("id", "embedding"), block, broadcast_bytes
         self._shared = self._index = None
 
     @functools.cached_property
@@ -72,6 +83,7 @@ class Corpus:
         """As nearest(); report: a metric_index.Report that tells how many blocks were compared, where blocks are."""
         if k < 1:
             raise ValueError("k must be at least 1")
+        own = queries is self.source
         queries = queries.select("id", "embedding")
         context = self.vectors.sparkSession.sparkContext
         if self.small():
@@ -81,7 +93,7 @@ class Corpus:
         if queries.count() * self.size[1] <= min(self.broadcast_bytes, self.block * self.size[1]):
             wanted = context.broadcast(vectors_of(queries.toPandas()))  # of checked size
             return rank(self.vectors.mapInPandas(functools.partial(_with_few, wanted, k), EDGE), k)
-        return self.index().search(queries, k, report)
+        return self.index().search(self.vectors if own else queries, k, report)
 
     def close(self) -> None:
         """Gives the broadcast back; what was planned with it can't run any more."""

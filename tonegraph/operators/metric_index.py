@@ -1,43 +1,52 @@
 """Exact nearest vectors by blocks around pivots, most of which the triangle inequality rules out.
 
 Every vector lies in the cell of its nearest pivot, and a cell is cut by distance to the pivot into rings of at most `block` vectors.
-Of a block only the pivot, the least and the largest distance and the largest norm are known to all tasks.  For a
+Of a block only the pivot, the least and the largest distance and the largest norm are looked at first.  For a
 query at distance d from the pivot, each vector x of a ring [low, high] is at least g = max(d - high, low - d, 0) away, so that its
-inner product with the query is at most (|q|^2 + |x|^2 - g^2) / 2.  Each query takes blocks in the order of that bound, a few
-first and then more in each round, and stops once the next bound is below its k-th best so far.  The order never
-changes, so a number says what a query has searched.
+inner product with the query is at most (|q|^2 + |x|^2 - g^2) / 2.  A block whose bound is below a query's k-th best so far
+is left out.
 
-Pairs of a query and a block are made only where the bound allows; a block that very many queries want is copied once for
-each `block` of them, so no task gets more than a block of either side.  Pivots and rings have a bound in bytes; each round is a written
-table.  The worst case, where no bound rules out anything, is the work of comparing all with all, in a number of rounds
-that grows with the logarithm of the blocks."""
+Blocks that stand side by side are one row of a written table, a chunk: a matrix of at most CHUNK_BYTES.  Queries are chunks of
+the same kind, and where the corpus itself asks they are its own.  A task reads one chunk of queries and a stripe of the corpus' chunks,
+one after another, from the table, so that no vector is copied for a query or a block: an exchange moves the vectors once when the index is
+made, other queries once, and k rows for each query and stripe.  The more chunks there are the fewer the stripes, down to one.
+The worst case, where no bound rules out anything, is the work of comparing all with all, with the same memory."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .knn import BLOCK, EDGE, best_of, rank, vectors_of
+from .knn import BLOCK, EDGE, dots, rank, rounding, vectors_of
 
 #: Bytes of all pivots, and number of all blocks, at most; blocks grow beyond it.
-PIVOT_BYTES, MOST_BLOCKS = 64 << 20, 1 << 20
-#: Blocks that a query takes in the first round, and how many times more in each further one.
-FIRST, MORE = 4, 4
+PIVOT_BYTES, MOST_BLOCKS = 8 << 20, 1 << 20
+#: Bytes of a chunk's vectors, at most.
+CHUNK_BYTES = 16 << 20
+#: Blocks of a chunk that queries take before the others, and rows beside a query among which it looks for a first k-th best.
+FIRST, BESIDE = 4, 256
+#: Numbers of one matrix within a task.
+CELLS = 1 << 21
 #: Share of the squared norms by which a bound may be off through rounding.
 ROUNDING = 1e-6
 
+CHUNK = "chunk long, ids binary, vectors binary, rings array<struct<block: long, start: int, cell: long, low: double, high: double, sq: double>>"
+#: A chunk is a page and a row of its own: the writer holds no more than one.
+ONE_BY_ONE = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
 
 @dataclass
 class Report:
-    """Pairs of a query and a block, how many of them were compared, and in how many rounds."""
+    """Pairs of a query and a block, how many of them were compared (once or again, as what stands beside a query is), and in how many rounds."""
 
     pairs: int = 0
     searched: int = 0
@@ -56,112 +65,221 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def bounds(queries: np.ndarray, pivots: np.ndarray, rings: np.ndarray) -> np.ndarray:
     """Upper bound of a query's inner product with any vector of each block.  rings: cell, low, high, largest squared norm."""
     own = (queries**2).sum(1)[:, None]
-    away = _distances(queries, pivots)[:, rings[:, 0].astype("i8")]
+    cells, at = np.unique(rings[:, 0].astype("i8"), return_inverse=True)
+    away = _distances(queries, pivots[cells])[:, at]
     gap = np.maximum(np.maximum(away - rings[:, 2], rings[:, 1] - away), 0.0)
     most = np.minimum((own + rings[:, 3] - gap**2) / 2, np.sqrt(own * rings[:, 3]))
     return most + ROUNDING * (own + rings[:, 3])
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch that is not empty."""
+    return batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _place(pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, embedding, cell, far."""
+    for batch in batches:
+        if batch.num_rows:
+            x, cell, far = _matrix(batch), [], []
+            step = max(1, CELLS // max(len(pivots.value), x.shape[1]))
+            for s in range(0, len(x), step):
+                away = _distances(x[s : s + step], pivots.value)
+                cell.append(away.argmin(1))
+                far.append(away[np.arange(len(away)), cell[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(np.concatenate(cell)), pa.array(np.concatenate(far))], ["id", "embedding", "cell", "far"])
+
+
+def _pack(block: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A CHUNK for every `most` rows; a new block where the cell changes or the block is full.  Rows come in order of cell and far."""
+    made, named, held, parts = 0, 0, 0, []
+    base = TaskContext.get().partitionId() << 32
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("rings", pa.list_(pa.struct([("block", pa.int64()), ("start", pa.int32()), ("cell", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("sq", pa.float64())])))])
+
+    def chunk() -> pa.RecordBatch:
+        nonlocal made, named
+        ids, x, cell, far = (np.concatenate(column) for column in zip(*parts, strict=True))
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        starts = np.concatenate([np.arange(a, b, block) for a, b in zip(first, np.r_[first[1:], len(cell)], strict=True)])
+        names = base + named + np.arange(len(starts))
+        low, high, sq = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts), np.maximum.reduceat((x**2).sum(1), starts)
+        rings = [dict(zip(("block", "start", "cell", "low", "high", "sq"), r, strict=True)) for r in zip(names.tolist(), starts.tolist(), cell[starts].tolist(), low.tolist(), high.tolist(), sq.tolist(), strict=True)]
+        row = [[base + made], [ids.astype("i8").tobytes()], [np.ascontiguousarray(x, "f8").tobytes()], [rings]]
+        made, named = made + 1, named + len(starts)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            piece = batch.slice(at, most - held)
+            parts.append((piece.column("id").to_numpy(), _matrix(piece), piece.column("cell").to_numpy(), piece.column("far").to_numpy()))
+            at, held = at + piece.num_rows, held + piece.num_rows
+            if held == most:
+                yield chunk()
+                held, parts = 0, []
+    if parts:
+        yield chunk()
+
+
+class _Chunk:
+    """A row of CHUNK as arrays; ids and vectors are not copied."""
+
+    def __init__(self, ids: pa.Scalar, vectors: pa.Scalar, rings: pa.Scalar):
+        self.ids = np.frombuffer(ids.as_buffer(), "i8")
+        self.x = np.frombuffer(vectors.as_buffer(), "f8").reshape(len(self.ids), -1)
+        held = rings.values
+        self.names, self.starts = (held.field(c).to_numpy().astype("i8") for c in ("block", "start"))
+        self.rings = np.stack([held.field(c).to_numpy().astype("f8") for c in ("cell", "low", "high", "sq")], axis=1)
+        self.ends = np.r_[self.starts[1:], len(self.ids)]
+        self.norm = math.sqrt(self.rings[:, 3].max())
+
+
+class _Best:
+    """The k best so far of each query of a chunk."""
+
+    def __init__(self, queries: _Chunk, k: int, block: int, own: bool):
+        """own: queries are vectors of the corpus, so what stands beside a query has a k-th best that a search can't fall below."""
+        self.queries, self.k, self.searched = queries, k, 0
+        n = len(queries.ids)
+        self.step = max(1, min(256, block, CELLS // max(n, 1)))
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), -1, "i8")
+        self.least = np.full(n, -np.inf)
+        for s in range(0, n, self.step) if own else ():
+            e = min(n, s + self.step)
+            a, b = np.searchsorted(queries.starts, (s, e - 1), "right") - 1
+            low, high = max(queries.starts[a], s - BESIDE), min(queries.ends[b], e + BESIDE)
+            near = queries.x[s:e] @ queries.x[low:high].T
+            near[queries.ids[s:e, None] == queries.ids[None, low:high]] = -np.inf
+            if near.shape[1] >= k:
+                self.least[s:e] = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - rounding(queries.x[s:e], queries.norm)
+
+    def compare(self, corpus: _Chunk, pivots: np.ndarray) -> None:
+        for s in range(0, len(self.queries.ids), self.step):
+            x = self.queries.x[s : s + self.step]
+            bound = bounds(x, pivots, corpus.rings)
+            order = np.argsort(-bound.max(0), kind="stable")
+            done = order[:0]
+            for blocks in (order[:FIRST], order[FIRST:]):
+                blocks = blocks[(bound[:, blocks] >= self.least[s : s + self.step, None]).any(0)]
+                if len(blocks):
+                    self.searched += len(x) * self._take(s, x, corpus, blocks, done)
+                done = order[:FIRST]
+
+    def _take(self, s: int, x: np.ndarray, corpus: _Chunk, blocks: np.ndarray, done: np.ndarray) -> int:
+        """Compares with the blocks, or with all but those done; returns how many that were."""
+        rows = lambda some: np.concatenate([np.arange(corpus.starts[b], corpus.ends[b]) for b in some])
+        last = len(done) or len(corpus.starts) <= FIRST  # else those that follow would be taken twice
+        if last and 2 * len(blocks) > len(corpus.starts):  # most of them: the matrix as it is, without a copy
+            at, scores, n = None, x @ corpus.x.T, len(corpus.starts) - len(done)
+            if len(done):
+                scores[:, rows(done)] = -np.inf
+        else:
+            at, n = rows(np.sort(blocks)), len(blocks)
+            scores = x @ corpus.x[at].T
+        least = self.least[s : s + len(x)] - rounding(x, corpus.norm)
+        row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        col = col if at is None else at[col]
+        other = self.queries.ids[s + row] != corpus.ids[col]
+        row, col = row[other], col[other]
+        score = dots(x, corpus.x, row, col)
+        mine = np.repeat(np.arange(len(x)), self.k)
+        row, score = np.r_[row, mine], np.r_[score, self.score[s : s + len(x)].ravel()]
+        ids = np.r_[corpus.ids[col], self.id[s : s + len(x)].ravel()]
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.score[s + row[kept], place[kept]], self.id[s + row[kept], place[kept]] = score[kept], ids[kept]
+        self.least[s : s + len(x)] = np.maximum(self.least[s : s + len(x)], self.score[s : s + len(x), -1])
+        return n
+
+
+def _search(pivots, k: int, block: int, own: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst, score and, in one row of each chunk of queries, the pairs of a query and a block that were compared."""
+    best: dict[int, _Best] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cell = lambda name: batch.column(name)[i]  # noqa: E731, B023
+            name = cell("q_chunk").as_py()
+            if name not in best:  # the task's queries stay as long as it reads the corpus
+                best[name] = _Best(_Chunk(pa.scalar(cell("q_ids").as_py()), pa.scalar(cell("q_vectors").as_py()), cell("q_rings")), k, block, own)
+            best[name].compare(_Chunk(cell("ids"), cell("vectors"), cell("rings")), pivots.value)
+    for b in best.values():
+        row, place = np.nonzero(b.score > -np.inf)
+        for s in range(0, len(row), CELLS // 8):
+            r, p = row[s : s + CELLS // 8], place[s : s + CELLS // 8]
+            searched = np.zeros(len(r), "i8")
+            searched[0] = b.searched if s == 0 else 0
+            yield pa.RecordBatch.from_arrays([pa.array(b.queries.ids[r]), pa.array(b.id[r, p]), pa.array(b.score[r, p]), pa.array(searched)], ["src", "dst", "score", "searched"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, embedding, block of the vectors in chunks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            c = _Chunk(batch.column("ids")[i], batch.column("vectors")[i], batch.column("rings")[i])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, c.x.size + 1, c.x.shape[1]), pa.int32()), pa.array(c.x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids), lists, pa.array(np.repeat(c.names, c.ends - c.starts))], ["id", "embedding", "block"])
+
+
 class MetricIndex:
     """The blocks of a corpus (id, embedding)."""
 
-    def __init__(self, corpus: DataFrame, block: int = BLOCK, pivot_bytes: int = PIVOT_BYTES, count: int | None = None):
-        corpus = corpus.select("id", "embedding")
-        self.spark, n = corpus.sparkSession, corpus.count() if count is None else count
-        self.block = max(block, math.ceil(n / MOST_BLOCKS))
+    def __init__(self, corpus: DataFrame, block: int = BLOCK, pivot_bytes: int = PIVOT_BYTES, count: int | None = None, chunk_bytes: int = CHUNK_BYTES):
+        self.source, self.spark = corpus, corpus.sparkSession
+        corpus = self._vectors(corpus)
+        n = corpus.count() if count is None else count
         width = (corpus.agg(F.max(F.size("embedding"))).first()[0] or 1) * 8
+        self.most = max(1, chunk_bytes // width)
+        self.block = max(min(block, self.most), math.ceil(n / MOST_BLOCKS))
         wanted = max(1, min(math.ceil(n / self.block), pivot_bytes // width))
         drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()  # of a checked size
-        pivots = self.spark.sparkContext.broadcast(vectors_of(drawn)[1])
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = vectors_of(batch)[1]
-                    away = _distances(x, pivots.value)
-                    cell = away.argmin(1)
-                    yield batch.assign(cell=cell, far=away[np.arange(len(x)), cell], sq=(x**2).sum(1))
-
-        row = "id long, embedding array<double>, cell long, far double, sq double"
-        placed = materialize(corpus.mapInPandas(place, row), "placed")
-        parts = max(1, min(math.ceil(n / self.block), 8 * self.spark.sparkContext.defaultParallelism))
-        size = self.block
-
-        def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """A new block where the cell changes or the block is full."""
-            at, cell, held = TaskContext.get().partitionId() << 32, None, 0
-            for batch in batches:
-                blocks = np.empty(len(batch), "i8")
-                for i, c in enumerate(batch["cell"].to_numpy()):
-                    if cell is not None and (c != cell or held == size):
-                        at, held = at + 1, 0
-                    blocks[i], cell, held = at, c, held + 1
-                yield batch.assign(block=blocks)
+        self.pivots = self.spark.sparkContext.broadcast(vectors_of(drawn)[1])
+        self.chunks = self._packed(corpus, n)
+        found = self.chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("rings")).alias("blocks")).first()
+        self.n_chunks, self.n_blocks = found["n"], found["blocks"] or 0
+
+    @staticmethod
+    def _vectors(table: DataFrame) -> DataFrame:
+        return table.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
+    def _packed(self, vectors: DataFrame, n: int) -> DataFrame:
+        """Vectors as a table of chunks: as many as keep all cores busy when each meets each, and more where memory asks for it."""
+        even = math.ceil(n / math.ceil(math.sqrt(3 * self.spark.sparkContext.defaultParallelism)))
+        rows = min(max(1, 3 * self.most // 4), max(even, min(8 * self.block, BLOCK)))
         order = ["cell", "far", "id"]
-        dealt = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        self.blocks = materialize(dealt.mapInPandas(number, f"{row}, block long"), "blocks")
-        found = self.blocks.groupBy("block").agg(F.min("cell").alias("cell"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("sq").alias("sq"))
-        rings = found.orderBy("block").toPandas()  # a row for each block
-        self.names, self.pivots = rings["block"].to_numpy("i8"), pivots
-        self.rings = self.spark.sparkContext.broadcast((self.names, rings[["cell", "low", "high", "sq"]].to_numpy("f8")))
-
-    def _pick(self, state: DataFrame, most: int) -> DataFrame:
-        """id, embedding, done, blocks: the next blocks of each query that its bound allows."""
-        pivots, shared = self.pivots, self.rings
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, rings = shared.value
-            for batch in batches:
-                picked: list[np.ndarray] = []
-                x = vectors_of(batch)[1]
-                for s in range(0, len(batch), 64):
-                    bound = bounds(x[s : s + 64], pivots.value, rings)
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    for i, (done, least) in enumerate(zip(batch["done"].iloc[s : s + 64], batch["least"].iloc[s : s + 64], strict=True)):
-                        following = order[i, int(done) : int(done) + most]
-                        picked.append(names[following[bound[i, following] >= least]])
-                yield pd.DataFrame({"id": batch["id"], "embedding": batch["embedding"], "done": batch["done"], "blocks": picked})
-
-        return state.mapInPandas(run, "id long, embedding array<double>, done long, blocks array<long>")
-
-    def _compare(self, wanted: DataFrame, k: int) -> DataFrame:
-        """src, dst, score: the k best of each query in each of its blocks."""
-        pairs = wanted.select("id", "embedding", F.explode("blocks").alias("block"))
-        asked = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.ceil(F.col("n") / self.block).alias("chunks"))
-        asked = materialize(asked, "asked")
-        left = pairs.join(asked, "block").select("id", "embedding", "block", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
-        right = self.blocks.select("id", "embedding", "block").join(asked, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-
-        def cross(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(rows):
-                return pd.DataFrame({"src": pd.Series(dtype="i8"), "dst": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
-            return best_of(*vectors_of(queries), *vectors_of(rows), k)
-
-        return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(cross, EDGE)
+        placed = vectors.mapInArrow(functools.partial(_place, self.pivots), "id long, embedding array<double>, cell long, far double")
+        dealt = placed.repartitionByRange(max(1, math.ceil(n / rows)), *order).sortWithinPartitions(*order)
+        return materialize(dealt.mapInArrow(functools.partial(_pack, self.block, self.most), CHUNK), "chunks", **ONE_BY_ONE)
+
+    @property
+    def blocks(self) -> DataFrame:
+        """id, embedding, block of all vectors."""
+        return self.chunks.mapInArrow(_rows, "id long, embedding array<double>, block long")
+
+    @functools.cached_property
+    def rings(self):
+        """Names of all blocks, and cell, least and largest distance, and largest squared norm of each, as a broadcast."""
+        rings = self.chunks.select(F.inline("rings")).orderBy("block").toPandas()  # a row for each block
+        return self.spark.sparkContext.broadcast((rings["block"].to_numpy("i8"), rings[["cell", "low", "high", "sq"]].to_numpy("f8")))
 
     def search(self, queries: DataFrame, k: int, report: Report | None = None) -> DataFrame:
         """src, dst, score, rank: the k vectors with the largest inner product for each query (id, embedding), never itself."""
-        report = report or Report()
-        edges, most = None, FIRST
-        if not len(self.names):
+        if not self.n_chunks:
             return rank(self.spark.createDataFrame([], EDGE), k)
-        state = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0).cast("long").alias("done"), F.lit(float("-inf")).alias("least"))
-        while True:
-            picked = materialize(self._pick(state, most), "picked")
-            row = picked.agg(F.count(F.lit(1)), F.sum(F.size("blocks"))).first()
-            if not row[1]:
-                break
-            report.pairs = row[0] * len(self.names) if edges is None else report.pairs
-            report.searched, report.rounds = report.searched + row[1], report.rounds + 1
-            found = self._compare(picked, k)
-            found = found if edges is None else edges.select("src", "dst", "score").union(found)
-            edges = materialize(rank(found, k), "edges")
-            kept = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score"))
-            kept = kept.select("id", F.when(F.col("n") >= k, F.col("score")).alias("least"))
-            more = picked.where(F.size("blocks") == most)  # one that was stopped by its bound is done
-            state = more.join(kept, "id", "left").select("id", "embedding", (F.col("done") + F.size("blocks")).alias("done"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-            most *= MORE
-        if edges is None:
+        own, asking = queries is self.source, self.chunks
+        if not own:
+            queries = self._vectors(queries)
+            asking = self._packed(queries, queries.count())
+        n_asking = self.n_chunks if own else asking.count()
+        if not n_asking:
             return rank(self.spark.createDataFrame([], EDGE), k)
-        return edges
+        stripes = min(self.n_chunks, math.ceil(3 * self.spark.sparkContext.defaultParallelism / n_asking))
+        asking = asking.select([F.col(c).alias(f"q_{c}") for c in asking.columns]).coalesce(n_asking)
+        crossed = self.chunks.coalesce(stripes).crossJoin(asking.hint("shuffle_replicate_nl"))
+        found = crossed.mapInArrow(functools.partial(_search, self.pivots, k, self.block, own), f"{EDGE}, searched long")
+        found = materialize(found, "edges")
+        if report is not None:
+            n = asking.agg(F.sum(F.length("q_ids") / 8)).first()[0]
+            report.pairs, report.searched, report.rounds = int(n) * self.n_blocks, found.agg(F.sum("searched")).first()[0] or 0, 1
+        return rank(found.select("src", "dst", "score"), k)

@@ -126,3 +126,19 @@ def test_distances_are_taken_in_pieces(spark):
     asked = df.where("id % 3 = 0")
     key = lambda r: (r.src, r["rank"], r.dst)
     assert sorted(map(key, index.search(asked, 4).collect())) == sorted(map(key, knn.nearest(asked, df, 4).collect()))
+
+
+def test_a_worker_holds_little_of_a_large_corpus(spark):
+    """What is compared at once has a bound, and a corpus of more than 8 MiB is not sent whole."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, ids = rng.normal(size=(60_000, 4)), np.arange(60_000)
+    tracemalloc.start()
+    found = knn.best_of(ids[:256], x[:256], ids, x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3 * 256 and peak < 100 << 20
+    corpus = knn.Corpus(spark.range(20_000).select("id", F.array_repeat(F.col("id").cast("double"), 64).alias("embedding")))
+    assert not corpus.small()
+    assert [r.dst for r in corpus.nearest(corpus.vectors.where("id = 5"), 2).orderBy("rank").collect()] == [19_999, 19_998] and corpus._shared is None

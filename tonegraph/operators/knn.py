@@ -20,7 +20,7 @@ from ..schemas import GROUPS
 
 #: Vectors of one block, and bytes up to which the corpus is sent to every task.
 BLOCK = 4096
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20
 EDGE = "src long, dst long, score double"
 
 

@@ -38,3 +38,15 @@ def test_features_equal_those_of_loose_notes(spark, small, table):
     loose = N.song_notes(notes(spark, small))
     plain = lambda df: sorted(str(r) for r in df.collect())
     assert plain(X.vector_features(table)) == plain(X.vector_features(loose))
+
+
+def test_tasks_hold_a_bounded_number_of_notes(spark, small, monkeypatch):
+    """Partitions by track grow in number with the notes, and nothing joins them again on the way to the n-gram counts."""
+    from tonegraph import queries as core
+
+    monkeypatch.setattr(N, "TASK_NOTES", 25)
+    found = notes(spark, small)
+    parts = N.task_count(found)
+    assert parts == -(-found.count() // 25) > 8
+    counted = core.queries()["ngram_counts"](spark, small)
+    assert counted.rdd.getNumPartitions() == 2 * parts or counted.rdd.getNumPartitions() == parts

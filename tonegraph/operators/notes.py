@@ -12,14 +12,24 @@ from ..sources.scratch import bucket_count, bucketed
 
 LOW_MAX, MID_MAX = 48, 72
 LEAST_NOTES = 5
+#: Notes of one task: windows and groupings by track stand side by side in it, each with a sort of its own.
+TASK_NOTES = 200_000
 
 
-def song_notes(notes: DataFrame, least: int = LEAST_NOTES) -> DataFrame:
-    """Notes of the tracks with at least `least` non-drum notes."""
+def song_notes(notes: DataFrame, least: int = LEAST_NOTES, parts: int | None = None) -> DataFrame:
+    """Notes of the tracks with at least `least` non-drum notes.
+
+    parts: partitions by track, which all that goes by track keeps, as task_count gives them; else Spark joins small ones to larger."""
+    notes = notes if parts is None else notes.repartition(parts, "track_id")
     count = F.count_if(~F.col("is_drum")).over(W.partitionBy("track_id"))
     return notes.where(F.col("pitch").isNotNull()).withColumn("__n", count).where(F.col("__n") >= least).drop("__n")
 
 
+def task_count(notes: DataFrame) -> int:
+    """A task for each TASK_NOTES notes."""
+    return bucket_count(notes, TASK_NOTES)
+
+
 def note_table(notes: DataFrame, least: int = LEAST_NOTES, buckets: int | None = None) -> DataFrame:
     """song_notes as a table bucketed by track and sorted by onset: what groups, joins or orders by track reads it in place."""
     return bucketed(song_notes(notes, least), "notes", ["track_id"], ["track_id", "onset", "note_seq"], buckets or bucket_count(notes))

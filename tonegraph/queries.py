@@ -62,7 +62,8 @@ def r6(column: str):
 
 
 def song(spark: SparkSession, sf: str) -> DataFrame:
-    return N.song_notes(notes(spark, sf))
+    found = notes(spark, sf)
+    return N.song_notes(found, parts=N.task_count(found))
 
 
 def fixed_song(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,9 +73,9 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
     return df
 
 
-def bucket_count(df: DataFrame) -> int:
-    """A bucket for each BUCKET_ROWS rows of df, at least as many as there are cores and at most MOST_BUCKETS."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS)))
+def bucket_count(df: DataFrame, rows: int = BUCKET_ROWS) -> int:
+    """A bucket for each `rows` rows of df, at least as many as there are cores and at most MOST_BUCKETS."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-df.count() // rows)))
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int) -> DataFrame:

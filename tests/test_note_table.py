@@ -50,3 +50,11 @@ def test_tasks_hold_a_bounded_number_of_notes(spark, small, monkeypatch):
     assert parts == -(-found.count() // 25) > 8
     counted = core.queries()["ngram_counts"](spark, small)
     assert counted.rdd.getNumPartitions() == 2 * parts or counted.rdd.getNumPartitions() == parts
+
+
+def test_buckets_grow_with_the_notes(spark, small, monkeypatch):
+    """A bucket is a task in which all families of features sort their notes."""
+    monkeypatch.setattr(N, "TASK_NOTES", 25)
+    found = notes(spark, small)
+    held = N.note_table(found)
+    assert len({name.rsplit("_", 1)[1] for name in held.inputFiles()}) > 8 and held.count() == N.song_notes(found).count()

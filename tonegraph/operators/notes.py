@@ -32,7 +32,7 @@ def task_count(notes: DataFrame) -> int:
 
 def note_table(notes: DataFrame, least: int = LEAST_NOTES, buckets: int | None = None) -> DataFrame:
     """song_notes as a table bucketed by track and sorted by onset: what groups, joins or orders by track reads it in place."""
-    return bucketed(song_notes(notes, least), "notes", ["track_id"], ["track_id", "onset", "note_seq"], buckets or bucket_count(notes))
+    return bucketed(song_notes(notes, least), "notes", ["track_id"], ["track_id", "onset", "note_seq"], buckets or task_count(notes))
 
 
 def melodic(song: DataFrame, low_max: int = LOW_MAX, mid_max: int = MID_MAX) -> DataFrame:

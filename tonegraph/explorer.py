@@ -108,19 +108,18 @@ class Explorer:
     def neighbours(self, song_id: int, k: int = 10) -> DataFrame:
         """id, title, artist_name, score of the k most alike songs, best first."""
         self._check(song_id, k)
-        found = self._edges(self._only(song_id), k).withColumnRenamed("dst", "id")
-        named = found.join(self.metadata.select("id", "title", "artist_name"), "id", "left")
-        return named.orderBy("rank").select("id", "title", "artist_name", "score")
+        found = materialize(self._edges(self._only(song_id), k), "edges").withColumnRenamed("dst", "id")
+        return graph.named(found, self.metadata).orderBy("rank").select("id", "title", "artist_name", "score")
 
     def graph(self, song_id: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
         self._check(song_id, k)
-        return graph.one_hop(self._edges(self._only(song_id), k), song_id, self.metadata)
+        return graph.one_hop(materialize(self._edges(self._only(song_id), k), "edges"), song_id, self.metadata)
 
     def two_hop_graph(self, song_id: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
         self._check(song_id, k)
         first = materialize(self._edges(self._only(song_id), k), "edges")
         second = self._edges(first.select(F.col("dst").alias("id")), k)
-        return graph.two_hop(first.union(second.select(first.columns)), song_id, self.metadata)
+        return graph.two_hop(materialize(first.union(second.select(first.columns)), "edges"), song_id, self.metadata)
 
     def path(self, start: int, end: int, k: int = 10):
         """nodes, edges, total cost; empty tables and None if end can't be reached."""

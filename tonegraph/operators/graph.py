@@ -13,13 +13,15 @@ from .knn import nearest
 _TYPES = ("query", "hop_1", "hop_2")
 
 
-def _named(ids: DataFrame, metadata: DataFrame) -> DataFrame:
-    return ids.join(metadata.select("id", "title", "artist_name"), "id", "left")
+def named(ids: DataFrame, metadata: DataFrame) -> DataFrame:
+    """ids with title and artist_name.  They are few (a path, or up to two hops), so they go to the metadata, which is not sent anywhere."""
+    found = metadata.select("id", "title", "artist_name").join(F.broadcast(ids.select("id")), "id", "left_semi")
+    return ids.join(found, "id", "left")
 
 
 def _typed(ranks: DataFrame, metadata: DataFrame) -> DataFrame:
     best = ranks.groupBy("id").agg(F.min("rank").alias("rank"))
-    return _named(best.select("id", F.get(F.array(*[F.lit(t) for t in _TYPES]), F.col("rank")).alias("type")), metadata)
+    return named(best.select("id", F.get(F.array(*[F.lit(t) for t in _TYPES]), F.col("rank")).alias("type")), metadata)
 
 
 def one_hop(edges: DataFrame, root: int, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +76,7 @@ def shortest_path(edges: DataFrame | Callable[[DataFrame], DataFrame], start: in
     node = lambda i, t, p: (i, t, p)
     if start == end:
         nodes = spark.createDataFrame([node(start, "start", 0)], "id long, type string, position int")
-        return _named(nodes, metadata), spark.createDataFrame([], walk), 0.0
+        return named(nodes, metadata), spark.createDataFrame([], walk), 0.0
     known = spark.createDataFrame([(start, 0.0, 0, None)], steps)
     frontier, total = known, None
     while True:
@@ -95,15 +97,15 @@ def shortest_path(edges: DataFrame | Callable[[DataFrame], DataFrame], start: in
         frontier = known.where("open").select("id", "cost", "hops", "previous")
         known = known.select("id", "cost", "hops", "previous")
     if total is None:
-        return _named(spark.createDataFrame([], "id long, type string, position int"), metadata), spark.createDataFrame([], walk), None
+        return named(spark.createDataFrame([], "id long, type string, position int"), metadata), spark.createDataFrame([], walk), None
     path, at = [end], end
     while at != start:  # one look-up for each step of the path
         at = known.where(F.col("id") == at).select("previous").first()[0]
         path.append(at)
     path.reverse()
     typed = [node(i, "start" if i == start else "end" if i == end else "path", p) for p, i in enumerate(path)]
-    nodes = _named(spark.createDataFrame(typed, "id long, type string, position int"), metadata)
+    nodes = named(spark.createDataFrame(typed, "id long, type string, position int"), metadata)
     pairs = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(zip(path, path[1:], strict=False))], "position int, source long, target long")
-    joined = pairs.join(table, (F.col("source") == F.col("src")) & (F.col("target") == F.col("dst")))
+    joined = F.broadcast(pairs).join(table, (F.col("source") == F.col("src")) & (F.col("target") == F.col("dst")))
     walked = joined.select("position", "source", "target", F.col("score").alias("similarity"), (1 - F.col("score")).alias("cost"))
     return nodes, walked, total

@@ -26,11 +26,13 @@ from .sources.scratch import materialize, work_path
 from .sources.tables import (
     NOTES_SQL,
     SLICES,
+    names,
     notes,
     read_metadata_csv,
     read_table,
     tracks,
     vector_groups,
+    vector_names,
     vectors,
     write_csv,
     write_parquet,
@@ -422,10 +424,10 @@ _NAMED_SQL = "LEFT JOIN part ON p_partkey = id"
 SELECT src AS source, dst AS target, round(score, 6) AS weight, p_name AS target_title, p_brand AS target_artist FROM kn LEFT JOIN part ON p_partkey = dst""")
 def one_hop_graph(spark, sf):
     found = vectors(spark, sf)
-    edges = knn.nearest(found.where(F.col("id") == ROOT), found, K_GRAPH)
-    nodes, out = graph.one_hop(edges, ROOT, found)
-    names = nodes.select(F.col("id").alias("target"), F.col("title").alias("target_title"), F.col("artist_name").alias("target_artist"))
-    return out.join(names, "target").select("source", "target", r6("weight"), "target_title", "target_artist")
+    edges = materialize(knn.nearest(found.where(F.col("id") == ROOT), found, K_GRAPH), "edges")
+    nodes, out = graph.one_hop(edges, ROOT, names(spark, sf))
+    targets = nodes.select(F.col("id").alias("target"), F.col("title").alias("target_title"), F.col("artist_name").alias("target_artist"))
+    return out.join(targets, "target").select("source", "target", r6("weight"), "target_title", "target_artist")
 
 
 _TWO_HOP_SQL = f"""
@@ -437,8 +439,7 @@ no AS (SELECT id, min(r) AS r FROM (SELECT {ROOT} AS id, 0 AS r UNION ALL SELECT
 
 
 def _two_hop(spark, sf):
-    found = vectors(spark, sf)
-    return graph.two_hop(graph.two_hop_edges(found, ROOT, K_GRAPH), ROOT, found)
+    return graph.two_hop(graph.two_hop_edges(vectors(spark, sf), ROOT, K_GRAPH), ROOT, names(spark, sf))
 
 
 @query(f"WITH {_TWO_HOP_SQL} SELECT id::BIGINT AS id, ['query', 'hop_1', 'hop_2'][r + 1] AS type, p_name AS title, p_brand AS artist_name FROM no {_NAMED_SQL}")
@@ -466,7 +467,7 @@ FROM st JOIN kn ON src = source AND dst = target""")
 def shortest_path(spark, sf):
     found = vectors(spark, sf)
     known = materialize(knn.nearest(found, found, K), "edges")
-    nodes, edges, total = graph.shortest_path(known, *PATH, found)
+    nodes, edges, total = graph.shortest_path(known, *PATH, names(spark, sf))
     return edges.select("position", "source", "target", r6("similarity"), r6("cost"), F.round(F.lit(total).cast("double"), 6).alias("total_cost"))
 
 
@@ -477,7 +478,7 @@ def _explorer(spark, sf, k: int | None = None) -> Explorer:
     """Over the tables; with k, its neighbour edges are kept as a build keeps them."""
     found = vectors(spark, sf)
     edges = materialize(knn.nearest(found, found, k), "edges") if k else None
-    return Explorer(found.drop("embedding", "label"), found.select("id", "embedding"), vector_groups(found).drop("label"), {g: 1.0 for g in GROUPS}, edges)
+    return Explorer(vector_names(spark, sf), found.select("id", "embedding"), vector_groups(found).drop("label"), {g: 1.0 for g in GROUPS}, edges)
 
 
 @query(f"WITH {_knn_sql(K, str(ROOT))} SELECT dst AS id, p_name AS title, p_brand AS artist_name, round(score, 6) AS score FROM kn LEFT JOIN part ON p_partkey = dst")

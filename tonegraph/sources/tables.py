@@ -103,12 +103,21 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, embedding (doubles), label, title and artist_name of the track that stands at the id."""
-    found = read_table(spark, sf_dir, "embeddings").select(
+    """id, embedding (doubles), label."""
+    return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label"
     )
-    named = tracks(spark, sf_dir).select(F.col("track_id").alias("id"), "title", "artist_name")
-    return found.join(named, "id", "left")
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title and artist_name of all tracks."""
+    return tracks(spark, sf_dir).select(F.col("track_id").alias("id"), "title", "artist_name")
+
+
+def vector_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id of each vector, title and artist_name of the track that stands at it.  The hint keeps Spark from sending all names through
+    the driver, which it does where their compressed file is small."""
+    return vectors(spark, sf_dir).select("id").join(names(spark, sf_dir).hint("merge"), "id", "left")
 
 
 def vector_groups(vectors: DataFrame, slices: dict[str, int] = SLICES) -> DataFrame:

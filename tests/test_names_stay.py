@@ -38,7 +38,7 @@ def broadcast_rows(spark):
     return out
 
 
-@pytest.mark.parametrize("name", ["explorer_weights", "one_hop_graph", "explorer_neighbours", "explorer_two_hop", "explorer_path", "shortest_path", "knn_topk"])
+@pytest.mark.parametrize("name", ["two_hop_graph", "explorer_weights", "one_hop_graph", "edge_hops", "explorer_neighbours", "explorer_two_hop", "explorer_path", "shortest_path", "knn_topk"])
 def test_few_rows_are_broadcast(spark, grown, name):
     folder, all_names = grown
     before = broadcast_rows(spark)

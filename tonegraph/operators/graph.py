@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .knn import nearest
+from .knn import Corpus
 
 _TYPES = ("query", "hop_1", "hop_2")
 
@@ -54,9 +54,12 @@ def hop_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def two_hop_edges(vectors: DataFrame, root: int, k: int) -> DataFrame:
     """The neighbour edges a two-hop graph needs: those of the root, then those of its neighbours."""
-    first = nearest(vectors.where(F.col("id") == root), vectors, k)
-    hop = vectors.join(first.select(F.col("dst").alias("id")), "id", "left_semi")
-    return first.union(nearest(hop, vectors, k))
+    corpus = Corpus(vectors)
+    first = materialize(corpus.nearest(vectors.where(F.col("id") == root), k), "edges")
+    hop = vectors.join(F.broadcast(first.select(F.col("dst").alias("id"))), "id", "left_semi")
+    found = materialize(first.union(corpus.nearest(hop, k)), "edges")
+    corpus.close()
+    return found
 
 
 def shortest_path(edges: DataFrame | Callable[[DataFrame], DataFrame], start: int, end: int, metadata: DataFrame):

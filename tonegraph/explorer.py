@@ -15,6 +15,9 @@ from .operators.vectors import embed, resolve_weights
 from .schemas import DEFAULT_WEIGHTS, GROUPS
 from .sources.scratch import materialize
 
+#: Of so many songs a search for a path compares one by itself, before it compares all.
+SHARE = 16
+
 
 @dataclass(frozen=True)
 class Weighting:
@@ -90,15 +93,20 @@ class Explorer:
         return nearest(self.active.vectors.join(ids, "id", "left_semi"), self.active.corpus, k)
 
     def _expanding(self, k: int):
-        """A function for shortest_path: makes the edges of nodes that it has not met before."""
-        met: list[DataFrame] = []
+        """A function for shortest_path: makes the edges of nodes that it has not met before.  One that meets more than a SHARE-th of all
+        songs makes all edges at once, which reads the songs once instead of once a round."""
+        made: list[DataFrame] = []
+        asked, whole = 0, None
 
         def expand(nodes: DataFrame) -> DataFrame:
-            new = nodes.distinct()
-            for table in met:
-                new = new.join(table.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-            met.append(materialize(self._edges(new, k), "edges"))
-            return functools.reduce(DataFrame.union, met)
+            nonlocal asked, whole
+            if whole is None and (n := nodes.count()):
+                asked += n
+                if asked * SHARE > self.active.corpus.size[0]:
+                    whole = materialize(self.active.corpus.nearest(self.active.vectors, k), "edges")
+                else:
+                    made.append(materialize(self._edges(nodes, k), "edges"))
+            return functools.reduce(DataFrame.union, made) if whole is None else whole
 
         return expand
 

@@ -65,40 +65,40 @@ def two_hop_edges(vectors: DataFrame, root: int, k: int) -> DataFrame:
 def shortest_path(edges: DataFrame | Callable[[DataFrame], DataFrame], start: int, end: int, metadata: DataFrame):
     """Least total of max(0, 1 - similarity) along directed edges.
 
-    edges: src, dst, score; or a function that takes nodes (id) and returns a table that holds their edges, so that only the
-    part of the graph that the search meets is ever made.
+    edges: src, dst, score; or a function that takes nodes (id) that it hasn't been given before and returns a table that holds the
+    edges of all it was given, so that only the part of the graph that the search meets need be made.
 
     A frontier of improved nodes is relaxed by joins until no open node could still shorten the way to end; costs only
-    fall, so that ends.
+    fall, so that ends.  Once end is reached, nodes that are farther than it are neither kept open nor asked for.
     Each node keeps its least (cost, hops, predecessor), so zero-cost edges can't make a cycle.  Only
     single numbers and the path itself, one row a step, reach the driver; each round's distances are fixed in
     a written table.  Returns nodes, edges and the total; if end can't be reached, empty tables and None."""
     spark = metadata.sparkSession
     walk = "position int, source long, target long, similarity double, cost double"
-    steps = "id long, cost double, hops int, previous long"
     node = lambda i, t, p: (i, t, p)
     if start == end:
         nodes = spark.createDataFrame([node(start, "start", 0)], "id long, type string, position int")
         return named(nodes, metadata), spark.createDataFrame([], walk), 0.0
-    known = spark.createDataFrame([(start, 0.0, 0, None)], steps)
-    frontier, total = known, None
+    known = spark.createDataFrame([(start, 0.0, 0, -1, True, False)], "id long, cost double, hops int, previous long, open boolean, asked boolean")
+    total = None
     while True:
-        table = edges(frontier.select("id")) if callable(edges) else edges
+        near = F.col("open") if total is None else F.col("open") & (F.col("cost") <= total)
+        frontier = known.where(near)
+        table = edges(frontier.where(~F.col("asked")).select("id")) if callable(edges) else edges
         costs = table.select("src", "dst", F.greatest(F.lit(0.0), 1 - F.col("score")).alias("step"))
         offers = frontier.join(costs, frontier.id == costs.src).select(
-            F.col("dst").alias("id"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("previous")
+            F.col("dst").alias("id"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("previous"), F.lit(False).alias("asked"), F.lit(False).alias("old")
         )
+        if total is not None:
+            offers = offers.where(F.col("cost") <= total)
         order = F.struct("cost", "hops", "previous")
-        best = known.union(offers).groupBy("id").agg(F.min(order).alias("b")).select("id", "b.cost", "b.hops", "b.previous")
-        old = known.select("id", F.struct("cost", "hops", F.coalesce("previous", F.lit(-1)).alias("previous")).alias("old"))
-        new = F.struct("cost", "hops", F.coalesce("previous", F.lit(-1)).alias("previous"))
-        known = materialize(best.join(old, "id", "left").withColumn("open", F.col("old").isNull() | (F.col("old") != new)).drop("old"), "distances")
+        both = known.select("id", "cost", "hops", "previous", (F.col("asked") | near).alias("asked"), F.lit(True).alias("old")).union(offers)
+        best = both.groupBy("id").agg(F.min(order).alias("b"), F.min(F.when(F.col("old"), order)).alias("was"), F.max("asked").alias("asked"))
+        known = materialize(best.select("id", "b.cost", "b.hops", "b.previous", (F.col("was").isNull() | (F.col("was") != F.col("b"))).alias("open"), "asked"), "distances")
         row = known.agg(F.min(F.when(F.col("open"), F.col("cost"))).alias("least"), F.min(F.when(F.col("id") == end, F.col("cost"))).alias("total")).first()
         total = row["total"]
         if row["least"] is None or (total is not None and total < row["least"]):
             break
-        frontier = known.where("open").select("id", "cost", "hops", "previous")
-        known = known.select("id", "cost", "hops", "previous")
     if total is None:
         return named(spark.createDataFrame([], "id long, type string, position int"), metadata), spark.createDataFrame([], walk), None
     path, at = [end], end

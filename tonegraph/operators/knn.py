@@ -22,6 +22,10 @@ from ..schemas import GROUPS
 BLOCK = 4096
 BROADCAST_BYTES = 8 << 20
 EDGE = "src long, dst long, score double"
+#: Queries and numbers of one matrix within a task, and vectors it reads before it goes on to the next queries.
+STEP, CELLS, ROWS = 256, 1 << 19, 1 << 15
+#: Length from which vectors are not compared in single precision, whose numbers end at 1e38.
+SINGLE = 1e15
 
 
 def rounding(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -35,21 +39,84 @@ def dots(left: np.ndarray, right: np.ndarray, row: np.ndarray, col: np.ndarray)
     return np.concatenate([np.empty(0), *[(left[row[s : s + step]] * right[col[s : s + step]]).sum(1) for s in range(0, len(row), step)]])
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int) -> pd.DataFrame:
-    """k best of the corpus for each query, itself left out; ties by id."""
-    out = []
-    n, norm = min(k, len(corpus_ids)), float(np.sqrt((corpus**2).sum(1).max()))
-    step = max(1, min(256, (1 << 21) // len(corpus_ids)))
-    for s in range(0, len(ids), step):
-        x = vectors[s : s + step]
-        scores = x @ corpus.T
-        scores[ids[s : s + step, None] == corpus_ids[None, :]] = -np.inf
-        floor = np.partition(scores, len(corpus_ids) - n, axis=1)[:, len(corpus_ids) - n] - rounding(x, norm)
-        row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        frame = pd.DataFrame({"src": ids[s + row], "dst": corpus_ids[col], "score": dots(x, corpus, row, col)})
-        frame = frame.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
-        out.append(frame.groupby("src", sort=False).head(k))
-    return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors**2).sum(1))
+
+
+class Best:
+    """The k best so far of each of some queries.
+
+    Products are first taken in single precision, in pieces that a core's cache holds; what may be among the k best by that, however it was
+    rounded, is scored in full.  A query is never its own neighbour; ties go by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, vectors, k
+        self.length = lengths(vectors)
+        self.single = vectors.astype("f4") if self.length.max(initial=0.0) < SINGLE else None
+        self.score, self.id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, "i8")
+        self.least = np.full(len(ids), -np.inf)  # what the k-th best can't fall below
+
+    def slack(self, s: int, e: int, norm: float, single: bool) -> np.ndarray:
+        """What a product with a vector no longer than norm may be off by."""
+        unit = 2.0**-22 if single else 2.0**-50
+        return (self.x.shape[1] + 8) * (unit * self.length[s:e] * norm + (2.0**-120 * (1 + self.length[s:e] + norm) if single else 0.0))
+
+    def take(self, s: int, e: int, ids: np.ndarray, vectors: np.ndarray, single: np.ndarray | None, norm: float) -> None:
+        """Compares queries s to e with vectors no longer than norm; single: the same vectors in single precision, if they are short enough."""
+        quick = single is not None and self.single is not None
+        x, y = (self.single[s:e], single) if quick else (self.x[s:e], vectors)
+        slack, rows, cols = self.slack(s, e, norm, quick), [], []
+        least = self.least[s:e] - slack
+        wide = max(self.k + 1, CELLS // max(1, e - s))
+        for a in range(0, len(y), wide):
+            scores = x @ y[a : a + wide].T
+            if scores.shape[1] > self.k + 1 and np.isneginf(least).any():  # one may be the query itself
+                least = np.maximum(least, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1] - 2 * slack)
+            at = np.flatnonzero(scores >= np.nextafter(least.astype(scores.dtype), scores.dtype.type(-np.inf))[:, None])
+            if len(at):
+                row, col = np.divmod(at, scores.shape[1])
+                rows.append(row)
+                cols.append(col + a)
+        if rows:
+            self._merge(s, e, np.concatenate(rows), np.concatenate(cols), ids, vectors)
+
+    def _merge(self, s: int, e: int, row: np.ndarray, col: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        other = self.ids[s + row] != ids[col]
+        row, col = row[other], col[other]
+        score = dots(self.x[s:e], vectors, row, col)
+        good = score >= self.least[s + row]
+        row, col, score = row[good], col[good], score[good]
+        mine = np.repeat(np.arange(e - s), self.k)
+        row, score = np.r_[row, mine], np.r_[score, self.score[s:e].ravel()]
+        found = np.r_[ids[col], self.id[s:e].ravel()]
+        order = np.lexsort((found, -score, row))
+        row, score, found = row[order], score[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.score[s + row[kept], place[kept]], self.id[s + row[kept], place[kept]] = score[kept], found[kept]
+        self.least[s:e] = np.maximum(self.least[s:e], self.score[s:e, -1])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """src, dst, score."""
+        row, place = np.nonzero(self.score > -np.inf)
+        return self.ids[row], self.id[row, place], self.score[row, place]
+
+
+def in_single(vectors: np.ndarray, norm: float) -> np.ndarray | None:
+    """vectors, none longer than norm, in single precision, or None where they don't fit in."""
+    return vectors.astype("f4") if norm < SINGLE else None
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, corpus_ids: np.ndarray, corpus: np.ndarray, k: int, best: Best | None = None) -> pd.DataFrame:
+    """k best of the corpus for each query, itself left out; ties by id.  best: what an earlier part of the corpus gave, which is added to."""
+    best = best or Best(ids, vectors, k)
+    norm = float(lengths(corpus).max(initial=0.0))
+    for c in range(0, len(corpus_ids), ROWS):
+        some = corpus[c : c + ROWS]
+        single = in_single(some, norm)
+        for s in range(0, len(ids), STEP):
+            best.take(s, min(len(ids), s + STEP), corpus_ids[c : c + ROWS], some, single, norm)
+    return pd.DataFrame(dict(zip(("src", "dst", "score"), best.rows(), strict=True)))
 
 
 def vectors_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +179,10 @@ def _with_few(wanted, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Da
     best = None
     for batch in batches:
         if len(batch) and len(wanted.value[0]):
-            found = best_of(*wanted.value, *vectors_of(batch), k)
-            found = found if best is None else pd.concat((best, found))
-            found = found.sort_values(["src", "score", "dst"], ascending=[True, False, True], kind="stable")
-            best = found.groupby("src", sort=False).head(k)
+            best = best or Best(*wanted.value, k)
+            found = best_of(*wanted.value, *vectors_of(batch), k, best)
     if best is not None:
-        yield best
+        yield found
 
 
 def nearest(queries: DataFrame, corpus: DataFrame | Corpus, k: int = 10, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .knn import BLOCK, EDGE, dots, rank, rounding, vectors_of
+from .knn import BLOCK, CELLS, EDGE, STEP, Best, in_single, rank, rounding, vectors_of
 
 #: Bytes of all pivots, and number of all blocks, at most; blocks grow beyond it.
 PIVOT_BYTES, MOST_BLOCKS = 8 << 20, 1 << 20
@@ -34,8 +34,8 @@ PIVOT_BYTES, MOST_BLOCKS = 8 << 20, 1 << 20
 CHUNK_BYTES = 16 << 20
 #: Blocks of a chunk that queries take before the others, and rows beside a query among which it looks for a first k-th best.
 FIRST, BESIDE = 4, 256
-#: Numbers of one matrix within a task.
-CELLS = 1 << 21
+#: Rows of a piece, on the average, from which on pieces of a chunk are read where they lie.
+PIECE = 1024
 #: Share of the squared norms by which a bound may be off through rounding.
 ROUNDING = 1e-6
 
@@ -46,7 +46,7 @@ ONE_BY_ONE = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.ch
 
 @dataclass
 class Report:
-    """Pairs of a query and a block, how many of them were compared (once or again, as what stands beside a query is), and in how many rounds."""
+    """Pairs of a query and a block, how many of them were compared, and in how many rounds."""
 
     pairs: int = 0
     searched: int = 0
@@ -82,7 +82,7 @@ def _place(pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if batch.num_rows:
             x, cell, far = _matrix(batch), [], []
-            step = max(1, CELLS // max(len(pivots.value), x.shape[1]))
+            step = max(1, 4 * CELLS // max(len(pivots.value), x.shape[1]))
             for s in range(0, len(x), step):
                 away = _distances(x[s : s + step], pivots.value)
                 cell.append(away.argmin(1))
@@ -133,84 +133,66 @@ class _Chunk:
         self.ends = np.r_[self.starts[1:], len(self.ids)]
         self.norm = math.sqrt(self.rings[:, 3].max())
 
+    @functools.cached_property
+    def single(self) -> np.ndarray | None:
+        return in_single(self.x, self.norm)
+
 
-class _Best:
+class _Asking(Best):
     """The k best so far of each query of a chunk."""
 
     def __init__(self, queries: _Chunk, k: int, block: int, own: bool):
         """own: queries are vectors of the corpus, so what stands beside a query has a k-th best that a search can't fall below."""
-        self.queries, self.k, self.searched = queries, k, 0
-        n = len(queries.ids)
-        self.step = max(1, min(256, block, CELLS // max(n, 1)))
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), -1, "i8")
-        self.least = np.full(n, -np.inf)
-        for s in range(0, n, self.step) if own else ():
-            e = min(n, s + self.step)
+        super().__init__(queries.ids, queries.x, k)
+        self.searched, self.step = 0, min(STEP, block)
+        for s in range(0, len(self.ids), self.step) if own else ():
+            e = min(len(self.ids), s + self.step)
             a, b = np.searchsorted(queries.starts, (s, e - 1), "right") - 1
             low, high = max(queries.starts[a], s - BESIDE), min(queries.ends[b], e + BESIDE)
-            near = queries.x[s:e] @ queries.x[low:high].T
-            near[queries.ids[s:e, None] == queries.ids[None, low:high]] = -np.inf
+            near = self.x[s:e] @ self.x[low:high].T
+            near[self.ids[s:e, None] == self.ids[None, low:high]] = -np.inf
             if near.shape[1] >= k:
-                self.least[s:e] = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - rounding(queries.x[s:e], queries.norm)
+                self.least[s:e] = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - rounding(self.x[s:e], queries.norm)
 
     def compare(self, corpus: _Chunk, pivots: np.ndarray) -> None:
-        for s in range(0, len(self.queries.ids), self.step):
-            x = self.queries.x[s : s + self.step]
-            bound = bounds(x, pivots, corpus.rings)
+        for s in range(0, len(self.ids), self.step):
+            e = min(len(self.ids), s + self.step)
+            bound = bounds(self.x[s:e], pivots, corpus.rings)
             order = np.argsort(-bound.max(0), kind="stable")
-            done = order[:0]
             for blocks in (order[:FIRST], order[FIRST:]):
-                blocks = blocks[(bound[:, blocks] >= self.least[s : s + self.step, None]).any(0)]
+                blocks = np.sort(blocks[(bound[:, blocks] >= self.least[s:e, None]).any(0)])
                 if len(blocks):
-                    self.searched += len(x) * self._take(s, x, corpus, blocks, done)
-                done = order[:FIRST]
-
-    def _take(self, s: int, x: np.ndarray, corpus: _Chunk, blocks: np.ndarray, done: np.ndarray) -> int:
-        """Compares with the blocks, or with all but those done; returns how many that were."""
-        rows = lambda some: np.concatenate([np.arange(corpus.starts[b], corpus.ends[b]) for b in some])
-        last = len(done) or len(corpus.starts) <= FIRST  # else those that follow would be taken twice
-        if last and 2 * len(blocks) > len(corpus.starts):  # most of them: the matrix as it is, without a copy
-            at, scores, n = None, x @ corpus.x.T, len(corpus.starts) - len(done)
-            if len(done):
-                scores[:, rows(done)] = -np.inf
-        else:
-            at, n = rows(np.sort(blocks)), len(blocks)
-            scores = x @ corpus.x[at].T
-        least = self.least[s : s + len(x)] - rounding(x, corpus.norm)
-        row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        col = col if at is None else at[col]
-        other = self.queries.ids[s + row] != corpus.ids[col]
-        row, col = row[other], col[other]
-        score = dots(x, corpus.x, row, col)
-        mine = np.repeat(np.arange(len(x)), self.k)
-        row, score = np.r_[row, mine], np.r_[score, self.score[s : s + len(x)].ravel()]
-        ids = np.r_[corpus.ids[col], self.id[s : s + len(x)].ravel()]
-        order = np.lexsort((ids, -score, row))
-        row, score, ids = row[order], score[order], ids[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < self.k
-        self.score[s + row[kept], place[kept]], self.id[s + row[kept], place[kept]] = score[kept], ids[kept]
-        self.least[s : s + len(x)] = np.maximum(self.least[s : s + len(x)], self.score[s : s + len(x), -1])
-        return n
+                    self.searched += (e - s) * len(blocks)
+                    self._compare(s, e, corpus, blocks)
+
+    def _compare(self, s: int, e: int, corpus: _Chunk, blocks: np.ndarray) -> None:
+        """Blocks side by side are one piece, read where it lies; where pieces are short they are brought together first."""
+        first = np.flatnonzero(np.r_[True, np.diff(blocks) > 1])
+        starts, ends = corpus.starts[blocks[first]], corpus.ends[blocks[np.r_[first[1:], len(blocks)] - 1]]
+        if (ends - starts).sum() < PIECE * len(starts) and len(starts) > 1:
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
+            self.take(s, e, corpus.ids[rows], corpus.x[rows], None if corpus.single is None else corpus.single[rows], corpus.norm)
+            return
+        for a, b in zip(starts, ends, strict=True):
+            self.take(s, e, corpus.ids[a:b], corpus.x[a:b], None if corpus.single is None else corpus.single[a:b], corpus.norm)
 
 
 def _search(pivots, k: int, block: int, own: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, dst, score and, in one row of each chunk of queries, the pairs of a query and a block that were compared."""
-    best: dict[int, _Best] = {}
+    best: dict[int, _Asking] = {}
     for batch in batches:
         for i in range(batch.num_rows):
             cell = lambda name: batch.column(name)[i]  # noqa: E731, B023
             name = cell("q_chunk").as_py()
             if name not in best:  # the task's queries stay as long as it reads the corpus
-                best[name] = _Best(_Chunk(pa.scalar(cell("q_ids").as_py()), pa.scalar(cell("q_vectors").as_py()), cell("q_rings")), k, block, own)
+                best[name] = _Asking(_Chunk(pa.scalar(cell("q_ids").as_py()), pa.scalar(cell("q_vectors").as_py()), cell("q_rings")), k, block, own)
             best[name].compare(_Chunk(cell("ids"), cell("vectors"), cell("rings")), pivots.value)
     for b in best.values():
-        row, place = np.nonzero(b.score > -np.inf)
-        for s in range(0, len(row), CELLS // 8):
-            r, p = row[s : s + CELLS // 8], place[s : s + CELLS // 8]
-            searched = np.zeros(len(r), "i8")
-            searched[0] = b.searched if s == 0 else 0
-            yield pa.RecordBatch.from_arrays([pa.array(b.queries.ids[r]), pa.array(b.id[r, p]), pa.array(b.score[r, p]), pa.array(searched)], ["src", "dst", "score", "searched"])
+        src, dst, score = b.rows()
+        searched = np.zeros(len(src), "i8")
+        searched[:1] = b.searched
+        for s in range(0, len(src), CELLS // 2):
+            yield pa.RecordBatch.from_arrays([pa.array(column[s : s + CELLS // 2]) for column in (src, dst, score, searched)], ["src", "dst", "score", "searched"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import TINY, bound, dot, edge_counts, equal_width_bin, first_argmax, norm, pitch_class_counts, share
+from ..functions.arrays import TINY, bound, dot, edge_counts, equal_width_bin, first_argmax, norm, pitch_class_counts, share, total
 from . import notes as N
 
 REGISTERS = ("low", "mid", "high")
@@ -116,7 +116,8 @@ def _entropies(song: DataFrame, bins: int) -> DataFrame:
     counted = placed.groupBy("track_id", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
     part = F.col("n") / F.sum("n").over(whole)
     terms = counted.select("track_id", "kind", (-part * F.ln(part)).alias("term"))
-    return terms.groupBy("track_id", "kind").agg(F.sum("term").alias("entropy"))
+    # Summed in one order (there are at most as many terms as bins), so that equal tracks have equal entropies to the last bit.
+    return terms.groupBy("track_id", "kind").agg(total(F.array_sort(F.collect_list("term"))).alias("entropy"))
 
 
 def entropies(song: DataFrame, bins: int = ENTROPY_BINS) -> DataFrame:

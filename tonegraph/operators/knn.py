@@ -7,16 +7,19 @@ only the k best a query leave it.  A Corpus is sized, sent or indexed once, what
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
 from ..schemas import GROUPS
+from ..sources.scratch import materialize
 
 #: Vectors of one block, and bytes up to which the corpus is sent to every task.
 BLOCK = 4096
@@ -126,8 +129,9 @@ def vectors_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Corpus:
     """Vectors (id, embedding) to compare with.  Its size, its broadcast and its blocks are made when first wanted and kept until close()."""
 
-    def __init__(self, vectors: DataFrame, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES):
-        self.source, self.vectors, self.block, self.broadcast_bytes = vectors, vectors.select("id", "embedding"), block, broadcast_bytes
+    def __init__(self, vectors: DataFrame, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES, distinct: bool = False):
+        """distinct: no two vectors are known to be equal, so copies aren't looked for."""
+        self.source, self.vectors, self.block, self.broadcast_bytes, self.distinct = vectors, vectors.select("id", "embedding"), block, broadcast_bytes, distinct
         self._shared = self._index = None
 
     @functools.cached_property
@@ -139,6 +143,39 @@ class Corpus:
     def small(self) -> bool:
         return self.size[0] * self.size[1] <= self.broadcast_bytes
 
+    @functools.cached_property
+    def copies(self) -> tuple[DataFrame, DataFrame, Corpus] | None:
+        """Where at most half of the vectors differ: id, first (the least id with an equal vector) of all; id, own (product with itself) of
+        the first ones; and the vectors of those."""
+        if self.distinct:
+            return None
+        keys = materialize(self.vectors.mapInArrow(_keys, "id long, key binary, own double"), "keys")
+        classes = materialize(keys.groupBy("key").agg(F.min(F.struct("id", "own")).alias("c")).select("key", "c.id", "c.own"), "classes")
+        n = classes.count()
+        if 2 * n > self.size[0]:
+            return None
+        members = materialize(keys.select("id", "key").join(classes.select(F.col("id").alias("first"), "key").hint("merge"), "key").select("id", "first"), "members")
+        ids = classes.select("id")
+        ids = F.broadcast(ids) if n * 8 <= self.broadcast_bytes else ids.hint("merge")
+        firsts = materialize(self.vectors.join(ids, "id", "left_semi"), "firsts")
+        return members, classes.select("id", "own"), Corpus(firsts, self.block, self.broadcast_bytes, distinct=True)
+
+    def _by_copies(self, k: int, report) -> DataFrame:
+        """Own neighbours where many vectors are equal: the different ones are compared, and their copies take their places.
+
+        What is among a vector's k best is a copy of its own or of one of its k best that differ (ties by the first copy's id: the first copies
+        of better ones would already be k), and among the first k + 1 of those copies."""
+        members, own, firsts = self.copies
+        met = firsts.nearest(firsts.source, k, report).select("src", F.col("dst").alias("first"), "score")
+        met = met.union(own.select("id", F.col("id").alias("first"), "own"))
+        heads = members.withColumn("place", F.row_number().over(W.partitionBy("first").orderBy("id"))).where(F.col("place") <= k + 1)
+        order = W.partitionBy("src").orderBy(F.desc("score"), "dst")
+        each = met.join(heads.select("first", F.col("id").alias("dst")).hint("merge"), "first").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+        near = each.groupBy(F.col("src").alias("first")).agg(F.array_sort(F.collect_list(F.struct("place", "dst", "score"))).alias("near"))
+        found = members.join(near.hint("merge"), "first")
+        others = F.slice(F.filter("near", lambda x: x["dst"] != F.col("id")), 1, k)
+        return found.select(F.col("id").alias("src"), F.posexplode(others).alias("pos", "x")).select("src", "x.dst", "x.score", (F.col("pos") + 1).alias("rank"))
+
     def index(self):
         if self._index is None:
             from .metric_index import MetricIndex
@@ -160,6 +197,8 @@ class Corpus:
         if queries.count() * self.size[1] <= min(self.broadcast_bytes, self.block * self.size[1]):
             wanted = context.broadcast(vectors_of(queries.toPandas()))  # of checked size
             return rank(self.vectors.mapInPandas(functools.partial(_with_few, wanted, k), EDGE), k)
+        if own and self.copies is not None:
+            return self._by_copies(k, report)
         return self.index().search(self.vectors if own else queries, k, report)
 
     def close(self) -> None:
@@ -169,6 +208,16 @@ class Corpus:
         self._shared = self._index = None
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, key (the same for equal vectors alone), own (the product with itself)."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("embedding").flatten().to_numpy().astype("f8").reshape(batch.num_rows, -1) + 0.0  # one zero
+            every = np.arange(len(x))
+            keys = [hashlib.sha256(v).digest() for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dots(x, x, every, every))], ["id", "key", "own"])
+
+
 def _with_all(shared, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch) and len(shared.value[0]):

@@ -256,7 +256,7 @@ class MetricIndex:
         n_asking = self.n_chunks if own else asking.count()
         if not n_asking:
             return rank(self.spark.createDataFrame([], EDGE), k)
-        stripes = min(self.n_chunks, math.ceil(3 * self.spark.sparkContext.defaultParallelism / n_asking))
+        stripes = min(self.n_chunks, math.ceil(6 * self.spark.sparkContext.defaultParallelism / n_asking))
         asking = asking.select([F.col(c).alias(f"q_{c}") for c in asking.columns]).coalesce(n_asking)
         crossed = self.chunks.coalesce(stripes).crossJoin(asking.hint("shuffle_replicate_nl"))
         found = crossed.mapInArrow(functools.partial(_search, self.pivots, k, self.block, own), f"{EDGE}, searched long")

@@ -2,7 +2,8 @@
 
 A corpus of a checked small size goes to every task; where the queries are few, they go to every task and the corpus is read once where
 it lies.  Otherwise both are compared by blocks of metric_index, a chunk of queries and a stripe of the corpus in one task, and
-only the k best a query leave it.  A Corpus is sized, sent or indexed once, whatever the number of calls."""
+only the k best a query leave it; where many of the corpus' vectors are equal, its own neighbours are found among the different ones.
+A Corpus is sized, sent or indexed once, whatever the number of calls."""
 
 from __future__ import annotations
 
